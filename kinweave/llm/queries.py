@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import minhash, packing, secret_scan, toxicity
+from kinweave.llm import embedding_dedup, minhash, packing, secret_scan, toxicity
 from kinweave.llm.common import documents
 
 
@@ -24,6 +24,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = minhash.near_duplicates(documents(spark, sf_dir))
     return members.select("doc_id", "class_id", "n_copies", "kept")
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "pipeline": pipeline,
 }
