@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import embedding_dedup, minhash, packing, secret_scan, toxicity
+from kinweave.llm import embedding_dedup, minhash, packing, piece_codec, secret_scan, toxicity
 from kinweave.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = minhash.near_duplicates(documents(spark, sf_dir))
     return members.select("doc_id", "class_id", "n_copies", "kept")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_piece_codec": op8_piece_codec,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "pipeline": pipeline,
 }
