@@ -23,6 +23,7 @@ import json
 import re
 import zlib
 from array import array
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -82,11 +83,16 @@ class WordTokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
+@cache  # once per Python worker
+def tokenizer_at(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every row's pieces; all but a row's last hold capacity tokens."""
 
     def run(batches):
-        tokenizer = WordTokenizer(public_tokenizers.path(vocabulary))
+        tokenizer = tokenizer_at(public_tokenizers.path(vocabulary))
         end = np.array([END], np.uint32).tobytes()
         for b in batches:
             rows = []

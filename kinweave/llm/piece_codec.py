@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from functools import cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -174,6 +175,11 @@ class PieceCodec:
         return surface[1:] if surface.startswith(" ") else surface
 
 
+@cache  # once per Python worker
+def codec_at(path: str) -> PieceCodec:
+    return PieceCodec(path)
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit) and decoded of every row of docs."""
     return _mapped(docs, vocabulary, lambda ids, decoded: (ids, decoded), [("ids", "binary", pa.binary()), ("decoded", "string", pa.string())])
@@ -190,7 +196,7 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def _mapped(docs: DataFrame, vocabulary: str, row, fields) -> DataFrame:
     def run(batches):
-        codec = PieceCodec(public_tokenizers.path(vocabulary))
+        codec = codec_at(public_tokenizers.path(vocabulary))
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import embedding_dedup, minhash, packing, piece_codec, secret_scan, toxicity
+from kinweave.llm import embedding_dedup, minhash, packing, piece_codec, secret_scan, token_counts, toxicity
 from kinweave.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = minhash.near_duplicates(documents(spark, sf_dir))
     return members.select("doc_id", "class_id", "n_copies", "kept")
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_piece_codec": op8_piece_codec,
+    "op9_token_counts": op9_token_counts,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "pipeline": pipeline,
 }
