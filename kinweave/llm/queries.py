@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import embedding_dedup, minhash, packing, piece_codec, secret_scan, token_counts, toxicity
+from kinweave.llm import embedding_dedup, fingerprints, minhash, packing, piece_codec, secret_scan, token_counts, toxicity
 from kinweave.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_secret_scan": op5_secret_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_piece_codec": op8_piece_codec,
