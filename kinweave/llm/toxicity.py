@@ -13,6 +13,7 @@ are ignored; a doc_id with both labels counts as toxic; with no label of one of
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import BoundedCache, id_and_text
 
 WORD = re.compile(r"\w+")
-SAMPLE_PER_CLASS = 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
 MIN_DOCS = 8
 
 
@@ -66,7 +67,7 @@ class Model:
         return score
 
 
-def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, scale: float = 100.0, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, rate: float = 0.1, decay: float = 1e-4, scale: float = 100.0, seed: int = 7) -> Model:
     """N-gram vectors and softmax together, by full-batch Adam on the mean cross entropy plus decay times the squared vectors.
 
     N-grams found in fewer than MIN_DOCS texts keep the zero vector.
@@ -83,7 +84,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 40, ra
         for w, n in found.items():
             if w not in index:
                 index[w] = len(index)
-                lists.append([names.setdefault(g, len(names)) for g in grams(w)])
+                lists.append(array("i", [names.setdefault(g, len(names)) for g in grams(w)]))
             doc.append(d)
             word.append(index[w])
             count.append(n)
@@ -91,7 +92,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 40, ra
         for g in {g for w in found for g in lists[index[w]]}:
             in_docs[g] += 1
     size = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter((g for x in lists for g in x), dtype=np.int32, count=int(size.sum()))
+    flat = np.frombuffer(b"".join(lists), np.int32)
     del lists, index
     doc, word, count = np.array(doc, np.int32), np.array(word, np.int32), np.array(count, np.float32)
     of_doc = np.maximum(np.bincount(doc, weights=count * size[word], minlength=len(y)), 1)
@@ -131,10 +132,10 @@ def remainder() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Learn from at most per_class labelled rows of each class (the documented bound), spread evenly by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clean_rows: int = CLEAN_SAMPLE) -> Model:
+    """Learn from at most toxic_rows and clean_rows labelled rows (the documented bounds), spread evenly by a hash of the id.
 
-    Only rows whose crc32(doc_id as text) mod 5 is not 0 take part. At most 2 * per_class ids are broadcast, and as many texts
+    Only rows whose crc32(doc_id as text) mod 5 is not 0 take part. No more ids than that are broadcast, and as many texts
     come to the driver.
     """
     known = (
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         .agg(F.max("toxic").alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
+    sample = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
     rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return train([r.text for r in rows], [r.toxic for r in rows])
