@@ -1,0 +1 @@
+"""No operator here: every metric is a batch over tables that are read as they are."""
