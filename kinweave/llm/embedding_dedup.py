@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import written
-from kinweave.llm.graph import components
+from kinweave.llm.graph import components, forest
 
 THRESHOLD = 0.98
 TILE = 1024
@@ -61,22 +61,6 @@ def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshol
     return i[keep], j[keep]
 
 
-def forest(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest node that each node reaches by the edges i, j."""
-    root = np.arange(nodes)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession

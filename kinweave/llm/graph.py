@@ -1,7 +1,8 @@
-"""Connected components over edge tables."""
+"""Connected components, over edge tables and within a task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = large.join(low, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, name)
+
+
+def forest(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node that each node reaches by the edges i, j."""
+    root = np.arange(nodes)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

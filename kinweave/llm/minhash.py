@@ -10,9 +10,9 @@ of maxima. Points are drawn up to a horizon that fills all components of most te
 Plan: (1) one pass gives each row a digest of its words and its band hashes; rows with equal digests are one class, so a group
 of copies of any size is one row from here on. (2) In each band bucket every class pairs with the bucket's smallest (a star,
 not all pairs) and pairs are verified on their whole texts. (3) Components of the verified pairs are found by large-star and
-small-star rounds. (4) In buckets that still hold several components, the pairs across components are verified too, so no
-candidate link is lost, while groups already joined emit nothing; components are then found again. Candidate pairs within
-a joined component cannot change the classes and are not listed.
+small-star rounds. (4) In buckets that still hold several components, the pairs across components are verified too: one by one in small buckets, by tiles in large ones (see
+`tiled`). So no candidate link that could change a class is lost, while groups already joined emit nothing; components are
+then found again.
 
 Edge cases: null text is empty; texts without words are alike only if the raw texts are equal; rows with null doc_id take part
 and may share a class, whose id is then the smallest doc_id known (null if none is); repeated rows fall in one class; an empty
@@ -24,16 +24,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import BoundedCache, id_and_text, written
-from kinweave.llm.graph import components
+from kinweave.llm.graph import components, forest
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 SIZE = BANDS * ROWS
+SMALL, TILE = 16, 64_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = 2.0**-53
 
@@ -174,8 +175,81 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def tiled(docs: DataFrame, classes: DataFrame, large: DataFrame) -> DataFrame:
+    """A forest (a, b) of all links within the large buckets: rows band, c, n, root of buckets with several components.
+
+    Such buckets hold texts that share much and yet mostly don't link, so pairs are neither listed nor sampled. Buckets that share
+    classes are one cluster, its classes are sorted by size and cut into tiles of about TILE shingles, and tiles meet unless their
+    sizes are too far apart or all their classes are joined already. Two tiles' overlaps are one product of 0-1 matrices over
+    (shingle, occurrence); what leaves the task is a spanning forest.
+    """
+    heads = large.groupBy("band").agg(F.min("c").alias("v"))
+    clusters = components(large.join(heads, "band").select(F.col("c").alias("u"), "v"), "clusters")
+    members = large.select("c", "n", "root").distinct().join(clusters.withColumnRenamed("v", "c").withColumnRenamed("root", "cluster"), "c", "left")
+    members = members.withColumn("cluster", F.coalesce("cluster", "c"))
+    cells = members.groupBy("cluster", "n").agg(F.count("*").alias("many"))
+    before = F.sum(F.col("many") * F.col("n")).over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("before", F.coalesce(before, F.lit(0)))
+    placed = members.join(cells, ["cluster", "n"]).withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("c"), F.col("many")) * F.col("n")) / TILE))
+    texts = _texts(docs, classes, large.select(F.col("c").alias("a"), F.col("c").alias("b")))
+
+    def elements(batches):
+        shingle = Shingler()
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                keys, counts = shingle(t.lower().split())
+                nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+                out.append(mix(np.repeat(keys, counts) + nth.astype(np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("c"), pa.array(out, pa.binary())], names=["c", "elements"])
+
+    sets = texts.mapInArrow(elements, "c long, elements binary").groupBy("c").agg(F.first("elements").alias("elements"))
+    tiles = placed.join(sets, "c").groupBy("cluster", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("root"), F.max("root").alias("other"), F.collect_list(F.struct("c", "elements")).alias("rows"))
+    tiles = written(tiles, "tiles")
+    ends = tiles.select("cluster", "tile", "high", "root", "other")
+    later = tiles.select("cluster", F.col("tile").alias("tile_b"), F.col("low").alias("low_b"), F.col("root").alias("root_b"), F.col("other").alias("other_b"))
+    joined = (F.col("root") == F.col("other")) & (F.col("root_b") == F.col("other_b")) & (F.col("root") == F.col("root_b"))
+    meets = ends.join(later, "cluster").where((F.col("tile") <= F.col("tile_b")) & (F.col("high") >= SIMILARITY * F.col("low_b")) & ~joined).select("cluster", "tile", "tile_b")
+    pairs = meets.join(tiles.select("cluster", "tile", "rows"), ["cluster", "tile"]).join(tiles.select("cluster", F.col("tile").alias("tile_b"), F.col("rows").alias("rows_b")), ["cluster", "tile_b"])
+
+    def compare(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                sides = [r["rows"], r["rows_b"]] if r["tile"] != r["tile_b"] else [r["rows"]]
+                ids = np.array([x["c"] for side in sides for x in side], np.int64)
+                i, j = close([[np.frombuffer(x["elements"], np.uint64) for x in side] for side in sides])
+                root = forest(len(ids), i, j)
+                off = np.flatnonzero(root != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[root[off]]), pa.array(ids[off])], names=["a", "b"])
+
+    return pairs.select("tile", "tile_b", "rows", "rows_b").mapInArrow(compare, "a long, b long")
+
+
+def close(sides: list[list[np.ndarray]], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (over both sides together) of the pairs of sets that reach SIMILARITY: across the two sides, or within the one."""
+    sets = [x for side in sides for x in side]
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], column[shared]
+    names, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    split = len(sides[0]) if len(sides) > 1 else 0
+    both = np.zeros((split or len(sets), len(sets) - split), np.float32)
+    for at in range(0, len(names), chunk):
+        s = slice(*np.searchsorted(column, [at, at + chunk]))
+        x = np.zeros((len(sets), chunk), np.float32)
+        x[owner[s], column[s] - at] = 1
+        both += x[: split or len(sets)] @ x[split:].T
+    i, j = np.nonzero(both >= SIMILARITY * (size[: split or len(sets), None] + size[None, split:] - both))
+    j = j + split
+    return (i, j) if split else (i[i < j], j[i < j])
+
+
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, k, t, c (number of its exact class), n_copies (rows of that class), class_id, kept for every row; links: verified pairs a, b of numbers c.
+    """(members, links). members: doc_id, k, t, c (number of its exact class), n_copies (rows of that class), class_id, kept for every row; links: verified pairs a, b of numbers c, enough to join each class.
 
     kept: the row is the one of its class_id with the smallest doc_id.
     """
@@ -195,12 +269,15 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Buckets whose members are not all joined: the pairs across components.
     labelled = members.join(found.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    several = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    several = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high").select("band", "size")
     left = written(labelled.join(several, "band"), "several")
-    x, y = left.select("band", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), left.select("band", F.col("c").alias("b"), "n", "root")
+    small = left.where(F.col("size") <= SMALL)
+    x, y = small.select("band", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), small.select("band", F.col("c").alias("b"), "n", "root")
     across = x.join(y, "band").where("a < b and r_a <> root").where(F.least("n", "n_a") >= SIMILARITY * F.greatest("n", "n_a")).select("a", "b").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = written(across.join(tried, ["a", "b"], "left_anti"), "across")
+    large = written(left.where(F.col("size") > SMALL).select("band", "c", "n", "root"), "large")
+    links = links.unionByName(written(tiled(docs, classes, large), "links"))
     more = written(verified(across, _texts(docs, classes, across)), "links")
     links = links.unionByName(more)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
