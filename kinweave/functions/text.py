@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ROMAN = r"^[IVXLCDM]{2,}\.?$"
+_ROMAN = r"^[IVXLCDM]{2,}$"
 _ORDINAL = r"^[0-9]+(?:st|nd|rd|th|\.)?$"
 
 
@@ -44,7 +44,7 @@ def event_places(record: Column, tag: str) -> Column:
 
 def tag_values(record: Column, tag: str, level: int = 1) -> Column:
     found = F.regexp_extract_all(record, F.lit(rf"(?m)^{level} {re.escape(tag)} (.*)$"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda v: v != "")
+    return F.filter(F.transform(found, lambda v: F.trim(v)), lambda v: v != "")
 
 
 def event_year_of_text(record: Column, tag: str) -> Column:
@@ -68,7 +68,7 @@ def given_tokens(given: Column) -> Column:
     """Tokens of a given name without bracketed parts, quotes, initials, short particles, roman numerals and ordinals."""
     plain = F.regexp_replace(F.trim(given), r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[\"'`“”‘’]", " ")
     tokens = F.split(F.trim(plain), r"\s+")
-    keep = F.filter(tokens, lambda t: (t != "") & ~t.rlike(r"^(?:[A-Z]\.?|[a-z]{1,3})$") & ~t.rlike(_ROMAN) & ~t.rlike(_ORDINAL))
+    keep = F.filter(tokens, lambda t: (t != "") & ~t.rlike(r"^(?:[A-Z]|[a-z]{1,3})$") & ~t.rlike(_ROMAN) & ~t.rlike(_ORDINAL))
     return F.when(F.trim(given).isin("", "@P.N.") | given.isNull(), F.array().cast("array<string>")).otherwise(keep)
 
 
