@@ -306,6 +306,178 @@ class Tree:
         inside = edges.join(roots.withColumnRenamed("node", "u"), "u").join(F.broadcast(largest), "root")
         return graph.longest_chain(inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v"))))
 
+    # Cohorts, intervals and trends
+
+    def children(self) -> DataFrame:
+        """f_id, d_gid of every child once a family."""
+        return self.link.where("l_type = 'FAMC'").select(F.col("l_to").alias("f_id"), F.col("l_from").alias("d_gid")).distinct()
+
+    def born(self) -> DataFrame:
+        """d_gid, year, month, jd of the lower bound of each birth."""
+        rows = dates.event_dates(self.dates, "BIRT")
+        args = F.col("d_type"), F.col("d_julianday1")
+        return rows.select("d_gid", calendar.event_year(args[0], F.col("d_year"), args[1]).alias("year"), calendar.event_month(args[0], F.col("d_mon"), args[1]).alias("month"), F.col("d_mon"), F.col("d_julianday1").alias("jd"))
+
+    def heatmap(self, fact: str) -> DataFrame:
+        """period, month, n: dense periods of a width that keeps the rows at 20 or fewer."""
+        rows = dates.event_dates(self.dates, fact).where("d_mon >= 1")
+        args = F.col("d_type"), F.col("d_julianday1")
+        rows = rows.select(calendar.event_year(args[0], F.col("d_year"), args[1]).alias("year"), calendar.event_month(args[0], F.col("d_mon"), args[1]).cast("long").alias("month")).where(F.col("year") <= self.reference_year)
+        ends = rows.agg(F.min("year"), F.max("year")).first()
+        width = calendar.pick_period(*ends) if ends[0] is not None else calendar.PERIODS[0]
+        counts = rows.groupBy(calendar.period_start(F.col("year"), width).cast("long").alias("period"), "month").agg(F.count("*").alias("n"))
+        periods = counts.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(width).cast("long"))).alias("period"))
+        spine = periods.select("period", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<bigint>")).alias("month"))
+        return spine.join(counts, ["period", "month"], "left").fillna(0, ["n"])
+
+    def winter_peak(self, least: int = 12) -> DataFrame:
+        months = self.by_month("DEAT").agg(F.sum(F.when(F.col("ord").isin(12, 1, 2), F.col("n")).otherwise(0)).alias("season"), F.sum("n").alias("total"))
+        return months.select(F.when(F.col("total") >= least, F.round((F.col("season") / 3.0) / (F.col("total") / 12.0), 2)).alias("score"), "season", "total")
+
+    def sibling_death_clusters(self) -> DataFrame:
+        died = self.dates.where("d_fact = 'DEAT' and d_julianday1 <> 0 and d_year > 0").groupBy("d_gid").agg(F.min("d_year").alias("year"))
+        k = self.children().join(died, "d_gid").groupBy("f_id", "year").agg(F.count("*").alias("n")).where("n >= 2")
+        return k.groupBy("year").agg(F.sum("n").alias("siblings"), F.count("*").alias("families")).where("families >= 2")
+
+    def first_child_ages(self) -> DataFrame:
+        """person, sex, year (of the earliest child's birth), age of parents at it, from 12 to 65."""
+        child = self.children().join(self.born(), "d_gid").join(self.spouses(), "f_id")
+        first = child.groupBy("person", "sex").agg(F.min_by(F.struct("year", "jd"), F.struct("jd", "year")).alias("c"))
+        rows = first.join(self.extreme("BIRT", key="person", name="birth"), "person").select("person", "sex", "c.year", calendar.whole_years(day("birth"), calendar.date_of(F.col("c.jd"))).alias("age"), (F.col("c.jd") > F.col("birth")).alias("after"))
+        return rows.where("after and age between 12 and 65").drop("after")
+
+    def age_at_first_child(self) -> DataFrame:
+        rows = self.first_child_ages()
+        side = lambda s, name: hist.fixed_width(rows.where(F.col("sex") == s), F.col("age"), 10, 60, 5).select("ord", F.col("n").alias(name))
+        return hist.drop_zero_ends(side("M", "fathers").join(side("F", "mothers"), "ord"), "ord", "fathers", "mothers")
+
+    def mean_age_at_first_child(self, floor: int = 5) -> DataFrame:
+        rows = self.first_child_ages().groupBy(calendar.decade(F.col("year")).alias("decade"), "sex").agg(F.when(F.count("*") >= floor, F.round(F.avg("age"), 1)).alias("mean"))
+        return rows.groupBy("decade").pivot("sex", ["M", "F"]).agg(F.first("mean")).where("M is not null or F is not null")
+
+    def widowhood(self) -> DataFrame:
+        last = lambda key, name: self.extreme("DEAT", "d_julianday2", True, key, name)
+        rows = self.couples().join(last("f_husb", "his"), "f_husb").join(last("f_wife", "hers"), "f_wife").where("his <> hers")
+        return hist.fixed_width(rows, calendar.whole_years(day("his"), day("hers")), 0, 50, 5)
+
+    def remarriage_intervals(self) -> DataFrame:
+        """band (0: under 6 months, 1: to 11, 2: to 23 ... 6: 60 and more), n."""
+        marr = self.couples().join(self.extreme("MARR", "d_julianday2", True, "f_id", "marr"), "f_id")
+        sides = F.explode(F.array(F.struct(F.col("f_husb").alias("person"), F.col("f_wife").alias("spouse")), F.struct(F.col("f_wife").alias("person"), F.col("f_husb").alias("spouse"))))
+        rows = series.gaps(marr.select("f_id", "marr", sides.alias("s")).select("s.person", "marr", "f_id", "s.spouse"), "person", "marr", "f_id").where("before is not null")
+        rows = rows.select("marr", F.col("before.spouse").alias("spouse")).join(self.extreme("DEAT", "d_julianday2", True, "spouse", "death"), "spouse").where("death <= marr")
+        m = calendar.whole_months(day("death"), day("marr"))
+        return hist.banded(rows, F.when(m < 6, 0).when(m < 12, 1).when(m < 24, 2).when(m < 36, 3).when(m < 48, 4).when(m < 60, 5).otherwise(6))
+
+    def married(self) -> DataFrame:
+        """f_id, year of each family's earliest dated marriage."""
+        rows = dates.event_dates(self.dates, "MARR")
+        return rows.select(F.col("d_gid").alias("f_id"), calendar.event_year(F.col("d_type"), F.col("d_year"), F.col("d_julianday1")).alias("year"))
+
+    def divorce_rate_by_cohort(self) -> DataFrame:
+        ended = self.dates.where("d_fact = 'DIV'").select(F.col("d_gid").alias("f_id")).distinct().withColumn("hit", F.lit(1))
+        c = self.married().join(ended, "f_id", "left").groupBy(calendar.decade(F.col("year")).alias("decade")).agg(F.count("*").alias("total"), F.count("hit").alias("divorced"))
+        floor = c.agg(F.greatest(F.lit(3), F.floor(F.sum("total") / 100)).alias("floor"))
+        kept = c.crossJoin(F.broadcast(floor))
+        good = (F.col("divorced") >= 1) & (F.col("total") >= F.col("floor"))
+        ends = kept.where(good).agg(F.min("decade").alias("a"), F.max("decade").alias("b"))
+        return kept.crossJoin(F.broadcast(ends)).where(F.col("decade").between(F.col("a"), F.col("b"))).select("decade", "total", "divorced", F.round(F.col("divorced") / F.col("total"), 4).alias("rate"))
+
+    def family_sizes_by_decade(self) -> DataFrame:
+        n = F.col("f_numchil")
+        size = lambda low, high, name: F.sum(n.between(low, high).cast("long")).alias(name)
+        rows = self.married().join(self.families.select("f_id", "f_numchil"), "f_id").groupBy(calendar.decade(F.col("year")).alias("decade"))
+        return rows.agg(size(1, 1, "one"), size(2, 2, "two"), size(3, 3, "three"), size(4, 1 << 30, "more"))
+
+    def mean_family_size_by_century(self, floor: int = 5) -> DataFrame:
+        rows = self.married().join(self.families.select("f_id", "f_numchil"), "f_id").groupBy(calendar.century(F.col("year")).alias("century"))
+        return rows.agg(F.count("*").alias("n"), F.avg("f_numchil").alias("mean")).where(F.col("n") >= floor)
+
+    def first_children_by_month(self) -> DataFrame:
+        rows = self.children().join(self.born().where("d_mon > 0"), "d_gid").groupBy("f_id").agg(F.min_by("month", F.struct("jd", "d_gid")).alias("month"))
+        return hist.spine(rows, 1, 12).join(rows.groupBy(F.col("month").cast("long").alias("ord")).agg(F.count("*").alias("n")), "ord", "left").fillna(0, ["n"])
+
+    def given_names_by_year(self) -> DataFrame:
+        """key, form, year of every token of a primary name with a dated birth."""
+        first = self.name.where("n_num = 0 and n_type <> '_MARNM'").select(F.col("n_id").alias("d_gid"), F.explode(text.given_tokens(F.col("n_givn"))).alias("form"))
+        return first.join(self.born(), "d_gid").select(folded(F.col("form")).alias("key"), "form", "year")
+
+    def given_name_trends(self, n: int = 10) -> DataFrame:
+        rows = self.given_names_by_year()
+        best = rows.groupBy("key").agg(F.count("*").alias("all")).orderBy(F.col("all").desc(), "key").limit(n).join(rank.dominant(rows, "key", "form"), "key").select("key", "form")
+        counts = rows.groupBy("key", calendar.decade(F.col("year")).alias("decade")).agg(F.count("*").alias("n")).join(F.broadcast(best), "key", "left_semi")
+        span = counts.agg(F.min("decade").alias("a"), F.max("decade").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(10))).alias("decade"))
+        return best.crossJoin(F.broadcast(span)).join(counts, ["key", "decade"], "left").fillna(0, ["n"]).select("form", "decade", "n")
+
+    def given_name_last_year(self, n: int = 10) -> DataFrame:
+        rows = self.given_names_by_year()
+        best = rows.groupBy("key").agg(F.count("*").alias("all"), F.max("year").alias("last_year")).orderBy(F.col("all").desc(), "key").limit(n)
+        return best.join(rank.dominant(rows, "key", "form"), "key").select("form", "last_year", (F.col("last_year") >= self.reference_year - 25).alias("active"))
+
+    def name_passdown(self, floor: int = 10) -> DataFrame:
+        """century, sex, n, share: of children with a parent of the same sex, those who share a folded given name."""
+        names = self.name.where("n_num = 0").select("n_id", F.transform(text.given_tokens(F.col("n_givn")), folded).alias("tokens")).where("size(tokens) > 0")
+        child = self.children().join(self.individuals.select(F.col("i_id").alias("d_gid"), F.col("i_sex").alias("sex")), "d_gid").join(self.born().select("d_gid", "year"), "d_gid")
+        pairs = child.join(self.spouses(), ["f_id", "sex"]).join(names.toDF("d_gid", "own"), "d_gid").join(names.toDF("person", "theirs"), "person")
+        rows = pairs.groupBy(calendar.century(F.col("year")).alias("century"), "sex").agg(F.count("*").alias("n"), F.sum(F.arrays_overlap("own", "theirs").cast("long")).alias("hit"))
+        return rows.select("century", "sex", "n", F.when(F.col("n") >= floor, F.round(F.col("hit") * 100.0 / F.col("n"), 1)).otherwise(0.0).alias("share"))
+
+    def occupation_inheritance(self, least: int = 2, n: int = 15) -> DataFrame:
+        """Trades of parents and children: each pair of distinct folded trades once a child, at least `least` children."""
+        trades = self.individuals.select("i_id", F.posexplode(text.tag_values(F.col("i_gedcom"), "OCCU")).alias("p", "trade"))
+        label = rank.folded_counts(trades, F.col("trade"), F.struct("i_id", "p")).select("key", "label")
+        own = trades.select("i_id", F.lower("trade").alias("key")).distinct()
+        pairs = graph.parent_edges(self.parents).join(own.toDF("child", "c"), "child").join(own.toDF("parent", "p"), "parent").select("child", "p", "c").distinct()
+        named = pairs.join(label.toDF("p", "source"), "p").join(label.toDF("c", "target"), "c")
+        heavy = named.groupBy("p", "c").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+        return flow.flows(named.join(heavy, ["p", "c"], "left_semi"), "source", "target", F.col("child"), F.col("child"), F.lit(True), n)
+
+    def residences_by_country(self) -> DataFrame:
+        rows = self.individuals.select(F.explode(text.event_places(F.col("i_gedcom"), "RESI")).alias("place")).select(self.country(F.col("place")).alias("country"))
+        return rank.top(rows.groupBy("country").agg(F.count("*").alias("n")), 0, F.col("n").desc(), F.col("country"))
+
+    def source_coverage_by_century(self, floor: int = 5) -> DataFrame:
+        cited = self.link.where("l_type = 'SOUR'").select(F.col("l_from").alias("d_gid")).distinct().withColumn("hit", F.lit(1))
+        rows = self.born().join(cited, "d_gid", "left").groupBy(calendar.century(F.col("year")).alias("century")).agg(F.count("*").alias("n"), F.count("hit").alias("cited")).where(F.col("n") >= floor)
+        return rows.withColumn("share", F.col("cited") * 100.0 / F.col("n"))
+
+    def missing_gaps(self) -> DataFrame:
+        """Counts of persons without births, deaths and their places, in one scan."""
+        g = F.col("i_gedcom")
+        n = lambda c, name: F.sum(c.cast("long")).alias(name)
+        gone = ~text.has_tag(g, "BIRT"), ~text.has_tag(g, "DEAT")
+        return self.individuals.agg(F.count("*").alias("total"), n(gone[0], "no_birth"), n(text.event_place(g, "BIRT").isNull(), "no_birth_place"), n(gone[1], "no_death"), n(text.event_place(g, "DEAT").isNull(), "no_death_place"))
+
+    def ancestor_counts(self, generations: int = 4) -> DataFrame:
+        persons = self.individuals.select(F.col("i_id").alias("person"))
+        return graph.completeness(self.parents, persons, generations).groupBy("known").agg(F.count("*").alias("n"))
+
+    def media_by_type(self) -> DataFrame:
+        return rank.top(self.media_file.groupBy("source_media_type").agg(F.count("*").alias("n")), 0, F.col("n").desc(), F.col("source_media_type"))
+
+    def records(self) -> DataFrame:
+        """slot, value, key of the record holders; a slot without one is missing."""
+        d, first = self.marriage_durations(), self.first_child_ages()
+        marr = self.spouses().join(self.extreme("MARR", key="f_id", name="at"), "f_id").join(self.extreme("BIRT", key="person", name="birth"), "person").where("at > birth")
+        marr = marr.withColumn("age", calendar.whole_years(day("birth"), day("at"))).where("age between 10 and 90")
+        spouses = self.link.where("l_type = 'FAMS'").groupBy(F.col("l_from").alias("person")).agg(F.count("*").alias("n")).where("n >= 2")
+        slots = [("longest_marriage", d, "years", "f_id", True), ("shortest_marriage", d, "days", "f_id", False), ("oldest_deceased", self.lives.where("age > 0"), "age", "d_gid", True), ("largest_family", self.families.where("f_numchil > 0"), "f_numchil", "f_id", True), ("most_spouses", spouses, "n", "person", True)]
+        for sex, him, parent in (("M", "husband", "father"), ("F", "wife", "mother")):
+            for word, largest in (("youngest", False), ("oldest", True)):
+                slots += [(f"{word}_{him}", marr.where(F.col("sex") == sex), "age", "person", largest), (f"{word}_{parent}", first.where(F.col("sex") == sex), "age", "person", largest)]
+        out = None
+        for slot, rows, value, key, largest in slots:
+            one = rank.record_holder(rows, F.col(value).cast("long"), F.col(key), largest).select(F.lit(slot).alias("slot"), "value", "key")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def hero(self) -> DataFrame:
+        """individuals, families, covered (persons with a source), decade_from, decade_to, centuries."""
+        span = self.births_by_decade().agg(F.min("decade").alias("decade_from"), F.max("decade").alias("decade_to"))
+        centuries = F.when(F.col("decade_from").isNull(), 0).otherwise(F.greatest(F.lit(1), F.ceil((F.col("decade_to") + 9 - F.col("decade_from")) / 100)))
+        one = self.individuals.agg(F.count("*").alias("individuals")).crossJoin(self.families.agg(F.count("*").alias("families"))).crossJoin(self.source_coverage().select(F.col("value").alias("covered")))
+        return one.crossJoin(span).withColumn("centuries", centuries.cast("long"))
+
     def inventory(self) -> DataFrame:
         one = lambda name: self.tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("record"), "n")
         kinds = self.other.groupBy(F.when(F.col("o_type").isin("NOTE", "SNOTE"), "NOTE").otherwise(F.col("o_type")).alias("record")).agg(F.count("*").alias("n"))

@@ -95,3 +95,33 @@ def test_health(tree):
     assert rows(tree.islands(), "root", "size") == [("I1", 6), ("I7", 1)]
     assert rows(tree.inventory(), "record", "n") == [("NOTE", 1), ("families", 2), ("individuals", 7), ("media", 0), ("sources", 1)]
     assert rows(tree.generation_length(), "years")[0][0] == pytest.approx(28.4, abs=1)
+
+
+def test_cohorts_and_trends(tree):
+    assert sum(n for *_, n in rows(tree.heatmap("BIRT"), "period", "month", "n")) == 5
+    assert rows(tree.winter_peak(), "score", "total") == [(None, 3)]
+    assert rows(tree.sibling_death_clusters(), "year") == []
+    assert rows(tree.first_child_ages(), "person", "age") == [("I1", 30), ("I2", 28), ("I4", 24), ("I5", 29)]
+    assert rows(tree.age_at_first_child(), "ord", "fathers", "mothers") == [(20, 0, 1), (25, 1, 1), (30, 1, 0)]
+    assert rows(tree.mean_age_at_first_child(1), "decade", "M", "F") == [(1880, 30.0, 28.0), (1900, 29.0, 24.0)]
+    assert rows(tree.widowhood().where("n > 0"), "ord", "n") == [(10, 1)]
+    assert rows(tree.remarriage_intervals(), "band") == []
+    assert rows(tree.divorce_rate_by_cohort(), "decade") == []
+    assert rows(tree.family_sizes_by_decade(), "decade", "one", "two") == [(1870, 0, 1), (1900, 1, 0)]
+    assert rows(tree.mean_family_size_by_century(1), "century", "mean") == [(19, 1.5)]
+    assert rows(tree.first_children_by_month().where("n > 0"), "ord", "n") == [(2, 1), (5, 1)]
+    assert rows(tree.given_name_trends(1).where("n > 0"), "form", "decade", "n") == [("Karl", 1850, 1), ("Karl", 1880, 1)]
+    assert rows(tree.given_name_last_year(1), "form", "last_year", "active") == [("Karl", 1880, False)]
+    assert rows(tree.name_passdown(1), "century", "sex", "n", "share") == [(19, "F", 1, 0.0), (19, "M", 1, 100.0), (20, "F", 1, 0.0)]
+
+
+def test_more_of_health(tree):
+    assert rows(tree.occupation_inheritance(1), "source", "target", "weight", "samples") == [("Smith", "Smith", 1, "I3")]
+    assert rows(tree.residences_by_country(), "country") == []
+    assert rows(tree.source_coverage_by_century(5), "century", "n", "cited") == [(19, 5, 3)]
+    assert rows(tree.missing_gaps(), "total", "no_birth", "no_birth_place", "no_death", "no_death_place") == [(7, 1, 1, 3, 3)]
+    assert rows(tree.ancestor_counts(), "known", "n") == [(0, 4), (2, 2), (4, 1)]
+    assert rows(tree.media_by_type(), "n") == []
+    holders = dict((r[0], r[1:]) for r in rows(tree.records(), "slot", "value", "key"))
+    assert holders["longest_marriage"] == (31, "F1") and holders["oldest_deceased"] == (75, "I5") and holders["youngest_mother"] == (24, "I4")
+    assert rows(tree.hero(), "individuals", "families", "covered", "decade_from", "decade_to", "centuries") == [(7, 2, 3, 1850, 1900, 1)]
