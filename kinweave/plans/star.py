@@ -43,14 +43,14 @@ def long(c) -> F.Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-DAY = F.to_date("o_orderdate")
-ORDER_YEAR = F.year("o_orderdate")
+def order_year() -> F.Column:
+    return F.year("o_orderdate")
 
 
 def first_ship(t: Tables) -> DataFrame:
     """Orders with the day of their first shipment: lines are aggregated before they are joined."""
     ships = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.min("l_shipdate")).alias("ship"))
-    return t.orders.select("o_orderkey", "o_custkey", DAY.alias("day")).join(ships, "o_orderkey")
+    return t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).join(ships, "o_orderkey")
 
 
 FIRST_SHIP = "f AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day, ship FROM orders JOIN (SELECT l_orderkey, min(l_shipdate)::DATE AS ship FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
@@ -60,12 +60,12 @@ MONTHS_BETWEEN = "(12 * (year(greatest(a, b)) - year(least(a, b))) + month(great
 
 @query("SELECT ((year(o_orderdate) - 1) // 100 + 1)::BIGINT AS century, count(*) AS n FROM orders GROUP BY 1")
 def tally_by_century(t):
-    return t.orders.groupBy(long(calendar.century(ORDER_YEAR)).alias("century")).agg(F.count("*").alias("n"))
+    return t.orders.groupBy(long(calendar.century(order_year())).alias("century")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT (year(o_orderdate) // 10 * 10)::BIGINT AS decade, count(*) AS n FROM orders GROUP BY 1")
 def tally_by_decade(t):
-    return t.orders.groupBy(long(calendar.decade(ORDER_YEAR)).alias("decade")).agg(F.count("*").alias("n"))
+    return t.orders.groupBy(long(calendar.decade(order_year())).alias("decade")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT m.ord, count(o_orderkey) AS n FROM range(1, 13) m(ord) LEFT JOIN orders ON month(o_orderdate) = m.ord GROUP BY 1")
@@ -170,9 +170,9 @@ def pyramid(t):
 @query("""WITH e AS (SELECT year(o_orderdate) // 25 * 25 AS p, month(o_orderdate) AS m FROM orders), s AS (SELECT unnest(range(min(p), max(p) + 1, 25)) AS p FROM e)
 SELECT s.p::BIGINT AS period, c.m AS month, count(e.m) AS n FROM s CROSS JOIN range(1, 13) c(m) LEFT JOIN e ON e.p = s.p AND e.m = c.m GROUP BY 1, 2""")
 def heatmap_period_month(t):
-    ends = t.orders.agg(F.min(ORDER_YEAR), F.max(ORDER_YEAR)).first()
+    ends = t.orders.agg(F.min(order_year()), F.max(order_year())).first()
     width = calendar.pick_period(*ends) if ends[0] is not None else calendar.PERIODS[0]
-    counts = t.orders.groupBy(long(calendar.period_start(ORDER_YEAR, width)).alias("period"), long(F.month("o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
+    counts = t.orders.groupBy(long(calendar.period_start(order_year(), width)).alias("period"), long(F.month("o_orderdate")).alias("month")).agg(F.count("*").alias("n"))
     periods = counts.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(width).cast("long"))).alias("period"))
     spine = periods.select("period", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<bigint>")).alias("month"))
     return spine.join(counts, ["period", "month"], "left").fillna(0, ["n"])
@@ -198,7 +198,7 @@ q AS (SELECT min(cohort) AS a, max(cohort) AS b FROM c WHERE hit >= 1 AND total
 SELECT cohort, total, hit, round(hit / total, 4) AS rate FROM c, q WHERE cohort BETWEEN a AND b""")
 def cohort_rate_window(t):
     hit = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max((F.col("l_returnflag") == "R").cast("long")).alias("r"))
-    cohort = long(ORDER_YEAR * 4 + F.quarter("o_orderdate") - 1)
+    cohort = long(order_year() * 4 + F.quarter("o_orderdate") - 1)
     c = t.orders.select("o_orderkey", cohort.alias("cohort")).join(hit, "o_orderkey", "left").groupBy("cohort").agg(F.count("*").alias("total"), F.sum(F.coalesce("r", F.lit(0))).alias("hit"))
     floor = c.agg(F.greatest(F.lit(3), F.floor(F.sum("total") / 100)).alias("floor"))
     cut = hist.slice_between(c.crossJoin(F.broadcast(floor)), "cohort", (F.col("hit") >= 1) & (F.col("total") >= F.col("floor")))
@@ -209,7 +209,7 @@ MONTHLY = "m AS (SELECT (year(o_orderdate) * 12 + month(o_orderdate) - 1)::BIGIN
 
 
 def monthly(t) -> DataFrame:
-    period = long(ORDER_YEAR * 12 + F.month("o_orderdate") - 1)
+    period = long(order_year() * 12 + F.month("o_orderdate") - 1)
     return series.dense(t.orders.groupBy(period.alias("period")).agg(F.count("*").alias("n")), "period", "n")
 
 
@@ -270,7 +270,7 @@ USES = f"{TOKENS}, u AS (SELECT token, year(o_orderdate)::BIGINT AS year FROM ke
 
 def token_uses(t) -> DataFrame:
     """Token and order year of every line: the lines meet orders once, and tokens by part."""
-    lines = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), long(ORDER_YEAR).alias("year")), "l_orderkey")
+    lines = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), long(order_year()).alias("year")), "l_orderkey")
     by_part = lines.groupBy("l_partkey", "year").agg(F.count("*").alias("n"))
     return name_tokens(t).join(by_part.withColumnRenamed("l_partkey", "p_partkey"), "p_partkey").groupBy("token", "year").agg(F.sum("n").alias("n"))
 
@@ -297,7 +297,7 @@ def trades(t) -> DataFrame:
     """o_orderkey, l_linenumber, year, a (customer's nation), b (supplier's). Nations are 25 rows; the rest joins by key."""
     buyers = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("a"))
     sellers = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("b"))
-    of_order = t.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", long(ORDER_YEAR).alias("year"), "a")
+    of_order = t.orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", long(order_year()).alias("year"), "a")
     return t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_linenumber").join(of_order, "o_orderkey").join(sellers, "l_suppkey")
 
 
