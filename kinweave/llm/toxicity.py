@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import BoundedCache, id_and_text
 
 WORD = re.compile(r"\w+")
-TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 4000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
 MIN_DOCS = 8
 
 
