@@ -157,3 +157,54 @@ def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> Da
         return pd.DataFrame({key: [pdf[key].iloc[0]], "length": [len(best)], "path": [",".join(map(str, best))]})
 
     return component.groupBy(key).applyInPandas(run, f"{key} {dict(component.dtypes)[key]}, length long, path string")
+
+
+def deepest_chain(edges: DataFrame, births: DataFrame | None = None, cap: int = 100) -> DataFrame:
+    """ord, node, chains: one chain of the greatest number of generations, from its leaf up; chains counts its equals' leaves.
+
+    The leaf is the one born last (births: node, jd), then the smallest; each step goes to the parent with the longest line
+    above it, of equals the smallest. At most cap steps, each a lookup of one node.
+    """
+    edges = edges.select("parent", "child").where("parent <> child").distinct()
+    above = settled(depths(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), cap).select("node", "depth"))
+    leaves = above.join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
+    top = leaves.agg(F.max("depth").alias("depth"))
+    last = settled(leaves.join(F.broadcast(top), "depth").select("node"))
+    dated = last.join(births, "node", "left") if births is not None else last.withColumn("jd", F.lit(0))
+    start = dated.orderBy(F.col("jd").desc_nulls_last(), "node").limit(1).collect()
+    chain, total = [r.node for r in start], last.count()
+    while chain and len(chain) <= cap:
+        up = edges.where(F.col("child") == chain[-1]).select(F.col("parent").alias("node")).join(above, "node").orderBy(F.col("depth").desc(), "node").limit(1).collect()
+        if not up or up[0].node in chain:
+            break
+        chain.append(up[0].node)
+    kind = dict(above.dtypes)["node"]
+    return edges.sparkSession.createDataFrame([(k, x, total) for k, x in enumerate(chain)], f"ord int, node {kind}, chains long")
+
+
+def excerpt(component: DataFrame, chain: str, most: int = 70, key: str = "root") -> DataFrame:
+    """key, low, high: edges among the nodes of a chain and those met first around it, at most `most` nodes.
+
+    component: key, u, v, both directions, of the largest group; chain: its nodes, comma-joined.
+    """
+    import pandas as pd
+
+    seeds = chain.split(",")
+
+    def run(pdf):
+        near = {}
+        for u, v in zip(pdf.u, pdf.v, strict=True):
+            near.setdefault(u, set()).add(v)
+        name = {str(x): x for x in near}
+        kept = [name[s] for s in seeds if s in name][:most]
+        seen, at = set(kept), 0
+        while at < len(kept) and len(kept) < most:
+            for x in sorted(near[kept[at]] - seen)[: most - len(kept)]:
+                seen.add(x)
+                kept.append(x)
+            at += 1
+        pairs = sorted({(min(a, b), max(a, b)) for a in kept for b in near[a] & seen})
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(pairs), "low": [p[0] for p in pairs], "high": [p[1] for p in pairs]})
+
+    kinds = dict(component.dtypes)
+    return component.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, low {kinds['u']}, high {kinds['u']}")
