@@ -1,12 +1,12 @@
 """Token counts: pieces counted once per distinct pre-token, joined to per-document pre-token frequencies, and summed.
 
 A byte-level vocabulary splits a text into pre-tokens that are tokenised apart, so a document's count is the sum over its
-pre-tokens of frequency times pieces; ids are never made. Plan: (1) one pass over the texts gives, for blocks of documents,
-one row per distinct pre-token of a block with its postings (document numbers and frequencies). Pre-tokens that are entries of
-the vocabulary are a table of the vocabulary's size, so the most frequent ones are joined inside this pass to counts made from
-that table and leave it as plain sums: what is shuffled is the long tail. (2) Distinct pre-tokens are counted once each.
-(3) Postings join the counts on the pre-token (adaptive skew splitting applies: no pre-token need fit one task, since a block
-gives it one row). (4) Blocks sum up pieces times frequency.
+pre-tokens of frequency times pieces; ids are never made. Plan: (1) one pass over the texts turns blocks of documents into
+postings: for each distinct pre-token of a block, which of its documents have it and how often. Pre-tokens that are entries of
+the vocabulary are a table of the vocabulary's size, so they are joined inside this pass, and only their sums leave it. The
+others are packed by a hash of the pre-token: a row holds a block's postings of one hash bucket. (2) A bucket's task sees all
+its pre-tokens, counts each distinct one once, and joins the counts to the postings by a hash table; a pre-token has one entry
+for each block, however many documents have it. (3) Blocks sum up pieces times frequency.
 
 Texts that hold one of the vocabulary's special strings are cut at them first, as the library does; each counts one.
 
@@ -17,7 +17,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
-import uuid
+import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -25,10 +25,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import BoundedCache, id_and_text, written
+from kinweave.llm.common import BoundedCache, id_and_text, partitions, written
+from kinweave.llm.packing import printable_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -43,14 +46,17 @@ def special_strings(path: str) -> list[str]:
 
 
 def piece_counter(path: str):
-    """f(pre-tokens) -> their numbers of pieces, by the library."""
-    from tokenizers import Tokenizer
+    """f(UTF-8 pre-tokens) -> their numbers of pieces, by byte-pair merging in the order of the vocabulary's ids."""
+    import tiktoken
 
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    alphabet = printable_bytes()
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
+    encode = tiktoken.Encoding("byte", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def count(tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in library.encode_batch_fast(tokens, add_special_tokens=False)]
+    def count(tokens: list[bytes]) -> list[int]:
+        return [len(encode(t)) for t in tokens]
 
     return count
 
@@ -64,7 +70,7 @@ def vocabulary_counts(path: str) -> dict[str, int]:
     decoder = decoders.ByteLevel()
     entries = [decoder.decode([t]) for t in library.get_vocab(with_added_tokens=False)]
     entries = [e for e in entries if e and "�" not in e and PATTERN.fullmatch(e)]
-    return dict(zip(entries, piece_counter(path)(entries), strict=True))
+    return dict(zip(entries, piece_counter(path)([e.encode() for e in entries]), strict=True))
 
 
 class PreTokens:
@@ -85,32 +91,35 @@ class PreTokens:
         return out
 
 
-def _pack(numbers: list[int]) -> bytes:
-    return np.array(numbers, np.uint32).tobytes()
-
-
 def postings(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Rows of blocks. A pre-token: block, token, who (numbers of documents in the block), often. A block's documents: token null,
-    ids, n_bytes and so far counted tokens in who and often."""
+    """Rows of blocks. bucket -1: who has the ids and which are null, often has n_bytes and the tokens counted so far. Other buckets:
+    tokens and lengths are the block's pre-tokens of that bucket and their bytes; sizes, who, often their postings; all compressed."""
+    buckets = partitions(docs.sparkSession)
 
     def run(batches):
         path = public_tokenizers.path(vocabulary)
         known, split = vocabulary_counts(path), PreTokens()
         marks = special_strings(path)
         cut = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-        schema = pa.schema([("block", pa.int64()), ("token", pa.string()), ("who", pa.binary()), ("often", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("tokens", "lengths", "sizes", "who", "often"))])
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        task, nth = TaskContext.get().partitionId(), 0
 
         def block_rows(ids, sizes, sums, where):
-            # A random number names the block: only rows written together share it, whatever task is repeated.
-            block = uuid.uuid4().int >> 65
-            token = [None, *where]
-            head = np.array([i if i is not None else 0 for i in ids], np.int64)
-            nulls = np.array([i is None for i in ids], np.int64)
-            who = [np.concatenate([head, nulls]).tobytes(), *(_pack(w) for w, _ in where.values())]
-            often = [np.array([sizes, sums], np.int64).tobytes(), *(_pack(o) for _, o in where.values())]
-            for at in range(0, len(token), 50_000):
-                n = len(token[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array([block] * n), pa.array(token[at : at + n], pa.string()), pa.array(who[at : at + n], pa.binary()), pa.array(often[at : at + n], pa.binary())], schema=schema)
+            nonlocal nth
+            block = task << 32 | nth
+            nth += 1
+            nulls = [i is None for i in ids]
+            rows = [(block, -1, b"", b"", b"", np.array([[i or 0 for i in ids], nulls], np.int64).tobytes(), np.array([sizes, sums], np.int64).tobytes())]
+            dealt: dict[int, list[bytes]] = defaultdict(list)
+            for token in where:
+                raw = token.encode()
+                dealt[zlib.crc32(raw) % buckets].append(raw)
+            for bucket, tokens in dealt.items():
+                found = [where[t.decode()] for t in tokens]
+                numbers = lambda x, t=np.uint32: squeeze(np.fromiter(x, t).tobytes())
+                rows.append((block, bucket, squeeze(b"".join(tokens)), numbers(map(len, tokens)), numbers(len(w) for w, _ in found), numbers((n for w, _ in found for n in w), np.uint16), numbers(n for _, o in found for n in o)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         ids, sizes, sums, total = [], [], [], 0
         where: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
@@ -141,49 +150,58 @@ def postings(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         if ids:
             yield from block_rows(ids, sizes, sums, where)
 
-    return id_and_text(docs).mapInArrow(run, "block long, token string, who binary, often binary")
+    return id_and_text(docs).mapInArrow(run, "block long, bucket int, tokens binary, lengths binary, sizes binary, who binary, often binary")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs."""
     rows = written(postings(docs, vocabulary), "postings")
-    tail = rows.where("token is not null")
 
     def count(batches):
-        of = piece_counter(public_tokenizers.path(vocabulary))
+        count_of = piece_counter(public_tokenizers.path(vocabulary))
+        known: dict[bytes, int] = {}
+        squeeze, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         for b in batches:
-            tokens = b.column("token").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("token"), pa.array(of(tokens), pa.int32())], names=["token", "pieces"])
-
-    pieces = tail.select("token").distinct().mapInArrow(count, "token string, pieces int")
-    counted = tail.join(pieces, "token").select("block", "pieces", "who", "often")
-    heads = rows.where("token is null").select("block", F.lit(None).cast("int").alias("pieces"), "who", "often")
+            out = []
+            for tokens, lengths in zip(b.column("tokens").to_pylist(), b.column("lengths").to_pylist(), strict=True):
+                tokens, ends = expand(tokens), np.cumsum(np.frombuffer(expand(lengths), np.uint32)).tolist()
+                here = [tokens[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+                if len(known) > 400_000:
+                    known.clear()
+                new = [t for t in here if t not in known]
+                known.update(zip(new, count_of(new), strict=True))
+                out.append(squeeze(np.fromiter(map(known.__getitem__, here), np.uint32, len(here)).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary()), *(b.column(c) for c in ("sizes", "who", "often"))], names=["block", "pieces", "sizes", "who", "often"])
+
+    dealt = rows.where("bucket >= 0").repartition("bucket")
+    counted = dealt.mapInArrow(count, "block long, pieces binary, sizes binary, who binary, often binary")
+    heads = rows.where("bucket < 0").select("block", F.lit(None).cast("binary").alias("pieces"), "sizes", "who", "often")
 
     def total(batches):
         """Rows come sorted by block, each block's documents first."""
         block, ids, nulls, sizes, sums = None, None, None, None, None
+        expand = zstandard.ZstdDecompressor().decompress
 
         def finished():
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls.astype(bool)), pa.array(sizes), pa.array(sums), pa.array(sums > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]) if n else None
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls.astype(bool)), pa.array(sizes), pa.array(sums), pa.array(sums > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         for b in batches:
-            blocks, pieces_of = b.column("block").to_numpy(), b.column("pieces").to_pylist()
-            who, often = b.column("who").to_pylist(), b.column("often").to_pylist()
-            for k in range(b.num_rows):
-                if pieces_of[k] is None:
+            columns = [b.column(c).to_pylist() for c in ("block", "pieces", "sizes", "who", "often")]
+            for of, pieces, many, who, often in zip(*columns, strict=True):
+                if pieces is None:
                     if ids is not None:
                         yield finished()
-                    block = blocks[k]
-                    ids, nulls = np.frombuffer(who[k], np.int64).reshape(2, -1)
-                    sizes, sums = np.frombuffer(often[k], np.int64).reshape(2, -1)
+                    block = of
+                    ids, nulls = np.frombuffer(who, np.int64).reshape(2, -1)
+                    sizes, sums = np.frombuffer(often, np.int64).reshape(2, -1)
                     sums = sums.copy()
-                elif block == blocks[k]:
-                    np.add.at(sums, np.frombuffer(who[k], np.uint32), np.frombuffer(often[k], np.uint32).astype(np.int64) * pieces_of[k])
+                elif block == of:
+                    each = np.repeat(np.frombuffer(expand(pieces), np.uint32), np.frombuffer(expand(many), np.uint32)).astype(np.int64)
+                    np.add.at(sums, np.frombuffer(expand(who), np.uint16), each * np.frombuffer(expand(often), np.uint32))
                 else:
                     raise ValueError("postings of a block without documents")
         if ids is not None:
             yield finished()
 
-    grouped = counted.unionByName(heads).repartition("block").sortWithinPartitions("block", F.col("pieces").asc_nulls_first())
+    grouped = counted.unionByName(heads).repartition("block").sortWithinPartitions("block", F.col("pieces").isNotNull())
     return grouped.mapInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
