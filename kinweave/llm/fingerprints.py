@@ -4,7 +4,7 @@ A text's paragraphs are its lines, cut after sentence ends, and every 32 words w
 with its occurrence number in the text, has a 64-bit digest. A digest goes to one cell of each of three parts of the sketch; a
 cell holds how many digests it has and the exclusive-or of them and of their check hashes. Sketches of two versions subtract
 cell by cell, so equal paragraphs cancel, and cells left with one digest are peeled until all differing digests are out. If
-peeling stops early, both sketches are made anew at twice the size. Likeness is shared over all paragraphs of both texts.
+peeling stops early, both sketches are made anew, larger. Likeness is shared over all paragraphs of both texts.
 
 The fingerprint is the sketch at CELLS cells a part, in hexadecimal: equal texts have equal ones.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import id_and_text, partitions
 
-CELLS = 8
+CELLS, GROWTH = 8, 4
 LARGEST = 1 << 20
 WORDS = 32
 PARAGRAPH = re.compile(r"[^\n]+?(?:[.!?](?=\s)|$)", re.MULTILINE)
@@ -45,12 +45,13 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> list[int]:
-    """Distinct digests: a paragraph's second occurrence has another one than its first."""
+    """Distinct elements: 64 bits of digest below 32 bits of check hash. A paragraph's second occurrence has another than its first."""
     seen: Counter = Counter()
     out = []
     for p in paragraphs(text):
-        out.append(xxhash.xxh3_64_intdigest(p, seen[p]))
+        d = xxhash.xxh3_64_intdigest(p, seen[p])
         seen[p] += 1
+        out.append(check(d) << 64 | d)
     return out
 
 
@@ -58,64 +59,66 @@ def check(digest: int) -> int:
     return ((digest ^ digest >> 31) * _ODD & _MASK) >> 32
 
 
-def places(digest: int, cells: int) -> tuple[int, int, int]:
-    """One cell of each of the three parts; cells is a power of two, 2**21 at most."""
-    low = cells - 1
-    return digest & low, cells + (digest >> 21 & low), 2 * cells + (digest >> 42 & low)
-
-
 class Sketch:
+    """Three parts of `cells` cells, a power of two up to 2**21: element counts, and exclusive-ors of the elements."""
+
     def __init__(self, cells: int, items=()) -> None:
         self.cells = cells
-        self.count, self.key, self.check = [0] * (3 * cells), [0] * (3 * cells), [0] * (3 * cells)
+        self.count, self.sums = [0] * (3 * cells), [0] * (3 * cells)
         self.add(items, 1)
 
     def add(self, items, sign: int) -> None:
-        cells, counts, keys, checks = self.cells, self.count, self.key, self.check
-        for d in items:
-            c = check(d)
-            for at in places(d, cells):
-                counts[at] += sign
-                keys[at] ^= d
-                checks[at] ^= c
+        cells, count, sums = self.cells, self.count, self.sums
+        low, third = cells - 1, 2 * cells
+        for x in items:
+            a, b, c = x & low, cells + (x >> 21 & low), third + (x >> 42 & low)
+            count[a] += sign
+            count[b] += sign
+            count[c] += sign
+            sums[a] ^= x
+            sums[b] ^= x
+            sums[c] ^= x
 
     def hex(self) -> str:
-        return b"".join(struct.pack("<iQI", *cell) for cell in zip(self.count, self.key, self.check, strict=True)).hex()
+        return b"".join(struct.pack("<iQI", n, x & _MASK, x >> 64) for n, x in zip(self.count, self.sums, strict=True)).hex()
 
     def minus(self, other: Sketch) -> Sketch:
         out = Sketch(self.cells)
         out.count = [x - y for x, y in zip(self.count, other.count, strict=True)]
-        out.key = [x ^ y for x, y in zip(self.key, other.key, strict=True)]
-        out.check = [x ^ y for x, y in zip(self.check, other.check, strict=True)]
+        out.sums = [x ^ y for x, y in zip(self.sums, other.sums, strict=True)]
         return out
 
     def peel(self) -> tuple[list[int], list[int]] | None:
-        """Digests that only the first and only the second had, or None if some stay entangled. Uses the sketch up."""
-        sides: dict[int, list[int]] = {1: [], -1: []}
-        todo = [i for i, n in enumerate(self.count) if n in sides]
+        """Elements that only the first and only the second had, or None if some stay entangled. Uses the sketch up."""
+        only, other = [], []
+        cells, count, sums = self.cells, self.count, self.sums
+        low, third = cells - 1, 2 * cells
+        todo = [i for i, n in enumerate(count) if n == 1 or n == -1]
         while todo:
             at = todo.pop()
-            n, d = self.count[at], self.key[at]
-            if n not in sides or self.check[at] != check(d) or at not in places(d, self.cells):
+            n, x = count[at], sums[at]
+            if n != 1 and n != -1 or x >> 64 != check(x & _MASK):
                 continue
-            sides[n].append(d)
-            self.add([d], -n)
-            todo += [p for p in places(d, self.cells) if self.count[p] in sides]
-        return None if any(self.count) or any(self.key) else (sides[1], sides[-1])
+            (only if n == 1 else other).append(x)
+            for p in (x & low, cells + (x >> 21 & low), third + (x >> 42 & low)):
+                sums[p] ^= x
+                count[p] = left = count[p] - n
+                if left == 1 or left == -1:
+                    todo.append(p)
+        return None if any(count) or any(sums) else (only, other)
 
 
 def difference(a: list[int], b: list[int], sketch_a: Sketch | None = None, sketch_b: Sketch | None = None) -> tuple[list[int], list[int]]:
-    """Digests only in a and only in b, by subtraction and peeling; twice the cells after each failure."""
+    """Elements only in a and only in b, by subtraction and peeling; GROWTH times the cells after each failure."""
     cells = CELLS
-    sketch_a, sketch_b = sketch_a or Sketch(cells, a), sketch_b or Sketch(cells, b)
-    while True:
-        found = sketch_a.minus(sketch_b).peel()
-        if found is not None:
-            return found
-        cells *= 2
+    left = (sketch_a or Sketch(cells, a)).minus(sketch_b or Sketch(cells, b))
+    while (found := left.peel()) is None:
+        cells *= GROWTH
         if cells > LARGEST:  # beyond the digests' bits: the exact difference
             return list(set(a) - set(b)), list(set(b) - set(a))
-        sketch_a, sketch_b = Sketch(cells, a), Sketch(cells, b)
+        left = Sketch(cells, a)
+        left.add(b, -1)
+    return found
 
 
 def likeness(a: list[int], b: list[int], sketch_a: Sketch | None = None, sketch_b: Sketch | None = None) -> float:
