@@ -67,6 +67,16 @@ class Model:
         return score
 
 
+def summed(at: np.ndarray, source: np.ndarray, values: np.ndarray, size: int, block: int = 1_000_000) -> np.ndarray:
+    """Per row k of the result, the sum of values[source] where at is k; in blocks, so that no temporary is as long as `at`."""
+    out = np.zeros((size, values.shape[1]))
+    for s in range(0, len(at), block):
+        here, rows = at[s : s + block], source[s : s + block]
+        for k in range(values.shape[1]):
+            out[:, k] += np.bincount(here, weights=values[rows, k], minlength=size)
+    return out.astype(np.float32)
+
+
 def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, rate: float = 0.1, decay: float = 1e-4, scale: float = 100.0, seed: int = 7) -> Model:
     """N-gram vectors and softmax together, by full-batch Adam on the mean cross entropy plus decay times the squared vectors.
 
@@ -99,9 +109,9 @@ def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, ra
     share = (count / of_doc[doc]).astype(np.float32)
     # What is learnt from a few documents is noise: rarer n-grams count in the mean with a vector of zero.
     learnt = np.array(in_docs) >= MIN_DOCS
-    place = np.cumsum(learnt) - 1
+    place = (np.cumsum(learnt) - 1).astype(np.int32)
     kept = learnt[flat]
-    repeated, flat = np.repeat(np.arange(len(size)), size)[kept], place[flat[kept]]
+    repeated, flat = np.repeat(np.arange(len(size), dtype=np.int32), size)[kept], place[flat[kept]]
     names = [g for g, ok in zip(names, learnt.tolist(), strict=True) if ok]
     rng = np.random.default_rng(seed)
     vec = rng.normal(0, 0.01, (len(names), dim)).astype(np.float32)
@@ -110,7 +120,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, ra
     onehot = np.stack([1 - y, y], axis=1).astype(np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vec, out, bias)]
     for step in range(1, epochs + 1):
-        words = np.stack([np.bincount(repeated, weights=vec[flat, k], minlength=len(size)) for k in range(dim)], axis=1).astype(np.float32)
+        words = summed(repeated, flat, vec, len(size))
         means = np.stack([np.bincount(doc, weights=share * words[word, k], minlength=len(y)) for k in range(dim)], axis=1).astype(np.float32) * scale
         logits = means @ out + bias
         logits -= logits.max(axis=1, keepdims=True)
@@ -119,7 +129,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, ra
         g = (p - onehot) / np.float32(len(y))
         to_means = (g @ out.T) * scale
         to_words = np.stack([np.bincount(word, weights=share * to_means[doc, k], minlength=len(size)) for k in range(dim)], axis=1).astype(np.float32)
-        to_vec = np.stack([np.bincount(flat, weights=to_words[repeated, k], minlength=len(names)) for k in range(dim)], axis=1).astype(np.float32) + 2 * decay * vec
+        to_vec = summed(flat, repeated, to_words, len(names)) + 2 * decay * vec
         for param, grad, (m, v) in zip((vec, out, bias), (to_vec, means.T @ g, g.sum(axis=0)), state, strict=True):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
