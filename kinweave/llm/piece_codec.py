@@ -110,10 +110,13 @@ class PieceCodec:
 
     def _chunk(self, key: str) -> tuple[bytes, str]:
         """Ids and surface of a space mark and key."""
-        if len(key) > 1 and key[-2:] not in self.inside:  # no piece holds these two: the last character stands alone
-            ids, surface = self.chunks[key[:-1]]
-            tail, more = self._coded(key[-1])
-            return ids + tail, surface + more
+        end = len(key)
+        while end > 1 and key[end - 2 : end] not in self.inside:  # no piece holds these two: the last character stands alone
+            end -= 1
+        if end < len(key):
+            ids, surface = self.chunks[key[:end]]
+            tails = [self._coded(c) for c in key[end:]]
+            return ids + b"".join([t[0] for t in tails]), surface + "".join([t[1] for t in tails])
         return self._coded(SPACE + key)
 
     def _coded(self, text: str) -> tuple[bytes, str]:

@@ -214,6 +214,17 @@ def test_pieces_equal_the_library(docs):
         assert codec.code(text)[1] == codec.decode(ids) == library.decode(ids)
 
 
+@pytest.mark.parametrize("text", ["1" * 5000, "\n" * 5000, "日本語文字" * 1000, "word " + "😀" * 5000 + " end"], ids=["digits", "newlines", "cjk", "emoji"])
+def test_pieces_of_long_unjoinable_tails(text):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path(piece_codec.VOCABULARY)
+    codec, library = piece_codec.PieceCodec(path), SentencePieceProcessor(model_file=path)
+    ids = library.encode(text, add_bos=True, add_eos=True)
+    assert codec.encode(text) == ids
+    assert codec.code(text)[1] == library.decode(ids)
+
+
 def test_piece_digests(odd, none):
     rows = piece_codec.digests(odd).collect()
     assert len(rows) == len(ODD) + 2 and {r.n_tokens for r in rows if r.doc_id in (0, 1)} == {2}
