@@ -47,7 +47,8 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){2}[./_\x20-]{1,3}[0-9]{3,4}(?![0-9])",
     "phone": r"(?<![0-9])(?:\(?[0-9]{2,4}\)?[\x20./-]{1,2}){2,3}[0-9]{3,5}(?![0-9])",
 }
-# What must occur for a pattern to match at all; texts without it are not searched.
+# What must occur for a base match that passes its check, and for a loose match; texts without it are not searched.
+BASE_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 NEEDS = {"email": r"@|\bat\b", "ip": r"[0-9A-Fa-f][.:][0-9A-Fa-f]", "card": "[0-9]{3}", "phone": "[0-9]{2}"}
 # Words before a candidate that speak for its kind, and those that speak for other numbers.
 FOR = {"email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|address)\b", "ip": r"(?i)\b(?:ip|address|host|server|client|login|ping)\b", "card": r"(?i)\b(?:card|visa|credit|debit|mastercard|amex|payment|account)\b", "phone": r"(?i)\b(?:tel|phone|call|mobile|cell|fax|dial|ring|sms|text)\b"}
@@ -219,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_<kind> (base spans), base_sha256, n_added, spans of every row of docs."""
     df = id_and_text(docs)
     for kind in KINDS:
-        df = df.withColumn(f"base_{kind}", matches(F.col("text"), BASE[kind], NEEDS[kind]))
+        df = df.withColumn(f"base_{kind}", matches(F.col("text"), BASE[kind], BASE_NEEDS[kind]))
         df = df.withColumn(f"base_{kind}", F.filter(f"base_{kind}", partial(_passes, kind)))
         df = df.withColumn(f"loose_{kind}", matches(F.col("text"), LOOSE[kind], NEEDS[kind]))
     kept = F.concat(*(F.col(f"base_{k}") for k in KINDS))

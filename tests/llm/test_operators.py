@@ -89,6 +89,14 @@ def test_pii_base_spans(request, which):
     assert Counter((r.doc_id, r.base_sha256) for r in pii.scan(df).collect()) == expected
 
 
+def test_pii_base_spans_of_single_digits(spark):
+    """Digits that never stand two or three in a row."""
+    cases = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "+4 9 8 9 1 2 3 4 5", "call +4 (9) 8.9-1 2 3 4 5 now", "+4", "1 2 3", "a@b.c", "1.2.3.4"]
+    rows = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [rows[i].base_sha256 for i in range(len(cases))] == [hashlib.sha256(",".join(personal(t)).encode()).hexdigest() for t in cases]
+    assert [(rows[i].n_card, rows[i].n_phone) for i in range(6)] == [(1, 0), (1, 0), (0, 1), (0, 1), (0, 0), (0, 0)]
+
+
 def test_pii_candidates(spark):
     cases = ["mail john.doe (at) mail dot com now", "card 4111.1111.1111.1111 ok", "my mobile is 555-123-4567.", "see pages 2012-10-11 at work. then", "a@b.c_d@e.f x", "é😀 +49 (89) 1234-5678"]
     rows = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
