@@ -6,8 +6,11 @@ the threshold at which, on examples held out, unknown paragraphs stay unknown. A
 at least CONFIRM of the words of one of the family's templates occur in the paragraph. Positions are code points of the line.
 
 The model is fitted on the driver from paragraphs made by rule from the templates, a fixed number of them, independent of the
-corpus; weights exist for the n-grams of the examples only (some thousands at most, a constant of the plan). A paragraph
-without a word in ANCHORS can't be confirmed, as every template has one among the words it must share; it is not scored.
+corpus; weights exist for the n-grams of the examples only (some thousands at most, a constant of the plan). What can't be
+confirmed is not scored: `gate` finds a word in every text that can be, and `confirmable` is the confirmation by any family.
+
+Lines are hard-wrapped in many files. Where neighbouring lines without a family of their own (up to a line without a word, or
+one with a family) form one together, their joined text is one more paragraph; its span goes from the first to the last of them.
 
 Edge cases: null text is empty and has no paragraph; rows with null doc_id are scanned too; repeated rows give repeated
 results; an empty table gives no rows; other columns are ignored.
@@ -31,7 +34,6 @@ from kinweave.llm.common import id_and_text
 CONFIRM = 0.8
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-ANCHORS = r"(?i)licen[cs]|copyright|warrant|permission|redistribut|public domain|spdx"
 # Short statements of public licences, in their usual words.
 TEMPLATES = {
     "apache-2.0": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license apache", "spdx-license-identifier apache-2.0", "released under the apache license 2.0"],
@@ -134,10 +136,8 @@ def classifier(epochs: int = 250, rate: float = 0.5, decay: float = 1e-4, least:
 
 
 def classify(text: str) -> tuple[str, float]:
-    """Family (or unknown) and probability of one paragraph, in Python; `scan` is its DataFrame form."""
+    """Family (or unknown) and probability of one paragraph, in Python and without a gate; `scan` is its DataFrame form."""
     words = words_of(text)
-    if not re.search(ANCHORS, text):
-        return UNKNOWN, 1.0
     model = classifier()
     p = model.probabilities(words)
     k = int(p.argmax())
@@ -152,6 +152,20 @@ def confirmed(family: str, words: list[str]) -> bool:
     return any(len(has & set(t)) >= CONFIRM * len(set(t)) for t in map(words_of, TEMPLATES[family]))
 
 
+@cache
+def gate() -> str:
+    """A pattern that occurs in the lower case of every text that a template confirms.
+
+    A template of n words that asks for m of them leaves out n - m at most, so one of any n - m + 1 of them is there; the
+    longest are taken, as they are rare. A word is a whole token, so neither a letter nor a digit is next to it.
+    """
+    words = set()
+    for t in (set(words_of(t)) for ts in TEMPLATES.values() for t in ts):
+        m = next(k for k in range(len(t) + 1) if k >= CONFIRM * len(t))
+        words.update(sorted(t, key=lambda w: (-len(w), w))[: len(t) - m + 1])
+    return f"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in sorted(words))})(?![a-z0-9])"
+
+
 def _literal(value, kind: str) -> Column:
     """A constant map or array: folded once, when the plan is optimised."""
     return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
@@ -165,33 +179,44 @@ def scan(docs: DataFrame) -> DataFrame:
     model = classifier()
     weights = _literal(model.weights, "map<string,array<double>>")
     templates = _literal({f: [sorted(set(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}, "map<string,array<array<string>>>")
+    every = _literal(sorted({tuple(sorted(set(words_of(t)))) for ts in TEMPLATES.values() for t in ts}), "array<array<string>>")
     df = id_and_text(docs).withColumn("lines", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    # Where each line starts: the lengths of those before it, and their line ends.
-    starts = F.aggregate(
-        "lines",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("kept")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(x.rlike(ANCHORS), F.concat(acc["kept"], F.array(F.struct(acc["at"].alias("start"), x.alias("line"))))).otherwise(acc["kept"]).alias("kept")),
-        lambda acc: acc["kept"],
-    )
-    df = df.withColumn("near", F.when(F.col("text").rlike(ANCHORS), starts).otherwise(F.array().cast("array<struct<start:int,line:string>>")))
+    shares = lambda words: lambda t: F.size(F.array_intersect(t, words)) >= CONFIRM * F.size(t)
 
-    def score(c: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(c["line"]), F.lit(WORD), F.lit(0))
+    def score(words: Column) -> Column:
         pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, k: F.concat_ws(" ", a, F.element_at(words, (k + 2).cast("int"))))
         vectors = F.filter(F.transform(F.concat(words, pairs), lambda g: F.element_at(weights, g)), lambda v: v.isNotNull())
         total = F.aggregate(vectors, _literal(model.bias, "array<double>"), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        return F.struct(c["start"].alias("start"), (c["start"] + F.length(c["line"])).alias("end"), words.alias("words"), F.transform(total, lambda z: z / model.temperature).alias("z"))
+        return F.struct(words.alias("words"), F.transform(total, lambda z: z / model.temperature).alias("z"))
 
     def judge(s: Column) -> Column:
         top = F.array_max(s["z"])
         share = 1 / F.aggregate(s["z"], F.lit(0.0), lambda a, z: a + F.exp(z - top))
         family = F.element_at(_literal(model.classes, "array<string>"), F.array_position(s["z"], top).cast("int"))
-        good = F.exists(F.element_at(templates, family), lambda t: F.size(F.array_intersect(t, s["words"])) >= CONFIRM * F.size(t))
-        sure = (family != UNKNOWN) & (share >= model.threshold) & F.coalesce(good, F.lit(False))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(sure, family).otherwise(UNKNOWN).alias("family"))
-
-    scored = F.filter(F.transform(F.transform("near", score), judge), lambda f: f["family"] != UNKNOWN)
-    df = df.withColumn("found", F.when(F.size("near") > 0, scored).otherwise(F.array().cast("array<struct<start:int,end:int,family:string>>")))
+        sure = (family != UNKNOWN) & (share >= model.threshold) & F.coalesce(F.exists(F.element_at(templates, family), shares(s["words"])), F.lit(False))
+        return F.when(sure, family).otherwise(UNKNOWN)
+
+    def family_of(paragraph: Column) -> Column:
+        words = F.array(F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), F.lit(0)))
+        confirmable = F.filter(words, lambda w: F.exists(every, shares(w)))
+        # An array of one or no element binds each step's value to a name, so that it is computed once.
+        found = F.transform(F.transform(confirmable, score), judge)
+        return F.when(F.lower(paragraph).rlike(gate()), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(UNKNOWN))).otherwise(UNKNOWN)
+
+    df = df.withColumn("own", F.when(F.lower("text").rlike(gate()), F.transform("lines", family_of)).otherwise(F.array().cast("array<string>")))
+    # Runs of two lines or more between the numbers (from 1) of those that end one.
+    ends = F.filter(F.transform(F.arrays_zip("own", "lines"), lambda x, k: F.when((x["own"] != UNKNOWN) | ~x["lines"].rlike("[A-Za-z0-9]"), k + 1)), lambda k: k.isNotNull())
+    df = df.withColumn("ends", F.when(F.size("own") > 1, F.concat(F.array(F.lit(0)), ends, F.array(F.size("lines") + 1))).otherwise(F.array().cast("array<int>")))
+    none = F.array().cast("array<struct<first:int,last:int,family:string>>")
+    runs = F.filter(F.zip_with(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), F.slice("ends", 2, F.greatest(F.size("ends"), F.lit(1))), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last"))), lambda r: r["last"] > r["first"])
+    joined = F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), family_of(F.array_join(F.slice("lines", r["first"], r["last"] - r["first"] + 1), "\n")).alias("family")))
+    single = F.transform("own", lambda f, k: F.struct((k + 1).alias("first"), (k + 1).alias("last"), f.alias("family")))
+    found = F.array_sort(F.filter(F.concat(single, F.when(F.size("ends") > 0, joined).otherwise(none)), lambda f: f["family"] != UNKNOWN))
+    df = df.withColumn("placed", F.when(F.size("own") > 0, found).otherwise(none))
+    # Where each starts: the lengths of the lines before it, and their line ends.
+    length = lambda first, n: F.aggregate(F.slice("lines", first, n), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    placed = F.transform("placed", lambda f: F.struct(length(F.lit(1), f["first"] - 1).alias("start"), (length(F.lit(1), f["last"]) - 1).alias("end"), f["family"].alias("family")))
+    df = df.withColumn("found", placed)
     return df.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_paragraphs"),

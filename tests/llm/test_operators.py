@@ -193,6 +193,41 @@ def test_license_lines(line, family):
     assert licenses.classify(line)[0] == family
 
 
+LINES = ["This Source Code Form is subject to the terms of the Mozilla Public", "Distributed under the GPL, version 2.", "Available under CC BY 4.0.", "under the apache license version 2.0", "all rights reserved, copyright", "Under CC BY-SA 4.0 only"]
+
+
+def test_license_gate_drops_nothing_that_can_be_confirmed():
+    rng = np.random.default_rng(4)
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            words = sorted(set(licenses.words_of(t)))
+            least = next(k for k in range(len(words) + 1) if k >= licenses.CONFIRM * len(words))
+            for _ in range(60):
+                some = [words[k] for k in rng.permutation(len(words))[:least]]
+                assert licenses.confirmed(family, some) and re.search(licenses.gate(), " ".join(some))
+
+
+def test_license_lines_equal_the_ungated_classifier(spark):
+    rng = np.random.default_rng(6)
+    lines = list(LINES)
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        words = licenses.words_of(t)
+        lines += [" ".join(w for w in words if w != rng.choice(words)).title() for _ in range(4)]
+    got = {r.doc_id: r.families for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    expected = {k: licenses.classify(t)[0] for k, t in enumerate(lines)}
+    assert got == {k: "" if f == licenses.UNKNOWN else f for k, f in expected.items()}
+    assert expected[0] == "mpl"
+
+
+def test_hard_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software"
+    cases = [mit, f"intro\n\n{mit}\n\nend", f"Released under the MIT License.\n// {mit}", f"# a\n#\n# {mit}\n", mit.replace("\n", "\n\n")]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    n = len(mit)
+    assert [rows[i].findings for i in range(5)] == [f"mit:0:{n}", f"mit:7:{7 + n}", f"mit:0:31,mit:32:{35 + n}", f"mit:6:{8 + n}", ""]
+    assert rows[1].n_paragraphs == 7 and rows[2].n_license == 2
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
