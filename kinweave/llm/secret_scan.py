@@ -1,9 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 A text is lexed for assignments of source and configuration syntax (name = value, name: value, "name": "value", name := value,
-name => value). Their values are quoted literals, sums of quoted literals, bare words, or names bound earlier in the text,
+name => value, name: Type = value, target["name"] = value). A typed name is bound besides what stands before the sign. Values are quoted literals, sums of quoted literals, bare words, or names bound earlier in the text,
 whose literals are then propagated. A literal is scored by the words of every name that it reaches, its length and its mix of
-characters; placeholders and references score nothing. Literals of THRESHOLD or more become spans of kind `lexed`, beside the
+characters; placeholders and references score nothing, nor do values with spaces unless they are quoted and one of their names
+alone scores SPACED or more (pass phrases). Literals of THRESHOLD or more become spans of kind `lexed`, beside the
 base spans, which always stay:
 
     assign, access, hex   fixed patterns, leftmost and not overlapping within a kind; those that fail the length are dropped.
@@ -25,6 +26,7 @@ from kinweave.llm.common import id_and_text
 
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 1.0
+SPACED = 1.0
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,6 +38,11 @@ NAME = re.compile(r"[A-Za-z_][\w.\-]*\Z", re.ASCII)
 BEFORE = re.compile(r"[A-Za-z0-9_.\-]", re.ASCII)
 AFTER = re.compile(r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([A-Za-z0-9_./+=~!@#$%^&*\-]+))""")
 PLUS = re.compile(r"""[ \t]*\+[ \t]*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+# A type once its bracketed parts and the spaces about its signs are out.
+BRACKETS = re.compile(r"\[[^\[\]<>()]*\]|<[^\[\]<>()]*>|\([^\[\]<>()]*\)")
+SIGNS = re.compile(r"[ \t]*([|&?!*])[ \t]*")
+TYPE = re.compile(r"""[&*]*(?:'\w+[ ]+)?(?:(?:mut|dyn|const)[ ]+)*["']?[A-Za-z_](?:[\w.?!|&*"']|::)*\Z""", re.ASCII)
+TYPED = re.compile(r"""[\w.?!|&*"'\[\]<>(), \t]""", re.ASCII)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -46,21 +53,69 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def word_before(text: str, end: int) -> tuple[str, int]:
+    """The word that ends at `end`, perhaps quoted or after spaces, and where it starts."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    left = end
+    while left and BEFORE.match(text[left - 1]):
+        left -= 1
+    return text[left:end], left
+
+
+def subscript(text: str, end: int) -> str:
+    """The last key of a target whose bracket closes before `end`; the target's own name if the key is a number."""
+    at = end - 1
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] in "\"'`":
+        opened = text.rfind(text[at - 1], 0, at - 1)
+        key = text[opened + 1 : at - 1]
+        before = opened - (opened > 0 and text[opened - 1] in "bfru")
+        while before > 0 and text[before - 1] in " \t":
+            before -= 1
+        return key if before > 0 and text[before - 1] in "[,(" and "\n" not in key else ""
+    key, left = word_before(text, at)
+    if NAME.match(key):
+        return key
+    return word_before(text, left - 1)[0] if left and text[left - 1] == "[" else ""
+
+
+def typed_name(text: str, at: int) -> str:
+    """The name before a type annotation that ends before the sign at `at`; empty if there is none."""
+    left = at
+    while left and (TYPED.match(text[left - 1]) or text[left - 2 : left] == "::" and left > 2):
+        left -= 2 if text[left - 1] == ":" else 1
+    if not left or text[left - 1] != ":":
+        return ""
+    kind, inner = text[left:at].strip(), None
+    while inner != kind:
+        inner, kind = kind, BRACKETS.sub("", kind)
+    end = left - 1 - (left > 1 and text[left - 2] in "?!")
+    name = word_before(text, end)[0] if TYPE.match(SIGNS.sub(r"\1", kind).strip()) else ""
+    return name if NAME.match(name) else ""
+
+
 def assignments(text: str):
-    """(name, kind, value, start, end) of every assignment: kind is literal or word; the span is the value's."""
+    """(name, kind, value, start, end) of every assignment, for each name that it binds: kind is literal or word; the span is the value's."""
     for op in re.finditer(r"[:=]", text):
         at = op.start()
         if at and text[at - 1] in ":=<>!" or text[at : at + 2] in ("==", "::"):
             continue
-        left = at
-        while left and text[left - 1] in " \t":
-            left -= 1
-        if left and text[left - 1] in "\"'":
-            left -= 1
-        end = left
-        while left and BEFORE.match(text[left - 1]):
-            left -= 1
-        if not NAME.match(text[left:end]):
+        end = at
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if end and text[end - 1] == "]":
+            names = [subscript(text, end)]
+        else:
+            name = word_before(text, end)[0]
+            names = [name if NAME.match(name) else ""]
+        if text[at] == "=":
+            names.append(typed_name(text, at))
+        names = [n for n in dict.fromkeys(names) if n]
+        if not names:
             continue
         found = AFTER.match(text, at + 1 + (text[at + 1 : at + 2] in ("=", ">")))
         if not found:
@@ -71,9 +126,9 @@ def assignments(text: str):
             while more:
                 value, stop = value + more[2], more.end(2)
                 more = PLUS.match(text, more.end())
-            yield text[left:end], "literal", value, start, stop
+            yield from ((name, "literal", value, start, stop) for name in names)
         else:
-            yield text[left:end], "word", found[3], found.start(3), found.end(3)
+            yield from ((name, "word", found[3], found.start(3), found.end(3)) for name in names)
 
 
 def name_score(name: str) -> float:
@@ -81,9 +136,9 @@ def name_score(name: str) -> float:
     return sum(SENSITIVE.get(p, 0.0) for p in dict.fromkeys(parts))
 
 
-def value_score(value: str) -> float:
-    """0 for what can't be a secret, else up to 1 by length and the mix of characters."""
-    if len(value) < 6 or " " in value or "${" in value or "{{" in value or value[0] in "<$%" or PLACEHOLDER.match(value):
+def value_score(value: str, spaced: bool = False) -> float:
+    """0 for what can't be a secret (with spaces only if spaced), else up to 1 by length and the mix of characters."""
+    if len(value) < 6 or " " in value and not (spaced and value.strip()) or "${" in value or "{{" in value or value[0] in "<$%" or PLACEHOLDER.match(value):
         return 0.0
     mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.25 * mixed + 0.025 * min(len(value), 20))
@@ -96,7 +151,8 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
         bound = known.get(value) if kind == "word" else None
         known[name] = literal = bound or (value, start, end)
         score[literal] = max(score.get(literal, 0.0), name_score(name))
-    return [("lexed", s, e) for (value, s, e), points in score.items() if points and points * (0.5 + value_score(value)) >= THRESHOLD and value_score(value) >= 0.5]
+    worth = {literal: value_score(literal[0], points >= SPACED) for literal, points in score.items()}
+    return [("lexed", s, e) for (value, s, e), points in score.items() if points and points * (0.5 + worth[value, s, e]) >= THRESHOLD and worth[value, s, e] >= 0.5]
 
 
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
