@@ -249,9 +249,10 @@ def close(sides: list[list[np.ndarray]], chunk: int = 4096) -> tuple[np.ndarray,
 
 
 def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, k, t, c (number of its exact class), n_copies (rows of that class), class_id, kept for every row; links: verified pairs a, b of numbers c, enough to join each class.
+    """(members, links). members: doc_id, k, t, c (number of its exact class), n_copies (rows of that class), root, class_id, kept for every row; links: verified pairs a, b of numbers c, enough to join each class.
 
-    kept: the row is the one of its class_id with the smallest doc_id.
+    root: the same number for all rows of a group, and for no others. class_id: the group's smallest doc_id, null if it has none.
+    kept: the row is the one of its group with the smallest doc_id, or with the smallest text hash if the group has no doc_id.
     """
     rows = written(digested(docs), "digests")
     rows = rows.withColumn("c", F.xxhash64("d1", "d2"))
@@ -282,9 +283,10 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = links.unionByName(more)
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.join(found.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(smallest, "root").select("c", "class_id", "n_copies")
-    out = rows.select("doc_id", "k", "t", "c").join(named, "c").select("doc_id", "k", "t", "c", "n_copies", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("one.t").alias("first_t"))
+    named = named.join(smallest, "root").select("c", "root", "class_id", "first_t", "n_copies")
+    kept = F.when(F.col("class_id").isNull(), F.col("t") == F.col("first_t")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    out = rows.select("doc_id", "k", "t", "c").join(named, "c").select("doc_id", "k", "t", "c", "n_copies", "root", "class_id", kept.alias("kept"))
     return out, links
 
 
@@ -306,8 +308,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Groups without any doc_id keep one of their rows by text.
     """
     members, _ = near_duplicates(docs)
-    # The row to keep of each class_id (of each exact class where no id is known), named by k and t.
-    group = F.coalesce(F.col("class_id"), F.col("c"))
+    # The row to keep of each class_id (of each root where no id is known), named by k and t.
+    group = F.coalesce(F.col("class_id"), F.col("root"))
     chosen = members.groupBy(group.alias("g"), F.col("class_id").isNull().alias("unnamed")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "k", "t")).alias("one"), F.count("*").alias("n"))
     chosen = written(chosen.select(F.col("one.k").alias("_k"), F.col("one.t").alias("_t"), "n"), "chosen")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]

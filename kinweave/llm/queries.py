@@ -50,7 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = minhash.near_duplicates(documents(spark, sf_dir))
-    return members.select("doc_id", "class_id", "n_copies", "kept")
+    return members.select("doc_id", "class_id", "n_copies", "kept", "root")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,3 +391,17 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert Counter(t for _, t in texts(kept)) == Counter({t or "" for t in ODD} | {"no id"})
     assert minhash.drop_near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_without_ids(spark):
+    """Two groups of near copies whose ids are all null, and one with an id: each keeps one row."""
+    base = {g: [f"{g}{i}" for i in range(200)] for g in "abc"}
+    data = [(1 if (g, k) == ("c", 2) else None, " ".join([*words[:100], f"new{k}", *words[101:]])) for g, words in base.items() for k in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    members, _ = minhash.near_duplicates(df)
+    groups = {}
+    for r in members.collect():
+        groups.setdefault(r.root, []).append((r.class_id, r.kept))
+    assert sorted((len(g), {i for i, _ in g} == {1}, sum(k for _, k in g)) for g in groups.values()) == [(4, False, 1), (4, False, 1), (4, True, 1)]
+    kept = texts(minhash.drop_near_duplicates(df))
+    assert sorted(t[0] for _, t in kept) == ["a", "b", "c"] and [i for i, t in kept if t[0] == "c"] == [1]
