@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What is no given name (initials and particles, regnal numerals, ordinals), and what is blanked before the split.
+_PARTICLE = r"^(?:[A-Z]|[a-z]{1,3})$"
 _ROMAN = r"^[IVXLCDM]{2,}$"
-_ORDINAL = r"^[0-9]+(?:st|nd|rd|th|\.)?$"
+_ORDINAL = r"(?i)^\d+(?:st|nd|rd|th)$"
+_NOISE = r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[(){}\[\]`\"]"
+# Letters without a decomposition, and what they fold to.
+_SINGLE = {"đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ĸ": "q", "ł": "l", "ŋ": "n", "ø": "o", "ŧ": "t"}
+_DOUBLE = {"ß": "ss", "æ": "ae", "ǽ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŉ": "'n", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+
+
+def _folds() -> dict[str, str]:
+    """Lower-case Latin letters up to U+024F and U+1E00 to U+1EFF, and the plain letter that their decomposition starts with."""
+    letters = [chr(i).lower() for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    return {c: d for c in letters if len(c) == 1 and c not in _DOUBLE and (d := unicodedata.normalize("NFKD", c)[0]) != c and d.isascii() and d.isalpha()} | _SINGLE
+
+
+def _compositions() -> dict[str, str]:
+    """A Latin letter and the combining mark after it, and the one character that they compose to."""
+    pairs = (letter + chr(mark) for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for mark in range(0x300, 0x329))
+    return {p: one for p in pairs if len(one := unicodedata.normalize("NFC", p)) == 1}
 
 
 def has_tag(record: Column, *tags: str) -> Column:
@@ -64,14 +84,55 @@ def coordinate(block: Column, tag: str) -> Column:
     return F.when(found != "", found.cast("double") * sign)
 
 
+def composed(value: Column) -> Column:
+    """Latin letters with a combining mark after them as one character each (their NFC form); other sequences keep theirs."""
+    known = F.from_json(F.lit(json.dumps(_compositions())), F.lit("map<string,string>"))
+    parts = F.regexp_extract_all(value, F.lit("(?s)[A-Za-z][\u0300-\u0328]|."), F.lit(0))
+    one = F.transform(parts, lambda c: F.when(F.length(c) == 2, F.coalesce(F.try_element_at(known, c), c)).otherwise(c))
+    return F.when(value.rlike("[\u0300-\u0328]"), F.array_join(one, "")).otherwise(value)
+
+
 def given_tokens(given: Column) -> Column:
-    """Tokens of a given name without bracketed parts, quotes, initials, short particles, roman numerals and ordinals."""
-    plain = F.regexp_replace(F.trim(given), r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[\"'`“”‘’]", " ")
-    tokens = F.split(F.trim(plain), r"\s+")
-    keep = F.filter(tokens, lambda t: (t != "") & ~t.rlike(r"^(?:[A-Z]|[a-z]{1,3})$") & ~t.rlike(_ROMAN) & ~t.rlike(_ORDINAL))
+    """Tokens of a given name, composed, without bracketed parts, double quotes and backticks, initials, short particles,
+    all-capital roman numerals and ordinals. Apostrophes are letters; a stray bracket is a space."""
+    tokens = F.split(F.trim(F.regexp_replace(composed(F.trim(given)), _NOISE, " ")), r"\s+")
+    keep = F.filter(tokens, lambda t: (t != "") & ~t.rlike(_PARTICLE) & ~t.rlike(_ROMAN) & ~t.rlike(_ORDINAL))
     return F.when(F.trim(given).isin("", "@P.N.") | given.isNull(), F.array().cast("array<string>")).otherwise(keep)
 
 
+def folded(token: Column) -> Column:
+    """Lower-case key without accents: the letters above become plain ones, marks left over go, other scripts keep their form."""
+    folds = _folds()
+    out = F.translate(F.lower(composed(token)), "".join(folds), "".join(folds.values()))
+    double = out
+    for one, two in _DOUBLE.items():
+        double = F.replace(double, F.lit(one), F.lit(two))
+    out = F.when(out.rlike("[" + "".join(_DOUBLE) + "]"), double).otherwise(out)
+    return F.regexp_replace(out, "[\u0300-\u036f]", "")
+
+
+def plain_name(name: Column) -> Column:
+    """A record's name without tags, with the usual entities decoded, trimmed."""
+    out = F.regexp_replace(name, "<[^>]*>", "")
+    # Entities of markup; the ampersand's comes last.
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(out)
+
+
+def cast_int(value: Column, default: int = 0) -> Column:
+    return F.coalesce(value.try_cast("int"), F.lit(default))
+
+
+def cast_string(value: Column, default: str = "") -> Column:
+    return F.coalesce(value.cast("string"), F.lit(default))
+
+
+def cast_float(value: Column) -> Column:
+    """Null for what is no number."""
+    return value.try_cast("double")
+
+
 def in_country(place: Column, country: Column) -> Column:
     """The place is the country, or its last comma-separated part is."""
     p = F.trim(place)

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from kinweave.operators.tables import Rounds, written
 
 
 def parent_map(candidates: DataFrame) -> DataFrame:
@@ -39,172 +26,209 @@ def parent_edges(parents: DataFrame) -> DataFrame:
     return parents.select("child", F.explode(F.array_distinct(F.array("father", "mother"))).alias("parent")).where("parent is not null")
 
 
+def pedigrees(parents: DataFrame, generations: int) -> DataFrame:
+    """person, gens: one row a person with known parents; gens[k] holds the distinct ancestors k + 1 generations up.
+
+    A person's k-th generation is the union of their parents' generations before it, so each step is two joins of the person
+    table with itself, and no row is ever exploded; an array holds 2 ** (k + 1) ancestors at most.
+    """
+    found = F.array_distinct(F.filter(F.array("father", "mother"), lambda p: p.isNotNull()))
+    known = written(parents.select(F.col("child").alias("person"), "father", "mother"), "parents")
+    gens = known.select("person", F.array(found).alias("gens"))
+    rounds = Rounds("pedigrees")
+    for g in range(2, generations + 1):
+        last = F.col("gens")[g - 2]
+        side = lambda who, name: gens.select(F.col("person").alias(who), last.alias(name))  # noqa: E731, B023
+        more = known.join(side("father", "f"), "father", "left").join(side("mother", "m"), "mother", "left")
+        none = F.array().cast(dict(gens.select(last.alias("x")).dtypes)["x"])
+        above = more.select("person", F.array_union(F.coalesce("f", none), F.coalesce("m", none)).alias("above"))
+        gens = rounds.put(gens.join(above, "person").select("person", F.concat("gens", F.array("above")).alias("gens")))
+    return gens
+
+
 def ancestors(parents: DataFrame, generations: int) -> DataFrame:
     """person, gen, ancestor: distinct within a generation; one reached in two generations counts in both."""
-    edges = parent_edges(parents)
-    level = edges.select(F.col("child").alias("person"), F.col("parent").alias("ancestor"))
-    out = level.withColumn("gen", F.lit(1))
-    for g in range(2, generations + 1):
-        level = level.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("person", F.col("parent").alias("ancestor")).distinct()
-        out = out.unionByName(level.withColumn("gen", F.lit(g)))
-    return out.select("person", "gen", "ancestor")
+    levels = pedigrees(parents, generations).select("person", F.posexplode("gens").alias("k", "level"))
+    return levels.select("person", (F.col("k") + 1).alias("gen"), F.explode("level").alias("ancestor"))
 
 
 def completeness(parents: DataFrame, persons: DataFrame, generations: int) -> DataFrame:
     """person, known, share: ancestors known, and the mean over generations of the known part of 2**gen."""
-    counts = ancestors(parents, generations).groupBy("person", "gen").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("person").agg(F.sum("n").alias("known"), F.sum(F.col("n") / F.pow(F.lit(2.0), F.col("gen")) / generations).alias("share"))
+    size = lambda k: F.size(F.col("gens")[k])
+    sums = pedigrees(parents, generations).select("person", sum((size(k) for k in range(generations)), F.lit(0)).cast("long").alias("known"), (sum((size(k) / 2.0 ** (k + 1) for k in range(generations)), F.lit(0.0)) / generations).alias("share"))
     return persons.select("person").join(sums, "person", "left").select("person", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def shared_ancestry(couples: DataFrame, parents: DataFrame, generations: int) -> DataFrame:
     """couple, endogamous: of couples who both have known parents, whether they share an ancestor."""
-    known = parents.select(F.col("child").alias("k"))
-    both = couples.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi")
-    sets = ancestors(parents, generations).select("person", "ancestor").distinct()
-    of_a = both.join(sets.withColumnRenamed("person", "a"), "a").select("couple", "ancestor")
-    of_b = both.join(sets.withColumnRenamed("person", "b"), "b").select("couple", "ancestor")
-    hit = of_a.join(of_b, ["couple", "ancestor"]).select("couple").distinct().withColumn("hit", F.lit(True))
-    return both.join(hit, "couple", "left").select("couple", F.coalesce("hit", F.lit(False)).alias("endogamous"))
+    every = pedigrees(parents, generations).select("person", F.array_distinct(F.flatten("gens")).alias("up"))
+    both = couples.join(every.toDF("a", "up_a"), "a").join(every.toDF("b", "up_b"), "b")
+    return both.select("couple", F.arrays_overlap("up_a", "up_b").alias("endogamous"))
 
 
 def depths(edges: DataFrame, cap: int = 100) -> DataFrame:
-    """node, depth, capped of all nodes of edges (parent, child): the longest way down, leaves 0, cut at cap.
+    """node, depth, capped of all nodes of edges (parent, child): the longest way down, leaves 0, clamped to cap; capped: it is cap.
 
-    Nodes are peeled from the leaves up, so cycles can't raise depths: nodes on or above one take the depth below them.
+    Round r finds the nodes with a way down of r steps: the parents of those of round r - 1. Only edges into them go on, so
+    tables shrink, and a node's depth is the last round that has it. Nodes that never leave are on or above a cycle; they can't
+    raise depths, but take the depth below them.
     """
-    edges = edges.select("parent", "child").where("parent <> child").distinct()
+    edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
-    done = settled(nodes.join(edges.select(F.col("parent").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)))
-    left = settled(edges)
-    frontier = done
+    live, levels = Rounds("live"), Rounds("levels", 1 << 30)
+    left, before, r = edges, -1, 0
     while True:
-        # Parents all of whose children are done.
-        waiting = left.join(done.select(F.col("node").alias("child"), "depth"), "child", "left")
-        ready = waiting.groupBy("parent").agg(F.max("depth").alias("d"), F.count("*").alias("n"), F.count("depth").alias("k")).where("n = k")
-        frontier = settled(ready.select(F.col("parent").alias("node"), (F.col("d") + 1).cast("int").alias("depth")))
-        if frontier.isEmpty():
+        r += 1
+        now = levels.put(left.select(F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(r)))
+        many = now.count()
+        if many in (0, before):
             break
-        left = settled(left.join(frontier.select(F.col("node").alias("parent")), "parent", "left_anti"))
-        done = settled(done.unionByName(frontier))
-    rest = left.join(done.select(F.col("node").alias("child"), "depth"), "child", "left").groupBy("parent").agg((F.coalesce(F.max("depth"), F.lit(-1)) + 1).cast("int").alias("depth")).withColumnRenamed("parent", "node")
-    out = done.unionByName(rest)
-    return out.select("node", F.least("depth", F.lit(cap)).alias("depth"), (F.col("depth") > cap).alias("capped"))
+        before = many
+        left = live.put(left.join(now.select(F.col("node").alias("child")), "child", "left_semi"))
+    found = levels.all(edges.sparkSession)
+    out = nodes.join(found.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
+    if many:  # the last two rounds are the same nodes
+        rest = now.select("node")
+        done = out.join(rest, "node", "left_anti")
+        below = left.join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent")
+        of = edges.join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi").join(done.select(F.col("node").alias("child"), "depth"), "child").select("parent", (F.col("depth") + 1).alias("depth"))
+        cyclic = of.unionByName(below.withColumn("depth", F.lit(0))).groupBy(F.col("parent").alias("node")).agg(F.max("depth").alias("depth"))
+        out = done.unionByName(cyclic)
+    return out.select("node", F.least("depth", F.lit(cap)).alias("depth"), (F.col("depth") >= cap).alias("capped"))
 
 
 def descendants(edges: DataFrame) -> DataFrame:
-    """ancestor, person: all distinct pairs with a way down, none with itself. Only new pairs go to the next round."""
-    edges = edges.select("parent", "child").where("parent <> child").distinct()
-    new = found = settled(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("person")))
+    """ancestor, person: all distinct pairs with a way down, none with itself. A round joins only the pairs new in the one before, and appends what it finds."""
+    edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
+    rounds = Rounds("descendants", 1 << 30)
+    new = rounds.put(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("person")))
     while not new.isEmpty():
         step = new.join(edges.select(F.col("parent").alias("person"), F.col("child").alias("next")), "person").select("ancestor", F.col("next").alias("person")).where("ancestor <> person").distinct()
-        new = settled(step.join(found, ["ancestor", "person"], "left_anti"))
-        found = settled(found.unionByName(new))
-    return found
+        new = rounds.put(step.join(rounds.all(edges.sparkSession), ["ancestor", "person"], "left_anti"))
+    return rounds.all(edges.sparkSession)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, root: root is the smallest node of the component; nodes without an edge are their own."""
-    now = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+def roots(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, root of every node of edges (u, v) that reaches a smaller one: root is the smallest.
+
+    Rounds of large-star and small-star over tables in the shared folder, until a round changes nothing. Neighbour sets are
+    never gathered: a round is a minimum per node, pre-aggregated, and a join back, whose hub keys AQE's skew join splits (the
+    join's result is aggregated anew, so that splitting costs no further shuffle).
+    """
+    rounds = Rounds(name)
+    now = rounds.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == mark or not seen[0]:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        now = settled(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        now = rounds.put(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root: root is the smallest node of the component; nodes without an edge are their own."""
+    return nodes.select("node").distinct().join(roots(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def walk(both: DataFrame, start: DataFrame, key: str) -> DataFrame:
+    """key, node, level, path of a breadth-first walk from start (key, node) along both (key, u, v in both directions).
+
+    A node's path is the least of those that reach it, so levels are entered in the order of a queue whose neighbours are
+    sorted. A round joins the last level only; what it meets again lies in that level or in the one before.
+    """
+    rounds = Rounds("walk", 1 << 30)
+    now = rounds.put(start.select(key, "node", F.lit(0).alias("level"), F.array("node").alias("path")))
+    seen = now.select(key, "node")
+    while not now.isEmpty():
+        step = now.join(both.withColumnRenamed("u", "node"), [key, "node"]).select(key, F.col("v").alias("node"), (F.col("level") + 1).alias("level"), F.concat("path", F.array("v")).alias("path"))
+        new = step.join(seen, [key, "node"], "left_anti").groupBy(key, "node").agg(F.min("level").alias("level"), F.min("path").alias("path"))
+        last, now = now, rounds.put(new)
+        seen = last.select(key, "node").unionByName(now.select(key, "node"))
+    return rounds.all(both.sparkSession)
 
 
 def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> DataFrame:
-    """key, length, path: a longest shortest way of a component by two breadth-first walks, from its smallest node.
+    """key, length, path: a longest shortest way of each component by two breadth-first walks, the first from its smallest node.
 
-    component: key, u, v, both directions. One group of a bounded size (the largest partnership group) goes to each task.
+    component: key, u, v, both directions. Of the nodes farthest in the first walk the smallest starts the second; of the ways to
+    the nodes farthest from it, each read from whichever end makes it smaller, the smallest is returned; of longer ones the last
+    cap nodes. The walks are joins of frontiers; one path a component comes out.
     """
-    import pandas as pd
-
-    def walk(near, start):
-        level, before, frontier = {start: 0}, {}, [start]
-        while frontier:
-            after = []
-            for x in frontier:
-                for y in sorted(near[x]):
-                    if y not in level:
-                        level[y], before[y] = level[x] + 1, x
-                        after.append(y)
-            frontier = sorted(after)
-        return level, before
-
-    def run(pdf):
-        near = {}
-        for u, v in zip(pdf.u, pdf.v, strict=True):
-            near.setdefault(u, set()).add(v)
-        level, _ = walk(near, min(near))
-        far = min(x for x, d in level.items() if d == max(level.values()))
-        level, before = walk(near, far)
-        paths = []
-        for end in (x for x, d in level.items() if d == max(level.values())):
-            path = [end]
-            while path[-1] in before:
-                path.append(before[path[-1]])
-            paths.append(min(path, path[::-1]))
-        best = min(paths)[:cap]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "length": [len(best)], "path": [",".join(map(str, best))]})
-
-    return component.groupBy(key).applyInPandas(run, f"{key} {dict(component.dtypes)[key]}, length long, path string")
-
-
-def deepest_chain(edges: DataFrame, births: DataFrame | None = None, cap: int = 100) -> DataFrame:
+    both = written(component.select(key, "u", "v").distinct(), "component")
+    first = walk(both, both.groupBy(key).agg(F.min("u").alias("node")), key)
+    far = first.groupBy(key).agg(F.min_by("node", F.struct(-F.col("level"), F.col("node"))).alias("node"))
+    second = walk(both, far, key)
+    ends = second.join(second.groupBy(key).agg(F.max("level").alias("level")), [key, "level"])
+    path = F.slice("path", -F.least(F.size("path"), F.lit(cap)), F.lit(cap))
+    best = ends.select(key, path.alias("p")).groupBy(key).agg(F.min(F.least("p", F.reverse("p"))).alias("p"))
+    return best.select(key, F.size("p").cast("long").alias("length"), F.array_join(F.col("p").cast("array<string>"), ",").alias("path"))
+
+
+def deepest_chain(edges: DataFrame, births: DataFrame | None = None, cap: int = 100, stride: int = 10) -> DataFrame:
     """ord, node, chains: one chain of the greatest number of generations, from its leaf up; chains counts its equals' leaves.
 
     The leaf is the one born last (births: node, jd), then the smallest; each step goes to the parent with the longest line
-    above it, of equals the smallest. At most cap steps, each a lookup of one node.
+    above it, of equals the smallest. Every node's step is found at once; the chain of at most cap is then read `stride` steps a job.
     """
     edges = edges.select("parent", "child").where("parent <> child").distinct()
-    above = settled(depths(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), cap).select("node", "depth"))
+    above = written(depths(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")), cap).select("node", "depth"), "above")
     leaves = above.join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
     top = leaves.agg(F.max("depth").alias("depth"))
-    last = settled(leaves.join(F.broadcast(top), "depth").select("node"))
+    last = written(leaves.join(F.broadcast(top), "depth").select("node"), "leaves")
     dated = last.join(births, "node", "left") if births is not None else last.withColumn("jd", F.lit(0))
     start = dated.orderBy(F.col("jd").desc_nulls_last(), "node").limit(1).collect()
-    chain, total = [r.node for r in start], last.count()
+    up = edges.withColumnRenamed("parent", "node").join(above, "node").groupBy("child").agg(F.min_by("node", F.struct(-F.col("depth"), F.col("node"))).alias("up"))
+    up = written(up, "up")
+    chain, total, kind = [r.node for r in start], last.count(), dict(above.dtypes)["node"]
     while chain and len(chain) <= cap:
-        up = edges.where(F.col("child") == chain[-1]).select(F.col("parent").alias("node")).join(above, "node").orderBy(F.col("depth").desc(), "node").limit(1).collect()
-        if not up or up[0].node in chain:
+        way = edges.sparkSession.createDataFrame([(chain[-1],)], f"n0 {kind}")
+        for k in range(stride):
+            way = up.toDF(f"n{k}", f"n{k + 1}").join(F.broadcast(way), f"n{k}", "right")  # one row
+        row = way.select(*(f"n{k}" for k in range(1, stride + 1))).first()
+        more = [x for x in row if x is not None]
+        met = next((k for k, x in enumerate(more) if x in chain or x in more[:k]), len(more))
+        chain += more[:met]
+        if met < stride:
             break
-        chain.append(up[0].node)
-    kind = dict(above.dtypes)["node"]
-    return edges.sparkSession.createDataFrame([(k, x, total) for k, x in enumerate(chain)], f"ord int, node {kind}, chains long")
+    return edges.sparkSession.createDataFrame([(k, x, total) for k, x in enumerate(chain[: cap + 1])], f"ord int, node {kind}, chains long")
 
 
 def excerpt(component: DataFrame, chain: str, most: int = 70, key: str = "root") -> DataFrame:
-    """key, low, high: edges among the nodes of a chain and those met first around it, at most `most` nodes.
+    """key, low, high: edges among the nodes of a chain and those met first around it, at most `most` nodes (the chain's always stay).
 
-    component: key, u, v, both directions, of the largest group; chain: its nodes, comma-joined.
+    component: key, u, v, both directions, of one group; chain: its nodes, comma-joined. A group of at most `most` nodes is shown
+    whole. Otherwise the chain's nodes, sorted, start a breadth-first queue; a step looks up the neighbours of at most `most` nodes.
     """
-    import pandas as pd
-
-    seeds = chain.split(",")
-
-    def run(pdf):
-        near = {}
-        for u, v in zip(pdf.u, pdf.v, strict=True):
-            near.setdefault(u, set()).add(v)
-        name = {str(x): x for x in near}
-        kept = [name[s] for s in seeds if s in name][:most]
-        seen, at = set(kept), 0
-        while at < len(kept) and len(kept) < most:
-            for x in sorted(near[kept[at]] - seen)[: most - len(kept)]:
-                seen.add(x)
-                kept.append(x)
-            at += 1
-        pairs = sorted({(min(a, b), max(a, b)) for a in kept for b in near[a] & seen})
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(pairs), "low": [p[0] for p in pairs], "high": [p[1] for p in pairs]})
-
-    kinds = dict(component.dtypes)
-    return component.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, low {kinds['u']}, high {kinds['u']}")
+    both = written(component.select(key, "u", "v").distinct(), "component")
+    spark, kinds = both.sparkSession, dict(both.dtypes)
+    table = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  at most `most` rows, or the chain's
+    everyone = [r.u for r in both.select("u").distinct().limit(most + 1).collect()]
+    if len(everyone) <= most:
+        shown = everyone
+    else:
+        seeds = table([(x,) for x in dict.fromkeys(chain.split(","))], "s string")
+        shown = [r.u for r in both.select("u").distinct().join(seeds, F.col("u").cast("string") == F.col("s")).orderBy("u").select("u").collect()]
+        frontier = shown
+        while frontier and len(shown) < most:
+            near = both.join(table(list(enumerate(frontier)), f"k int, u {kinds['u']}"), "u").join(table([(x,) for x in shown], f"v {kinds['u']}"), "v", "left_anti")
+            frontier = [r.v for r in near.groupBy("v").agg(F.min("k").alias("k")).orderBy("k", "v").limit(most - len(shown)).collect()]
+            shown = shown + frontier
+    inside = both.join(table([(x,) for x in shown], f"u {kinds['u']}"), "u").join(table([(x,) for x in shown], f"v {kinds['u']}"), "v")
+    return inside.select(key, F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).distinct().orderBy(key, "low", "high")
+
+
+def edge_count(both: DataFrame, key: str = "root") -> DataFrame:
+    """key, edges of components given in both directions."""
+    return both.groupBy(key).agg((F.count("*") / 2).cast("long").alias("edges"))
+
+
+def hub(both: DataFrame, key: str = "root") -> DataFrame:
+    """key, hub, degree: the node of a component with the most neighbours, of equals the smallest."""
+    degree = both.groupBy(key, "u").agg(F.count("*").alias("degree"))
+    best = degree.groupBy(key).agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("u").alias("u"))).alias("m"))
+    return best.select(key, F.col("m.u").alias("hub"), (-F.col("m.d")).alias("degree"))

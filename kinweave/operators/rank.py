@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.tables import written
+
 
-def folded_counts(df: DataFrame, value: Column, position: Column) -> DataFrame:
-    """key, label, n: values counted by lower case; the label is the spelling met first by position."""
+def folded_counts(df: DataFrame, value: Column, position: Column, fold: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """key, label, n: values counted by their fold; the label is the spelling met first by position."""
     rows = df.select(value.alias("v"), position.alias("p")).where("v is not null and v <> ''")
-    return rows.groupBy(F.lower("v").alias("key")).agg(F.min_by("v", F.struct("p", "v")).alias("label"), F.count("*").alias("n"))
+    return rows.groupBy(fold(F.col("v")).alias("key")).agg(F.min_by("v", F.struct("p", "v")).alias("label"), F.count("*").alias("n"))
+
+
+def normalized(df: DataFrame, value: str, normalizer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """df with key and label of a value. normalizer: from the distinct values (v) to v, key, label, called once for the whole
+    column; what it leaves out or null, and every value without one, has its lower case as key and itself as label."""
+    if normalizer is None:
+        return df.withColumns({"key": F.lower(value), "label": F.col(value)})
+    found = normalizer(df.select(F.col(value).alias("v")).where("v is not null").distinct()).select(F.col("v").alias(value), F.col("key").alias("_key"), F.col("label").alias("_label"))
+    return df.join(found, value, "left").withColumns({"key": F.coalesce("_key", F.lower(value)), "label": F.coalesce("_label", value)}).drop("_key", "_label")
+
+
+def distinct_total(counts: DataFrame) -> DataFrame:
+    """total: the number of keys of folded or other counts."""
+    return counts.agg(F.count("*").alias("total"))
 
 
 def merged_labels(df: DataFrame) -> DataFrame:
@@ -18,9 +36,30 @@ def merged_labels(df: DataFrame) -> DataFrame:
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows (all if n <= 0) with their rank as ord. Only what the limit leaves is numbered."""
-    cut = df.orderBy(*order).limit(n) if n > 0 else df
-    return cut.withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """The first n rows (all if n <= 0) with their rank as ord. Only what the limit leaves is numbered in one task."""
+    if n <= 0:
+        return numbered(df, *order)
+    return df.orderBy(*order).limit(n).withColumn("ord", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their rank as ord: sorted by ranges, numbered within each, and shifted by the sizes of the ranges before."""
+    parts = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    return parts.join(F.broadcast(before), part == F.col("_part")).withColumn("ord", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, "ord")
+
+
+def label_sorted(df: DataFrame, label: str = "label", last: str | None = None) -> DataFrame:
+    """Rows by label in Unicode collation, of equals in byte order, with the label `last` after all others; ord is their number."""
+    pinned = F.when(F.col(label) == last, 1).otherwise(0) if last is not None else F.lit(0)
+    return numbered(df, pinned, F.collate(F.col(label), "UNICODE"), F.col(label))
+
+
+def top_by_label(df: DataFrame, n: int, label: str, *order: Column) -> DataFrame:
+    """The first n rows by order, then shown by label: ord is their place among the labels."""
+    return df.orderBy(*order).limit(n).withColumn("ord", F.row_number().over(Window.orderBy(label)).cast("long"))
 
 
 def dominant(df: DataFrame, key: str, form: str) -> DataFrame:

@@ -25,7 +25,7 @@ def anomalies(df: DataFrame, order: str, value: str, reach: int = 5, least_basel
     rows = df.withColumns({"w": F.collect_list(value).over(w), "sd": F.stddev_pop(value).over(w)}).where(F.size("w") == 2 * reach + 1)
     rows = rows.withColumn("baseline", F.sort_array("w")[reach])
     rows = rows.where((F.col("baseline") >= least_baseline) & (F.col("sd") > 0)).withColumn("z_score", (F.col(value) - F.col("baseline")) / F.col("sd"))
-    strongest = rows.where(F.col("z_score") >= z).orderBy(F.col("z_score").desc(), order).limit(n)
+    strongest = rows.where(F.col("z_score") >= z).orderBy(F.col("z_score").desc(), order).limit(n).orderBy(order)
     return strongest.select(order, value, "baseline", (F.col(value) / F.col("baseline")).alias("multiplier"), "z_score")
 
 
@@ -36,8 +36,15 @@ def gaps(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def anchored_clusters(df: DataFrame, key: str, at: Column, reach: int) -> DataFrame:
-    """key, anchor, size: sets that start at an anchor and hold what lies within `reach` of the anchor, not of each other."""
-    lists = df.select(key, at.alias("at")).where("at is not null").groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    """key, anchor, size: sets that start at an anchor and hold what lies within `reach` of the anchor, not of each other.
+
+    A gap wider than `reach` always parts two sets, so a key's rows are first cut there: what is gathered is one dense run.
+    """
+    rows = df.select(key, at.alias("at")).where("at is not null")
+    ordered = Window.partitionBy(key).orderBy("at")
+    cut = (F.col("at") - F.lag("at").over(ordered) > reach).cast("long")
+    runs = rows.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("run", F.sum("cut").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    lists = runs.groupBy(key, "run").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     start = F.array().cast("array<struct<anchor:bigint,size:bigint>>")
 
     def merge(acc, x):

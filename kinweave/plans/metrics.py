@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import calendar, geo, text
 from kinweave.operators import dates, flow, graph, hist, rank, series
+from kinweave.operators.tables import written
 
 DEAD = ("DEAT", "BURI", "CREM")
 FORMS = ("NAME", "ROMN", "FONE", "_HEB")
@@ -212,7 +213,7 @@ class Tree:
     def top_given_names(self, sex: str, n: int = 10) -> DataFrame:
         people = self.individuals.where(F.col("i_sex") == sex).select(F.col("i_id").alias("n_id"))
         tokens = self.name.where("n_num = 0 and length(n_givn) > 1").join(people, "n_id", "left_semi").select("n_id", F.explode(text.given_tokens(F.col("n_givn"))).alias("form"))
-        keyed = tokens.withColumn("key", folded(F.col("form")))
+        keyed = tokens.withColumn("key", text.folded(F.col("form")))
         counts = keyed.select("n_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
         return rank.top(counts.join(rank.dominant(keyed, "key", "form"), "key"), n, F.col("n").desc(), F.col("key"))
 
@@ -301,7 +302,7 @@ class Tree:
 
     def longest_partner_chain(self) -> DataFrame:
         edges = self.couples().where("f_husb <> f_wife").select(F.col("f_husb").alias("u"), F.col("f_wife").alias("v")).distinct()
-        roots = graph.settled(graph.components(edges, edges.select(F.explode(F.array("u", "v")).alias("node"))))
+        roots = written(graph.roots(edges), "roots")
         largest = roots.groupBy("root").agg(F.count("*").alias("size")).where("size >= 3").orderBy(F.col("size").desc(), "root").limit(1).select("root")
         inside = edges.join(roots.withColumnRenamed("node", "u"), "u").join(F.broadcast(largest), "root")
         return graph.longest_chain(inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v"))))
@@ -400,7 +401,7 @@ class Tree:
     def given_names_by_year(self) -> DataFrame:
         """key, form, year of every token of a primary name with a dated birth."""
         first = self.name.where("n_num = 0 and n_type <> '_MARNM'").select(F.col("n_id").alias("d_gid"), F.explode(text.given_tokens(F.col("n_givn"))).alias("form"))
-        return first.join(self.born(), "d_gid").select(folded(F.col("form")).alias("key"), "form", "year")
+        return first.join(self.born(), "d_gid").select(text.folded(F.col("form")).alias("key"), "form", "year")
 
     def given_name_trends(self, n: int = 10) -> DataFrame:
         rows = self.given_names_by_year()
@@ -416,7 +417,7 @@ class Tree:
 
     def name_passdown(self, floor: int = 10) -> DataFrame:
         """century, sex, n, share: of children with a parent of the same sex, those who share a folded given name."""
-        names = self.name.where("n_num = 0").select("n_id", F.transform(text.given_tokens(F.col("n_givn")), folded).alias("tokens")).where("size(tokens) > 0")
+        names = self.name.where("n_num = 0").select("n_id", F.transform(text.given_tokens(F.col("n_givn")), text.folded).alias("tokens")).where("size(tokens) > 0")
         child = self.children().join(self.individuals.select(F.col("i_id").alias("d_gid"), F.col("i_sex").alias("sex")), "d_gid").join(self.born().select("d_gid", "year"), "d_gid")
         pairs = child.join(self.spouses(), ["f_id", "sex"]).join(names.toDF("d_gid", "own"), "d_gid").join(names.toDF("person", "theirs"), "person")
         rows = pairs.groupBy(calendar.century(F.col("year")).alias("century"), "sex").agg(F.count("*").alias("n"), F.sum(F.arrays_overlap("own", "theirs").cast("long")).alias("hit"))
@@ -482,11 +483,3 @@ class Tree:
         one = lambda name: self.tables[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("record"), "n")
         kinds = self.other.groupBy(F.when(F.col("o_type").isin("NOTE", "SNOTE"), "NOTE").otherwise(F.col("o_type")).alias("record")).agg(F.count("*").alias("n"))
         return one("individuals").unionByName(one("families")).unionByName(one("sources")).unionByName(one("media")).unionByName(kinds)
-
-
-def folded(token: Column) -> Column:
-    """Lower-case Latin key without accents: JVM-side for the letters below; what isn't listed keeps its form."""
-    # Accented letters and what they fold to.
-    marked = "àáâãäåāăąçćčďđèéêëēėęěğìíîïīįłñńňòóôõöøōőŕřśşšßťţùúûüūůűýÿźżž"
-    plain_ = "aaaaaaaaacccddeeeeeeeegiiiiiilnnnoooooooorrssssttuuuuuuuyyzzz"
-    return F.translate(F.lower(token), marked, plain_)

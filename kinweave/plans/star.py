@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import calendar, geo, text
 from kinweave.functions.labels import DASH
 from kinweave.operators import dates, flow, graph, hist, rank, series
+from kinweave.operators.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,8 +154,9 @@ def survival_by_cohort(t):
 @query(f"WITH {FIRST_SHIP} SELECT year(day)::BIGINT AS year, count(*) AS n, quantile_disc(date_diff('day', day, ship), 0.5)::BIGINT AS median, min(date_diff('day', day, ship))::BIGINT AS low, max(date_diff('day', day, ship))::BIGINT AS high FROM f GROUP BY 1 HAVING count(*) >= 5")
 def raw_samples_by_cohort(t):
     d = F.datediff("ship", "day")
-    rows = first_ship(t).groupBy(long(F.year("day")).alias("year")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(d)).alias("days"))
-    return rows.where("n >= 5").select("year", "n", long(F.element_at("days", F.ceil(F.col("n") * 0.5).cast("int"))).alias("median"), long(F.element_at("days", 1)).alias("low"), long(F.element_at("days", -1)).alias("high"))
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY days)")  # counts of distinct days, not lists of rows
+    rows = first_ship(t).select(long(F.year("day")).alias("year"), d.alias("days")).groupBy("year")
+    return rows.agg(F.count("*").alias("n"), long(middle).alias("median"), long(F.min("days")).alias("low"), long(F.max("days")).alias("high")).where("n >= 5")
 
 
 @query(f"""WITH {FIRST_SHIP}, g AS (SELECT year(day)::BIGINT AS year, o_custkey % 2 AS side, least(date_diff('day', day, ship) // 300 * 300, 1800) AS band FROM f WHERE ship >= day)
@@ -277,7 +279,7 @@ def token_uses(t) -> DataFrame:
 
 @query(f"""WITH {USES}, s AS (SELECT unnest(range(min(year), max(year) + 1)) AS year FROM u JOIN best USING (token)) SELECT best.token, s.year, count(u.year) AS n FROM best CROSS JOIN s LEFT JOIN u ON u.token = best.token AND u.year = s.year GROUP BY 1, 2""")
 def name_trend(t):
-    uses = token_uses(t)
+    uses = written(token_uses(t), "uses")  # one row a token and year
     best = uses.groupBy("token").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "token").limit(5).select("token")
     kept = uses.join(F.broadcast(best), "token")
     ends = kept.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("year"))
@@ -541,12 +543,24 @@ def components(t):
     return graph.components(ties(t), t.customer.select(F.col("c_custkey").alias("node"))).groupBy("root").agg(F.count("*").alias("size"))
 
 
-@query()
+# A component of these ties is a tree whose root is its smallest node, so the way between two nodes goes up from both to the last
+# node that they share: the walks of the chain are lookups in the table of ancestors.
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS u, c_custkey // 2 AS v FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey > 1),
+up AS (SELECT c_custkey AS node, c_custkey AS top, 0 AS d FROM customer UNION ALL SELECT node, v, d + 1 FROM up JOIN e ON u = top),
+r AS (SELECT node, min(top) AS root FROM up GROUP BY 1), big AS (SELECT root FROM r GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1),
+far AS (SELECT node AS s FROM up JOIN big ON top = root ORDER BY d DESC, node LIMIT 1),
+ups AS (SELECT top, d FROM up JOIN far ON node = s),
+dist AS (SELECT up.node, min(up.d + ups.d) AS d FROM up JOIN ups ON up.top = ups.top GROUP BY 1),
+ends AS (SELECT node FROM dist WHERE d = (SELECT max(d) FROM dist)),
+meet AS (SELECT up.node, arg_min(up.top, up.d) AS top, min(up.d) AS d, arg_min(ups.d, up.d) AS sd FROM up JOIN ends ON up.node = ends.node JOIN ups ON up.top = ups.top GROUP BY 1),
+p AS (SELECT list_concat((SELECT list(x.top ORDER BY x.d) FROM up x WHERE x.node = meet.node AND x.d <= meet.d), (SELECT list(y.top ORDER BY y.d DESC) FROM up y, far WHERE y.node = far.s AND y.d < meet.sd)) AS a FROM meet),
+q AS (SELECT least(a, list_reverse(a)) AS a FROM p)
+SELECT len(min(a))::BIGINT AS length, array_to_string(min(a), ',') AS path FROM q""")
 def partner_chain(t):
-    """Longest partnership chain of the largest component (size, then smallest root); excluded from SQL: tie-broken shortest paths."""
+    """The longest partnership chain of the largest component (of equals, the one with the smallest root)."""
     edges = ties(t)
-    roots = graph.settled(graph.components(edges, t.customer.select(F.col("c_custkey").alias("node"))))
+    roots = written(graph.components(edges, t.customer.select(F.col("c_custkey").alias("node"))), "roots")
     largest = roots.groupBy("root").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "root").limit(1).select("root")
     inside = edges.join(roots.withColumnRenamed("node", "u"), "u").join(F.broadcast(largest), "root")
     both = inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v")))
-    return graph.longest_chain(both)
+    return graph.longest_chain(both).select("length", "path")

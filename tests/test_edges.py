@@ -1,6 +1,10 @@
 """Policies, payloads, gazetteer, chains and excerpts on small frames."""
 
-from kinweave.operators import graph, privacy
+import pytest
+from pyspark.sql import functions as F
+
+from kinweave.functions import labels, text
+from kinweave.operators import graph, privacy, rank, series, tables
 from kinweave.plans import payload
 from kinweave.sources import gazetteer
 
@@ -52,3 +56,86 @@ def test_chains(spark):
     (row,) = graph.longest_chain(both).collect()
     assert (row.length, row.path) == (4, "b,h,a,z")
     assert [(r.low, r.high) for r in graph.excerpt(both, "b,h,a,z", 5).collect()] == [("a", "h"), ("a", "z"), ("b", "h"), ("c", "h")]
+    assert [(r.hub, r.degree) for r in graph.hub(both).collect()] == [("h", 5)] and [r.edges for r in graph.edge_count(both).collect()] == [6]
+    assert len(graph.excerpt(both, "b", 70).collect()) == 6
+
+
+def test_depth_is_capped_where_it_equals_the_cap(spark):
+    line = frame(spark, [(k, k + 1) for k in range(6)], "parent int, child int")
+    got = {r.node: (r.depth, r.capped) for r in graph.depths(line, 5).collect()}
+    assert got[0] == (5, True) and got[1] == (5, True) and got[2] == (4, False) and got[6] == (0, False)
+
+
+def test_graphs_of_nothing(spark):
+    none = frame(spark, [], "parent string, child string")
+    assert graph.depths(none).count() == graph.descendants(none).count() == graph.deepest_chain(none).count() == 0
+    both = frame(spark, [], "root string, u string, v string")
+    assert graph.longest_chain(both).count() == graph.excerpt(both, "a").count() == 0
+
+
+def test_queue_order_decides_equal_ways(spark):
+    """Of two ways of one length to a node, the one through the neighbour that entered the queue first."""
+    pairs = [("s", "a"), ("s", "b"), ("a", "z"), ("b", "c"), ("z", "t"), ("c", "t")]
+    both = frame(spark, [("g", u, v) for u, v in pairs] + [("g", v, u) for u, v in pairs], "root string, u string, v string")
+    paths = {r.node: "".join(r.path) for r in graph.walk(both, frame(spark, [("g", "s")], "root string, node string"), "root").collect()}
+    assert paths["t"] == "sazt"
+
+
+def test_clusters_of_a_dense_run(spark):
+    rows = frame(spark, [("k", x) for x in (0, 1, 2, 3, 10, 11, 12, 40)] + [("m", None)], "k string, t long")
+    got = sorted((r.anchor, r.size) for r in series.anchored_clusters(rows, "k", F.col("t"), 2).collect())
+    assert got == [(0, 3), (3, 1), (10, 3), (40, 1)]
+
+
+# Names and the tokens that must be left of them.
+NAMES = [
+    ("Anna Maria", ["Anna", "Maria"]), ("José M", ["José"]), ("Hans von", ["Hans"]), ("Anna\t  Maria", ["Anna", "Maria"]), ("@P.N.", []), ("", []), ("   ", []),
+    ("John (King)", ["John"]), ("William II", ["William"]), ("Henry VIII", ["Henry"]), ("Abia (Abijah) (4th King) of JUDAH", ["Abia", "JUDAH"]), ("Robert `the Bruce`", ["Robert", "Bruce"]),
+    ("Aba (Ava) of ARVERNE", ["Aba", "ARVERNE"]), ("(Miss)", []), ("2nd", []), ("Karl 2ND", ["Karl"]), ("Karl [der Große]", ["Karl"]), ("Karl {der Große}", ["Karl"]), ("Anna (King", ["Anna", "King"]),
+    ("O'Brien", ["O'Brien"]), ("Sa'id", ["Sa'id"]), ("Jose\u0301 Maria", ["José", "Maria"]), ("2001 4.", ["2001", "4."]), (None, []),
+]
+KEYS = [("Łukasz", "lukasz"), ("José", "jose"), ("Jose\u0301", "jose"), ("Weiß", "weiss"), ("Æthel", "aethel"), ("Þór", "thor"), ("Øre", "ore"), ("ﬁn", "fin"), ("ANNA", "anna"), ("Иван", "иван"), ("Nguyễn", "nguyen"), ("x\u0332", "x")]
+
+
+def test_given_names(spark):
+    got = frame(spark, [(k, n) for k, (n, _) in enumerate(NAMES)], "k int, n string").select("k", text.given_tokens(F.col("n")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in got] == [t for _, t in NAMES]
+    got = frame(spark, [(k, n) for k, (n, _) in enumerate(KEYS)], "k int, n string").select("k", text.folded(F.col("n")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in got] == [t for _, t in KEYS]
+
+
+def test_names_and_casts(spark):
+    row = frame(spark, [("<b>Ann</b> &amp; &quot;Bo&quot; ", "7", "x", None)], "a string, b string, c string, d string")
+    out = row.select(text.plain_name(F.col("a")).alias("a"), text.cast_int(F.col("b")).alias("b"), text.cast_int(F.col("c"), 3).alias("c"), text.cast_string(F.col("d"), "-").alias("d"), text.cast_float(F.col("c")).alias("e")).first()
+    assert tuple(out) == ('Ann & "Bo"', 7, 3, "-", None)
+
+
+def test_labels(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(labels.century_long(F.lit(c))) for c in (21, -3, 112)] == ["21st Century", "3rd Century BCE", "112th Century"]
+    assert [one(labels.period_label(F.lit(y), n)) for y, n in ((1900, 1), (1900, 3), (-40, 1), (-40, 2))] == ["Period: 1900–1909", "Period: 1900–1929", "Period: 49–40 BCE", "Period: 49–30 BCE"]
+    assert [one(labels.month_number(F.lit(m))) for m in ("JAN", "dec", "X")] == [1, 12, None]
+    assert [one(labels.month_name(F.lit(m))) for m in (1, 12, 13)] == ["Jan", "Dec", None]
+    periods = labels.zodiac_periods()
+    assert list(periods)[0] == "Aries" and periods["Aries"] == "21 Mar – 20 Apr" and periods["Capricornus"] == "21 Dec – 19 Jan" and len(periods) == 12
+    assert [one(labels.media_label(F.lit(m))) for m in ("PHOTO", "", "zzz")] == ["Photo", "Other", "Other"]
+
+
+def test_ranks(spark):
+    rows = frame(spark, [("b", 2), ("É", 1), ("Other", 9), ("a", 3), ("e", 0)], "label string, n int")
+    assert [r.label for r in rank.label_sorted(rows, "label", "Other").orderBy("ord").collect()] == ["a", "b", "e", "É", "Other"]
+    assert [(r.label, r.ord) for r in rank.top(rows, 0, F.col("n").desc()).orderBy("ord").collect()] == [("Other", 1), ("a", 2), ("b", 3), ("É", 4), ("e", 5)]
+    assert [(r.label, r.ord) for r in rank.top_by_label(rows, 3, "label", F.col("n").desc()).orderBy("ord").collect()] == [("Other", 1), ("a", 2), ("b", 3)]
+    upper = lambda values: values.where("v <> 'b'").select("v", F.upper("v").alias("key"), F.concat(F.lit("~"), "v").alias("label"))
+    got = sorted((r.n, r.key, r.label) for r in rank.normalized(frame(spark, [("a", 1), ("b", 2), ("a", 3)], "v string, n int"), "v", upper).collect())
+    assert got == [(1, "A", "~a"), (2, "b", "b"), (3, "A", "~a")]
+    assert rank.distinct_total(rank.folded_counts(rows, F.col("label"), F.col("n"))).first().total == 5
+
+
+def test_shared_tables(spark):
+    rounds = tables.Rounds("t")
+    first = rounds.put(spark.range(3))
+    assert first.count() == 3 and rounds.put(first.where("id > 0")).count() == 2
+    with pytest.raises(Exception, match="(?i)exist|found|file"):
+        first.count()
+    assert tables.fresh("_k", frame(spark, [], "_K int, _k_ int")) == "_k__"
