@@ -1,35 +1,41 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison.
 
 Vectors are compared within a label by cosine, in double precision. Equal vectors are one class with a multiplicity, so copies
-cost one row. Classes are ordered by their unit vectors' first principal coordinate and cut into tiles of about TILE rows; two
-tiles meet only if their ranges lie within sqrt(2 - 2 * threshold), as no pair beyond that can link. In a pair of tiles the
-LEAD leading coordinates are accumulated first; the rest of a product is at most the product of the suffix norms, so pairs
-whose bound stays below the threshold stop there, and only the others get their exact cosine. A pair of tiles returns counts
-and a spanning forest of its links, never the links themselves.
+cost one row; classes are numbered once, as their table is written. Classes are ordered by the grid cell of their unit vectors'
+leading principal coordinates and cut into tiles of about TILE_FLOATS components. Unit vectors that link lie within
+sqrt(2 - 2 * threshold) of one another, so two tiles meet only if the boxes of their leading coordinates do: a tile looks up the
+cells of the first two coordinates that it can reach. In a pair of tiles the leading coordinates are accumulated first; the rest
+of a product is at most the product of the suffix norms, so a pair whose bound stays below the threshold stops there, and the
+next coordinates, twice as many, are added for the others, until the dimensions are used up. Those left get their exact cosine.
+A pair of tiles returns counts and a spanning forest of its links, never the links themselves.
 
-The principal axes come from at most SAMPLE vectors (the documented bound). They are an orthogonal change of basis: they decide
-what is skipped, never what links.
+The principal axes come from a sample of at most SAMPLE vectors and SAMPLE_FLOATS components (the documented bounds). They are
+an orthogonal change of basis: they decide what is skipped, never what links.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows whose label or vec_id is null,
-link with nothing (n_links 0, component_id their own vec_id); vectors of different lengths don't link; repeated rows are
-copies; an empty table gives no rows; other columns are ignored.
+link with nothing (n_links 0, component_id their own vec_id); vectors of different lengths don't link, however long they are;
+pairs at exactly the threshold link; repeated rows are copies; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import written
-from kinweave.llm.graph import components, forest
+from kinweave.llm.graph import forest
+from kinweave.operators.graph import roots
+from kinweave.operators.tables import written
 
 THRESHOLD = 0.98
-TILE = 1024
+TILE_FLOATS, LEAST_TILE, BLOCK = 1 << 19, 64, 512
 LEAD = 16
-SAMPLE = 10_000
-GRID = 4096
+BOX, GRID = 8, 3
+SAMPLE, SAMPLE_FLOATS = 10_000, 8_000_000
+SPREAD = 32
 SLACK = 1e-9
 
 
@@ -43,22 +49,64 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def reach_of(threshold: float) -> float:
+    """The largest distance of two unit vectors whose cosine reaches the threshold."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+
+
+def cuts(d: int) -> list[int]:
+    """Numbers of leading dimensions after which pairs are dropped: LEAD, then twice as many each time, then all."""
+    out = [min(LEAD, d)]
+    while out[-1] < d:
+        out.append(min(2 * out[-1], d))
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (of a, of b) of the pairs with cosine of at least threshold; of one tile with itself, each pair once."""
     ua, ub = unit(a), unit(b)
     ra, rb = ua @ basis, ub @ basis
-    k = min(LEAD, a.shape[1])
-    rest_a, rest_b = (np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0)) for r in (ra, rb))
-    bound = ra[:, :k] @ rb[:, :k].T
-    bound += np.multiply.outer(rest_a, rest_b)
-    i, j = np.nonzero(bound >= threshold - SLACK)
-    if same:
-        i, j = i[i < j], j[i < j]
-    keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 100_000):
-        s = slice(at, at + 100_000)
-        keep[s] = np.einsum("ij,ij->i", ua[i[s]], ub[j[s]]) >= threshold
-    return i[keep], j[keep]
+    oa, ob = np.argsort(ra[:, 0], kind="stable"), np.argsort(rb[:, 0], kind="stable")
+    steps, reach = cuts(a.shape[1]), reach_of(threshold)
+    rest = lambda r, k: np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0))
+    rest_a, rest_b = [rest(ra, k) for k in steps], [rest(rb, k) for k in steps]
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in range(0, len(a), BLOCK):
+        x = oa[s : s + BLOCK]
+        for t in range(s if same else 0, len(b), BLOCK):
+            y = ob[t : t + BLOCK]
+            if rb[y[0], 0] - ra[x[-1], 0] > reach or ra[x[0], 0] - rb[y[-1], 0] > reach:
+                continue
+            sums = ra[x, : steps[0]] @ rb[y, : steps[0]].T
+            i, j = np.nonzero(sums + np.multiply.outer(rest_a[0][x], rest_b[0][y]) >= threshold - SLACK)
+            total, i, j = sums[i, j], x[i], y[j]
+            for n in range(1, len(steps)):
+                low, high = steps[n - 1], steps[n]
+                total = total + np.einsum("ij,ij->i", ra[i, low:high], rb[j, low:high])
+                on = total + rest_a[n][i] * rest_b[n][j] >= threshold - SLACK
+                total, i, j = total[on], i[on], j[on]
+            exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
+            i, j = i[exact], j[exact]
+            if same:  # both orders of a pair come from a block with itself, one from two blocks
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                once = np.unique(i[i < j] * len(a) + j[i < j])
+                i, j = once // len(a), once % len(a)
+            out_i.append(i)
+            out_j.append(j)
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def bases_of(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The principal axes for each dimension of the sample."""
+    widest = classes.agg(F.max(F.size("embedding"))).first()[0]
+    if not widest:
+        return {}
+    rows = max(1, min(SAMPLE, SAMPLE_FLOATS // widest))
+    column = classes.orderBy(F.xxhash64("h1")).limit(rows).select("embedding").toArrow().column("embedding").combine_chunks()
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(column.value_lengths().to_numpy())
+    lengths = np.diff(ends, prepend=0)
+    of = lambda d: flat[((ends - d)[lengths == d][:, None] + np.arange(d)).ravel()].reshape(-1, d)
+    return {int(d): axes(unit(of(d))) for d in np.unique(lengths)}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,45 +118,41 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~odd & F.exists("embedding", lambda x: x != 0)
     # Copies share a key of 128 bits: two hashes over different orders of the parts.
     keyed = rows.where(valid).withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64("embedding", F.lit(1), "label")})
-    keyed = keyed.withColumn("c", F.xxhash64("h1", "h2"))
-    classes = written(keyed.groupBy("h1", "h2", "c").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "vectors")
-    sized = classes.withColumn("g", F.struct("label", F.size("embedding").alias("d")))
-    sample: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("h1")).limit(SAMPLE).select("embedding").collect():
-        sample.setdefault(len(r.embedding), []).append(r.embedding)
-    bases = spark.sparkContext.broadcast({d: axes(unit(np.array(x, np.float64))) for d, x in sample.items()})
+    classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "vectors")
+    bases = spark.sparkContext.broadcast(bases_of(classes))
+    reach = reach_of(threshold)
 
     def basis_of(d: int) -> np.ndarray:
         return bases.value.get(d, np.eye(d))
 
     def project(batches):
         for b in batches:
-            at = b.schema.get_field_index("embedding")
-            first = np.empty(b.num_rows)
-            lists = b.column(at)
+            lists = b.column(b.schema.get_field_index("embedding"))
             flat, starts = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            lengths = np.diff(starts)
+            lengths, lead = np.diff(starts), np.zeros((b.num_rows, BOX))
             for d in np.unique(lengths):
                 which = np.flatnonzero(lengths == d)
                 x = flat[(starts[which][:, None] + np.arange(d)).ravel()].reshape(-1, d)
-                first[which] = unit(x) @ basis_of(int(d))[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first)], names=[*b.schema.names, "p"])
-
-    fields = "c long, copies long, g struct<label: {}, d: int>, embedding array<float>".format(dict(rows.dtypes)["label"])
-    placed = sized.select("c", "copies", "g", "embedding").mapInArrow(project, f"{fields}, p double")
-    placed = written(placed.withColumn("cell", F.floor((F.col("p") + 1) * (GRID / 2)).cast("int")), "placed")
-    # Tiles: GRID cells a label at most are counted and summed up in order; a full cell is cut further by a hash.
+                k = min(BOX, int(d))
+                lead[which, :k] = unit(x) @ basis_of(int(d))[:, :k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(lead.ravel(), BOX).cast(pa.list_(pa.float64()))], names=[*b.schema.names, "lead"])
+
+    sized = classes.select("c", "copies", F.struct("label", F.size("embedding").alias("d")).alias("g"), "embedding")
+    fields = "c long, copies long, g struct<label: {}, d: int>, embedding array<float>, lead array<double>".format(dict(rows.dtypes)["label"])
+    cell = F.transform(F.slice("lead", 1, GRID), lambda p: F.floor(p / reach).cast("int"))
+    placed = written(sized.mapInArrow(project, fields).withColumn("cell", cell), "placed")
+    # Tiles: a label has few cells, as coordinates lie in [-1, 1]; they are counted and summed up in order; a full cell is cut by a hash.
     cells = placed.groupBy("g", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("g", "cell", "n", before.alias("before"))
-    tiled = placed.join(cells, ["g", "cell"]).withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("c"), F.col("n"))) / TILE))
-    packed = tiled.groupBy("g", "tile").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.collect_list(F.struct("c", "copies", "embedding")).alias("rows"))
+    size = F.greatest(F.floor(F.lit(TILE_FLOATS) / F.col("g.d")), F.lit(LEAST_TILE))
+    tiled = placed.join(cells, ["g", "cell"]).withColumn("tile", F.floor((F.col("before") + F.pmod(F.xxhash64("c"), F.col("n"))) / size))
+    edge = lambda f, name: F.array(*(f(F.col("lead")[k]) for k in range(BOX))).alias(name)
+    packed = tiled.groupBy("g", "tile").agg(edge(F.min, "low"), edge(F.max, "high"), F.collect_list(F.struct("c", "copies", "embedding")).alias("rows"))
     packed = written(packed, "tiles")
-    ends = packed.select("g", "tile", "low", "high")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    later = ends.select("g", F.col("tile").alias("tile_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    meets = ends.join(later, "g").where(F.col("tile") <= F.col("tile_b")).where((F.col("low_b") - F.col("high") <= reach) & (F.col("low") - F.col("high_b") <= reach)).select("g", "tile", "tile_b")
-    left = meets.join(packed.select("g", "tile", "rows"), ["g", "tile"])
+    pairs = meeting(packed.select("g", "tile", "low", "high"), reach)
+    left = pairs.join(packed.select("g", "tile", "rows"), ["g", "tile"])
     pairs = left.join(packed.select("g", F.col("tile").alias("tile_b"), F.col("rows").alias("rows_b")), ["g", "tile_b"])
 
     def compare(batches):
@@ -119,8 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 parts = []
                 for name in ("rows", "rows_b"):
                     inner = one.column(names.index(name)).flatten()
-                    lists = inner.field(2)
-                    parts.append((inner.field(0).to_numpy(), inner.field(1).to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)))
+                    parts.append((inner.field(0).to_numpy(), inner.field(1).to_numpy(), inner.field(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)))
                 (ca, na, xa), (cb, nb, xb) = parts
                 same = one.column(names.index("tile"))[0].as_py() == one.column(names.index("tile_b"))[0].as_py()
                 i, j = linked(xa, xb, basis_of(xa.shape[1]), same, threshold)
@@ -134,11 +177,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     found = written(pairs.select("tile", "tile_b", "rows", "rows_b").mapInArrow(compare, "u long, n long, v long"), "links")
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
-    roots = components(found.select("u", "v"), "vector-components")
-    named = classes.select("c", "vec_id", "copies").join(roots.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("h1", "h2", "c", "vec_id", "copies").join(roots(found.select("u", "v"), "vector-components").toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = named.join(counts.select(F.col("u").alias("c"), "n"), "c", "left")
     smallest = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    named = named.join(smallest, "root").select("c", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linking = keyed.select("vec_id", "c").join(named, "c").select("vec_id", "n_links", "component_id")
+    named = named.join(smallest, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linking = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     others = rows.where(F.coalesce(~valid, F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linking.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def meeting(tiles: DataFrame, reach: float) -> DataFrame:
+    """g, tile, tile_b (tile <= tile_b) of the pairs of tiles (g, tile, low, high) whose boxes lie within reach.
+
+    A tile stands in the cells of the first two coordinates that its box covers, and looks into those that it reaches. SPREAD
+    deals the tiles of a cell, so that a label or cell with most of the tiles is more than one key.
+    """
+    at = lambda x: F.floor(x / reach).cast("int")
+
+    def covered(more: float) -> Column:
+        x, y = (F.sequence(at(F.col("low")[k] - more), at(F.col("high")[k] + more)) for k in (0, 1))
+        return F.explode(F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("x"), j.alias("y"))))))
+
+    ends = tiles.select("g", "tile", "low", "high", covered(reach).alias("cell")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    later = tiles.select("g", F.col("tile").alias("tile_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), covered(0.0).alias("cell"), F.pmod("tile", F.lit(SPREAD)).cast("int").alias("slot"))
+    gaps = (F.greatest(F.lit(0.0), F.col("low_b")[k] - F.col("high")[k], F.col("low")[k] - F.col("high_b")[k]) for k in range(BOX))
+    near = reduce(lambda total, gap: total + gap * gap, gaps, F.lit(0.0)) <= reach * reach
+    return ends.join(later, ["g", "cell", "slot"]).where((F.col("tile") <= F.col("tile_b")) & near).select("g", "tile", "tile_b").distinct()

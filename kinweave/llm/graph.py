@@ -1,34 +1,8 @@
-"""Connected components, over edge tables and within a task."""
+"""Connected components within a task."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from kinweave.llm.common import written
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """v, root of every node of edges (u, v) that has another neighbour: root is the smallest node it reaches, itself left out.
-
-    Rounds of large-star and small-star over tables in the shared folder, until a round changes nothing. Neighbour sets are
-    never gathered: a round is a minimum per node (pre-aggregated) and a join back, so a node of any degree splits over tasks.
-    """
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-    mark = None
-    while True:
-        row = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(row) == mark or not row[0]:
-            return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        mark = tuple(row)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = written(small, name)
 
 
 def forest(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import BoundedCache, id_and_text, partitions, written
+from kinweave.llm.common import BoundedCache, id_and_text, partitions
+from kinweave.operators.tables import written
 
 CAPACITY = 4096
 END = 1

@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import BoundedCache, id_and_text, partitions, written
+from kinweave.llm.common import BoundedCache, id_and_text, partitions
+from kinweave.operators.tables import written
 from kinweave.llm.packing import printable_bytes
 
 VOCABULARY = "byte_bpe_50k.json"

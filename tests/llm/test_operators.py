@@ -261,7 +261,11 @@ def test_hard_wrapped_licenses(spark):
     assert rows[1].n_paragraphs == 7 and rows[2].n_license == 2
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("tile", [1 << 19, 400])
+def test_embeddings(spark, monkeypatch, tile):
+    """In one tile a label, and in many small ones."""
+    monkeypatch.setattr(embedding_dedup, "TILE_FLOATS", tile)
+    monkeypatch.setattr(embedding_dedup, "LEAST_TILE", 4)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
     vectors = np.concatenate([base, base + rng.normal(scale=0.05, size=base.shape), base[:5], base[:3] * 2]).astype(np.float32)
@@ -279,6 +283,25 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 907))
 
 
+def test_linked_by_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 40))
+    x = np.concatenate([base, base + rng.normal(scale=0.1, size=base.shape), base + rng.normal(scale=0.02, size=base.shape)])
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    basis = embedding_dedup.axes(embedding_dedup.unit(x))
+    near = embedding_dedup.unit(x) @ embedding_dedup.unit(x).T >= 0.98
+    assert sorted(zip(*embedding_dedup.linked(x, x, basis, True), strict=True)) == sorted(zip(*np.nonzero(np.triu(near, 1)), strict=True))
+    assert sorted(zip(*embedding_dedup.linked(x[:50], x[50:], basis, False), strict=True)) == sorted(zip(*np.nonzero(near[:50, 50:]), strict=True))
+
+
+def test_embeddings_of_nothing_and_other_columns(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, c string, g int, h1 int")
+    assert embedding_dedup.near_duplicates(none).count() == 0
+    rows = [(1, [1.0, 2.0], 1, "a", 1, 1), (2, [2.0, 4.0], 1, "b", 2, 2), (2, [2.0, 4.0], 1, "b", 2, 2), (None, [1.0, 2.0], 1, "n", 0, 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, none.schema)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
+
+
 def test_pieces_equal_the_library(docs):
     from sentencepiece import SentencePieceProcessor
 
@@ -405,3 +428,33 @@ def test_near_duplicates_without_ids(spark):
     assert sorted((len(g), {i for i, _ in g} == {1}, sum(k for _, k in g)) for g in groups.values()) == [(4, False, 1), (4, False, 1), (4, True, 1)]
     kept = texts(minhash.drop_near_duplicates(df))
     assert sorted(t[0] for _, t in kept) == ["a", "b", "c"] and [i for i, t in kept if t[0] == "c"] == [1]
+
+
+def test_near_duplicates_of_many_repeated_rows(spark):
+    """Null ids that repeat, an id that repeats, and columns with the names of the helper columns."""
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join([*base[:40], "new", *base[41:]])
+    data = [(None, " ".join(base), "s", 1)] * 700 + [(None, near, "s", 2)] * 300 + [(5, "other text of its own kind here", "t", 3)] * 200
+    df = spark.createDataFrame(data, "doc_id long, text string, _t string, _k int")
+    kept = minhash.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id is None, r._t, r._k in (1, 2, 3)) for r in kept) == [(False, "t", True), (True, "s", True)]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "_t", "_k"}
+    members, _ = minhash.near_duplicates(df)
+    assert sorted((r["n_copies"], r["count"]) for r in members.groupBy("root", "n_copies").count().collect()) == [(200, 200), (300, 300), (700, 700)]
+
+
+def test_near_duplicates_in_a_large_group(spark):
+    """Near copies of one text, more than FAN: one centre has them all as partners."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(3 * minhash.FAN):
+        at = int(rng.integers(0, 60))
+        data.append((i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])))
+    data += [(10_000 + i, " ".join(f"v{i}.{k}" for k in range(60))) for i in range(20)]
+    members, links = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    sizes = Counter(Counter(r.class_id for r in members.collect()).values())
+    assert sizes[1] == 20 and sum(k * n for k, n in sizes.items() if k > 1) == 3 * minhash.FAN
+    ends = brute_classes(data[:120])
+    few, _ = minhash.near_duplicates(spark.createDataFrame(data[:120], "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in few.collect()} == ends
