@@ -4,36 +4,42 @@ A word's vector is the sum of the vectors of its character n-grams (and of the w
 all of its n-grams, and a linear softmax over two classes reads it. As that mean is linear, a trained model folds into one
 number an n-gram, so scoring a word is a sum and scoring a document a sum over its words: one pass, nothing shuffled.
 
-Edge cases: null and empty texts, and texts without words, have no n-grams and get the score of the bias alone; rows whose
-doc_id is null are scored like any other, count as not held out and are never learnt from; labels that are null or not 0 or 1
-are ignored; a doc_id with both labels counts as toxic; with no label of one of the classes every score is that class's share
-(0 without labels). Other columns are ignored.
+The sampled rows are taken apart on the executors: the driver gets word hashes and counts of each sampled document and the
+n-gram hashes of each distinct word, never a text. N-grams are known by 64-bit hashes throughout.
+
+Edge cases: null and empty texts, and texts without words, have no n-grams and get the score of the bias alone; very long texts
+are scored whole; rows whose doc_id is null are scored like any other, count as not held out and are never learnt from; repeated
+rows are scored each, and an id that repeats is learnt from once, by its text with the smallest hash; labels that are null or not
+0 or 1 are ignored; a doc_id with both labels counts as toxic; ties in the order of the sample go to the smaller id; with no
+label of one of the classes every score is that class's share (0 without labels); an empty table gives no rows. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import BoundedCache, id_and_text
+from kinweave.operators.tables import written
 
 WORD = re.compile(r"\w+")
 TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
 MIN_DOCS = 8
 
 
-def grams(word: str) -> list[str]:
-    """A lower-case word with end marks, and its 4- and 5-grams."""
+def grams(word: str) -> list[int]:
+    """Hashes of a lower-case word with end marks, and of its 4- and 5-grams."""
     marked = f"<{word}>"
     n = len(marked)
-    return [marked, *(marked[i : i + size] for size in (4, 5) for i in range(n - size + 1))]
+    return list(map(xxhash.xxh3_64_intdigest, [marked, *(marked[i : i + size] for size in (4, 5) for i in range(n - size + 1))]))
 
 
 @dataclass
@@ -41,7 +47,7 @@ class Model:
     """weight: what an n-gram adds to the toxic side of the softmax; a document's logit is bias + mean of its n-grams' weights."""
 
     bias: float
-    weight: dict[str, float]
+    weight: dict[int, float]
 
     def scorer(self):
         weight = self.weight
@@ -67,75 +73,112 @@ class Model:
         return score
 
 
-def summed(at: np.ndarray, source: np.ndarray, values: np.ndarray, size: int, block: int = 1_000_000) -> np.ndarray:
-    """Per row k of the result, the sum of values[source] where at is k; in blocks, so that no temporary is as long as `at`."""
-    out = np.zeros((size, values.shape[1]))
-    for s in range(0, len(at), block):
-        here, rows = at[s : s + block], source[s : s + block]
-        for k in range(values.shape[1]):
-            out[:, k] += np.bincount(here, weights=values[rows, k], minlength=size)
-    return out.astype(np.float32)
+@dataclass
+class Sample:
+    """What training reads. doc, word, count: one entry a document and distinct word of it. of_word, gram: one entry a word and n-gram."""
+
+    toxic: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    of_word: np.ndarray
+    gram: np.ndarray
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Hashes and counts of a text's distinct words, and the words."""
+    found = Counter(WORD.findall(text.lower()))
+    return np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64), np.array(list(found.values()), np.int64), list(found)
+
+
+def sampled(toxic: list[int], words: list[np.ndarray], counts: list[np.ndarray], vocabulary: dict[int, np.ndarray] | tuple[np.ndarray, list[np.ndarray]]) -> Sample:
+    """From the documents' word hashes and counts, and the n-gram hashes of every word."""
+    keys, lists = vocabulary
+    order = np.argsort(keys)
+    sizes = np.array([len(lists[k]) for k in order], np.int64)
+    doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+    none = np.zeros(0, np.uint64)
+    word = np.searchsorted(keys[order], np.concatenate([none, *words])).astype(np.int32)
+    gram = np.concatenate([none, *(lists[k] for k in order)])
+    return Sample(np.array(toxic, np.float64), doc, word, np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.float32), np.repeat(np.arange(len(order), dtype=np.int32), sizes), gram)
+
+
+def train(texts: list[str], toxic: list[int], **options) -> Model:
+    """A model from texts at hand: `learn` on their sample."""
+    parts = [words_of(t) for t in texts]
+    known = {int(h): w for hashes, _, names in parts for h, w in zip(hashes, names, strict=True)}
+    vocabulary = np.array(list(known), np.uint64), [np.array(grams(w), np.uint64) for w in known.values()]
+    return learn(sampled(toxic, [p[0] for p in parts], [p[1] for p in parts], vocabulary), **options)
 
 
-def train(texts: list[str], toxic: list[int], dim: int = 2, epochs: int = 90, rate: float = 0.1, decay: float = 1e-4, scale: float = 100.0, seed: int = 7) -> Model:
+class Sums:
+    """Sums of values[source] by id: the ids come sorted, so each has one stretch of the gathered values."""
+
+    def __init__(self, ids: np.ndarray, source: np.ndarray, size: int) -> None:
+        self.starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        self.at, self.source, self.size = ids[self.starts], source.astype(np.intp), size
+
+    def __call__(self, values: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """values: one row a dimension."""
+        out = np.zeros((len(values), self.size), np.float32)
+        if len(self.at):
+            for k, row in enumerate(values):
+                each = row.take(self.source)
+                out[k, self.at] = np.add.reduceat(each if weight is None else each * weight, self.starts)
+        return out
+
+
+def learn(sample: Sample, dim: int = 2, epochs: int = 90, rate: float = 0.1, decay: float = 1e-4, scale: float = 100.0, seed: int = 7) -> Model:
     """N-gram vectors and softmax together, by full-batch Adam on the mean cross entropy plus decay times the squared vectors.
 
     N-grams found in fewer than MIN_DOCS texts keep the zero vector.
     """
-    y = np.array(toxic, dtype=np.float64)
+    y = sample.toxic
     if not len(y) or y.min() == y.max():
         return Model(float(np.clip(np.log(y.mean() / (1 - y.mean())), -30, 30)) if len(y) and 0 < y.mean() < 1 else (30.0 if len(y) and y.mean() == 1 else -30.0), {})
-    index: dict[str, int] = {}
-    doc, word, count = [], [], []
-    names: dict[str, int] = {}
-    lists, in_docs = [], []
-    for d, text in enumerate(texts):
-        found = Counter(WORD.findall(text.lower()))
-        for w, n in found.items():
-            if w not in index:
-                index[w] = len(index)
-                lists.append(array("i", [names.setdefault(g, len(names)) for g in grams(w)]))
-            doc.append(d)
-            word.append(index[w])
-            count.append(n)
-        in_docs += [0] * (len(names) - len(in_docs))
-        for g in {g for w in found for g in lists[index[w]]}:
-            in_docs[g] += 1
-    size = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = np.frombuffer(b"".join(lists), np.int32)
-    del lists, index
-    doc, word, count = np.array(doc, np.int32), np.array(word, np.int32), np.array(count, np.float32)
+    doc, word, count = sample.doc, sample.word, sample.count
+    names, flat = np.unique(sample.gram, return_inverse=True)
+    n_words = int(sample.of_word[-1]) + 1 if len(sample.of_word) else 0
+    size = np.bincount(sample.of_word, minlength=n_words)
     of_doc = np.maximum(np.bincount(doc, weights=count * size[word], minlength=len(y)), 1)
     share = (count / of_doc[doc]).astype(np.float32)
     # What is learnt from a few documents is noise: rarer n-grams count in the mean with a vector of zero.
-    learnt = np.array(in_docs) >= MIN_DOCS
+    first = np.concatenate([[0], np.cumsum(size)])
+    in_docs = np.zeros(len(names), np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(y)))])
+    for d in range(len(y)):
+        here = word[ends[d] : ends[d + 1]]
+        in_docs[np.unique(np.concatenate([np.zeros(0, np.int64), *(flat[first[w] : first[w + 1]] for w in here)]))] += 1
+    learnt = in_docs >= MIN_DOCS
     place = (np.cumsum(learnt) - 1).astype(np.int32)
     kept = learnt[flat]
-    repeated, flat = np.repeat(np.arange(len(size), dtype=np.int32), size)[kept], place[flat[kept]]
-    names = [g for g, ok in zip(names, learnt.tolist(), strict=True) if ok]
+    of_word, flat, names = sample.of_word[kept], place[flat[kept]], names[learnt]
+    by_gram, by_word = np.argsort(flat, kind="stable"), np.argsort(word, kind="stable")
+    to_word, to_doc = Sums(of_word, flat, n_words), Sums(doc, word, len(y))
+    from_doc, from_word = Sums(word[by_word], doc[by_word], n_words), Sums(flat[by_gram], of_word[by_gram], len(names))
+    del flat, of_word, by_gram
+    share_by_word = share[by_word]
     rng = np.random.default_rng(seed)
-    vec = rng.normal(0, 0.01, (len(names), dim)).astype(np.float32)
+    vec = np.ascontiguousarray(rng.normal(0, 0.01, (len(names), dim)).T, np.float32)
     out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     onehot = np.stack([1 - y, y], axis=1).astype(np.float32)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (vec, out, bias)]
+    scale = np.float32(scale)
     for step in range(1, epochs + 1):
-        words = summed(repeated, flat, vec, len(size))
-        means = np.stack([np.bincount(doc, weights=share * words[word, k], minlength=len(y)) for k in range(dim)], axis=1).astype(np.float32) * scale
-        logits = means @ out + bias
+        means = to_doc(to_word(vec), share) * scale
+        logits = means.T @ out + bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
         g = (p - onehot) / np.float32(len(y))
-        to_means = (g @ out.T) * scale
-        to_words = np.stack([np.bincount(word, weights=share * to_means[doc, k], minlength=len(size)) for k in range(dim)], axis=1).astype(np.float32)
-        to_vec = summed(flat, repeated, to_words, len(names)) + 2 * decay * vec
-        for param, grad, (m, v) in zip((vec, out, bias), (to_vec, means.T @ g, g.sum(axis=0)), state, strict=True):
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        to_vec = from_word(from_doc(out @ g.T * scale, share_by_word)) + 2 * np.float32(decay) * vec
+        for param, grad, (m, v) in zip((vec, out, bias), (to_vec, means @ g, g.sum(axis=0)), state, strict=True):
+            m += np.float32(0.1) * (grad - m)
+            v += np.float32(0.001) * (grad * grad - v)
+            param -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.999**step)) + np.float32(1e-8))
     toward = out[:, 1] - out[:, 0]
-    return Model(float(bias[1] - bias[0]), dict(zip(names, (vec @ toward * scale).tolist(), strict=True)))
+    return Model(float(bias[1] - bias[0]), dict(zip(names.tolist(), (toward @ vec * scale).tolist(), strict=True)))
 
 
 def remainder() -> F.Column:
@@ -143,10 +186,10 @@ def remainder() -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clean_rows: int = CLEAN_SAMPLE) -> Model:
-    """Learn from at most toxic_rows and clean_rows labelled rows (the documented bounds), spread evenly by a hash of the id.
+    """Learn from at most toxic_rows and clean_rows labelled ids (the documented bounds), spread evenly by a hash of the id.
 
-    Only rows whose crc32(doc_id as text) mod 5 is not 0 take part. No more ids than that are broadcast, and as many texts
-    come to the driver.
+    Only rows whose crc32(doc_id as text) mod 5 is not 0 take part. No more ids than that are broadcast, and one text of each is
+    taken apart on the executors; its word counts, and each distinct word's n-grams once, come to the driver as numbers.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -155,10 +198,28 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clea
         .agg(F.max("toxic").alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    ids = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(clean_rows))
+    one = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def apart(batches):
+        for b in batches:
+            parts = [words_of(t) for t in b.column("text").to_pylist()]
+            raw = ([x.tobytes() for x in c] for c in ([p[0] for p in parts], [p[1] for p in parts]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array(c, pa.binary()) for c in raw), pa.array([p[2] for p in parts], pa.list_(pa.string()))], names=["doc_id", "toxic", "hashes", "counts", "words"])
+
+    def subwords(batches):
+        for b in batches:
+            words = b.column("word").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64()), pa.array([np.array(grams(w), np.uint64).tobytes() for w in words], pa.binary())], names=["hash", "grams"])
+
+    rows = written(one.mapInArrow(apart, "doc_id long, toxic int, hashes binary, counts binary, words array<string>"), "sample")
+    words = rows.select(F.explode("words").alias("word")).distinct().mapInArrow(subwords, "hash long, grams binary").toArrow()
+    table = rows.select("doc_id", "toxic", "hashes", "counts").orderBy("doc_id").toArrow()
+    numbers = lambda column, kind: [np.frombuffer(x.as_buffer(), kind) for x in column]
+    vocabulary = words.column("hash").to_numpy().view(np.uint64), numbers(words.column("grams"), np.uint64)
+    sample = sampled(table.column("toxic").to_pylist(), numbers(table.column("hashes"), np.uint64), numbers(table.column("counts"), np.int64), vocabulary)
+    del words, table, vocabulary
+    return learn(sample)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

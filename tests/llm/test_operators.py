@@ -122,6 +122,36 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.fit(docs, labels.limit(0)).scorer()("anything") < 0.01
 
 
+def auc(scores, truth):
+    order = np.argsort(np.argsort(scores)) + 1
+    pos = truth.sum()
+    return (order[truth == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(truth) - pos))
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Quality on the fold that is never learnt from, and the fold itself."""
+    import zlib
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r.held_out]
+    truth, scores, said = (np.array([getattr(r, c) for r in held]) for c in ("toxic", "score", "predicted"))
+    assert auc(scores, truth) > 0.94
+    assert said[truth == 1].mean() > 0.75 and said[truth == 0].mean() < 0.03
+
+
+def test_toxicity_sample_is_bounded_by_ids(spark, monkeypatch):
+    """An id that repeats with other texts is learnt from once, by the text with the smallest hash."""
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda sample: seen.append(sample) or toxicity.Model(0.0, {}))
+    docs = spark.createDataFrame([(3, f"word{k % 7} x") for k in range(50)] + [(4, "clean text"), (6, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (4, 0), (6, 0), (3, 0), (8, None)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert len(seen[0].toxic) <= 3 and seen[0].toxic.tolist().count(1.0) <= 1 and len(seen[0].doc) <= 4
+
+
 def test_toxicity_learns_misspellings():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
