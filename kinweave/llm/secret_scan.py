@@ -9,14 +9,20 @@ base spans, which always stay:
 
     assign, access, hex   fixed patterns, leftmost and not overlapping within a kind; those that fail the length are dropped.
 
-Edge cases: null text is empty and has no span; rows with null doc_id are scanned too; repeated rows give repeated results;
-other columns are ignored (redact keeps them all).
+A bare word ends at the next sign of assignment or at `&` (signs that only pad its end stay), and an annotation is no longer than
+TYPE_LENGTH, so every character is looked at a bounded number of times: time is linear in the text.
+
+Edge cases: null text is empty and has no span; very long texts are scanned whole; rows with null doc_id are scanned too; repeated
+rows give repeated results; spans with one start come in the order of KINDS, then by end; an empty table gives no rows; other
+columns are ignored (redact keeps them all, whatever their names).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,7 @@ from kinweave.llm.common import id_and_text
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 1.0
 SPACED = 1.0
+TYPE_LENGTH = 200
 # The base patterns.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,7 +43,7 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
 PLACEHOLDER = re.compile(r"(?ai:changeme|change_me|example|placeholder|redacted|none|null|true|false|undefined|your[_-]?\w*|x+|\*+|\.+|todo)\Z")
 NAME = re.compile(r"[A-Za-z_][\w.\-]*\Z", re.ASCII)
 BEFORE = re.compile(r"[A-Za-z0-9_.\-]", re.ASCII)
-AFTER = re.compile(r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([A-Za-z0-9_./+=~!@#$%^&*\-]+))""")
+AFTER = re.compile(r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([A-Za-z0-9_./+~!@#$%^*\-]+(?:={1,2}(?![A-Za-z0-9_./+=~!@#$%^&*"'`\-]))?))""")
 PLUS = re.compile(r"""[ \t]*\+[ \t]*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 # A type once its bracketed parts and the spaces about its signs are out.
 BRACKETS = re.compile(r"\[[^\[\]<>()]*\]|<[^\[\]<>()]*>|\([^\[\]<>()]*\)")
@@ -85,8 +92,8 @@ def subscript(text: str, end: int) -> str:
 
 def typed_name(text: str, at: int) -> str:
     """The name before a type annotation that ends before the sign at `at`; empty if there is none."""
-    left = at
-    while left and (TYPED.match(text[left - 1]) or text[left - 2 : left] == "::" and left > 2):
+    left, least = at, max(0, at - TYPE_LENGTH)
+    while left > least and (TYPED.match(text[left - 1]) or text[left - 2 : left] == "::" and left > 2):
         left -= 2 if text[left - 1] == ":" else 1
     if not left or text[left - 1] != ":":
         return ""
@@ -121,11 +128,13 @@ def assignments(text: str):
         if not found:
             continue
         if found[1]:
-            value, start, stop = found[2], found.start(2), found.end(2)
+            parts, start, stop = [found[2]], found.start(2), found.end(2)
             more = PLUS.match(text, found.end())
             while more:
-                value, stop = value + more[2], more.end(2)
+                parts.append(more[2])
+                stop = more.end(2)
                 more = PLUS.match(text, more.end())
+            value = "".join(parts)
             yield from ((name, "literal", value, start, stop) for name in names)
         else:
             yield from ((name, "word", found[3], found.start(3), found.end(3)) for name in names)
@@ -158,7 +167,9 @@ def lexed_spans(text: str) -> list[tuple[str, int, int]]:
 def spans_of(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans and all spans, both by start, then kind. A lexed span within a base span adds nothing and goes."""
     base = base_spans(text)
-    more = [s for s in lexed_spans(text) if not any(b[1] <= s[1] and s[2] <= b[2] for b in base)] if ":" in text or "=" in text else []
+    starts, ends = [b[1] for b in base], [0, *accumulate((b[2] for b in base), max)]
+    # The widest end of the base spans that start no later tells whether one of them holds the span.
+    more = [s for s in lexed_spans(text) if ends[bisect_right(starts, s[1])] < s[2]] if ":" in text or "=" in text else []
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

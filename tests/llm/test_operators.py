@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -179,6 +181,48 @@ def test_fingerprints(docs, odd, none):
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_fingerprints_are_the_sketches(docs, odd):
+    """Equal texts, and only they, have equal fingerprints; the likeness comes out of the fingerprints alone for most edited texts."""
+    by_text, peeled, rows = {}, 0, fingerprints.fingerprints(docs.unionByName(odd, allowMissingColumns=True)).collect()
+    data = {}
+    for i, t in texts(docs.unionByName(odd, allowMissingColumns=True)):
+        data.setdefault(i, set()).add(t)
+
+    def read(hexed):
+        raw = bytes.fromhex(hexed)
+        out = fingerprints.Sketch(len(raw) // 48)
+        cells = list(struct.iter_unpack("<iQI", raw))
+        out.count, out.sums = [c[0] for c in cells], [c[2] << 64 | c[1] for c in cells]
+        return out
+
+    for r in rows:
+        (t, *more) = data[r.doc_id]
+        if not more:
+            here = fingerprints.digests(t)
+            assert r.fingerprint == fingerprints.Sketch(fingerprints.cells_for(len(here)), here).hex()
+            by_text.setdefault(r.fingerprint, set()).add(" ".join(t.split()) if here else "")
+        a, b = read(r.fingerprint), read(r.edited_fingerprint)
+        cells = min(a.cells, b.cells)
+        peeled += a.folded(cells).minus(b.folded(cells)).peel() is not None
+    assert max(map(len, by_text.values())) == 1 and peeled > 0.85 * len(rows)
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(None, "same. text.")] * 500 + [(None, "other text!!")] * 3 + [(7, "a. b. c. d.")] * 400 + [(9, "z. y.")]
+    got = Counter((r.doc_id, r.near_next, r.n_chars) for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got.values()) == len(rows) and got[7, 1.0, 11] == 399 and got[None, 1.0, 11] == 499
+    assert sum(n for (i, *_), n in got.items() if i is None) == 503 and sum(n for (i, *_), n in got.items() if i == 9) == 1
+
+
+def test_sketches_fold_and_grow():
+    items = [fingerprints.check(x) << 64 | x for x in minhash.mix(np.arange(500, dtype=np.uint64)).tolist()]
+    large, small = fingerprints.Sketch(256, items), fingerprints.Sketch(16, items)
+    assert large.folded(16).hex() == small.hex()
+    grown = fingerprints.Sketch(1 << 22)
+    grown.add(items, 1)
+    assert sorted(grown.peel()[0]) == sorted(items)
+
+
 def test_sketch_peels_and_retries():
     a, b = list(range(10**6, 10**6 + 4000)), list(range(10**6 + 100, 10**6 + 4300))
     mixed = lambda xs: [fingerprints.check(x) << 64 | x for x in minhash.mix(np.array(xs, np.uint64)).tolist()]
@@ -228,6 +272,64 @@ def test_no_secrets_in_other_syntax(text):
     assert not [s for s in secret_scan.spans_of(text)[1] if s[0] == "lexed"]
 
 
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(text):
+    """The base spans by the contract's words."""
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(found)]
+
+
+@pytest.mark.parametrize("which", ["odd", "docs", "made"])
+def test_secret_base_spans(request, spark, which):
+    if which == "made":
+        rng = np.random.default_rng(9)
+        parts = ["password", "PassWd", "api_key", "apikey", "token", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", "😀", "x", "-", "\n", "ſecret", "toKen"]
+        df = spark.createDataFrame([(i, "".join(rng.choice(parts, 40))) for i in range(400)], "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(which)
+    expected = Counter()
+    for i, t in texts(df):
+        found = secrets(t)
+        expected[i, hashlib.sha256(",".join(found).encode()).hexdigest(), *(sum(x.startswith(k) for x in found) for k in ("assign", "access", "hex"))] += 1
+    rows = secret_scan.scan(df).collect()
+    assert Counter((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in rows) == expected
+    for r in rows:
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        base = ",".join(":".join(x) for x in spans if x[0] != "lexed")
+        assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+
+
+def test_secret_scan_is_linear():
+    """Long runs of assignments, brackets, quotes and spaces; a quadratic scan of these would take minutes."""
+    began = time.perf_counter()
+    for unit in ("a=1&", "a:1 ", "=", "[", "((", '="', "]=", "'] = ", "k = 'x' + ", "a b c = ", "x:y[z]=1,", "password=a&", "\\", " = "):
+        secret_scan.spans_of(unit * (400_000 // len(unit)))
+    assert time.perf_counter() - began < 60
+
+
+def test_lexed_secrets_of_generated_configuration():
+    """Precision and recall of the lexed spans over generated source and configuration lines."""
+    rng = np.random.default_rng(11)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    value = lambda: "".join(pick(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!$%^")) for _ in range(int(rng.integers(10, 28))))
+    word = lambda: pick(["title", "heading", "color", "width", "path", "label", "monkey", "keyboard", "author", "status"])
+    name = lambda: pick(["db_password", "API_SECRET", "client_secret", "authToken", "secretKey", "privateKey", "dbPasswd", "passphrase", "signing_secret", "access_token"])
+    forms = ["{n} = '{v}'", '{n}: "{v}"', '"{n}": "{v}",', "export {n}={v}", 'const {n}: string = "{v}";', 'cfg["{n}"] = "{v}"', '{n} := "{v}"', "{n} => '{v}'"]
+    right = wrong = real = 0
+    for _ in range(2000):
+        secret = rng.random() < 0.5
+        v = value() if secret or rng.random() < 0.5 else pick(["changeme", "${SECRET}", "example", "a few plain words", "12345", "true"])
+        line = pick(forms).format(n=name() if secret or v in ("${SECRET}", "changeme") else word(), v=v)
+        spans = secret_scan.spans_of(line)[1]
+        hit = any(v in line[s:e] or line[s:e] in v for _, s, e in spans)
+        real, wrong, right = real + secret, wrong + (not secret and any(k == "lexed" for k, *_ in spans)), right + (secret and hit)
+    assert right / real > 0.95 and right / (right + wrong) > 0.95, (right, real, wrong)
+
+
 def test_secret_scan_and_redaction(docs, odd, none):
     assert secret_scan.scan(odd).count() == len(ODD) + 2
     out = secret_scan.redact(docs)
