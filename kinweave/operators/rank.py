@@ -25,6 +25,16 @@ def normalized(df: DataFrame, value: str, normalizer: Callable[[DataFrame], Data
     return df.join(found, value, "left").withColumns({"key": F.coalesce("_key", F.lower(value)), "label": F.coalesce("_label", value)}).drop("_key", "_label")
 
 
+def merged_keys(df: DataFrame, position: Column) -> DataFrame:
+    """key, label, n of rows with key and label (see `normalized`); a key's label is the one met first by position."""
+    return df.groupBy("key").agg(F.min_by("label", F.struct(position.alias("p"), F.col("label"))).alias("label"), F.count("*").alias("n"))
+
+
+def left_wins(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """The union of two series by key; where both have one, the left's values."""
+    return left.unionByName(right.join(left.select(*keys), list(keys), "left_anti").select(left.columns))
+
+
 def distinct_total(counts: DataFrame) -> DataFrame:
     """total: the number of keys of folded or other counts."""
     return counts.agg(F.count("*").alias("total"))

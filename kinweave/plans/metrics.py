@@ -3,13 +3,14 @@ give (today as a Julian day, the greatest plausible age, the reference year) is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions import calendar, geo, text
+from kinweave.functions import calendar, geo, labels, text
 from kinweave.operators import dates, flow, graph, hist, rank, series
 from kinweave.operators.tables import written
 
@@ -21,6 +22,15 @@ def day(c: str) -> Column:
     return calendar.date_of(F.col(c))
 
 
+@dataclass(frozen=True)
+class Bands:
+    """What is plausible, in whole years, both ends included."""
+
+    spouse: tuple[int, int] = (10, 90)
+    parent: tuple[int, int] = (12, 65)
+    marriage: int = 90
+
+
 @dataclass
 class Tree:
     tables: dict[str, DataFrame]
@@ -28,6 +38,9 @@ class Tree:
     max_age: int = 120
     reference_year: int = 2023
     countries: dict[str, str] = field(default_factory=dict)
+    bands: Bands = Bands()
+    #: From distinct values (v) to v, key, label; values without one keep themselves, by their lower case.
+    occupations: Callable[[DataFrame], DataFrame] | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self.__dict__.get("tables", {}):
@@ -147,7 +160,7 @@ class Tree:
             rows = rows.join(self.extreme(fact, key=key, name=name), key, "left")
         rows = rows.withColumn("end", dates.earliest_after(F.col("marr"), F.col("div"), F.col("husb"), F.col("wife"))).where("end is not null")
         reason = F.when(F.col("end") == F.col("div"), "divorce").otherwise("death")
-        return rows.select("f_id", (F.col("end") - F.col("marr")).alias("days"), calendar.whole_years(day("marr"), day("end")).alias("years"), reason.alias("reason")).where("years <= 90")
+        return rows.select("f_id", (F.col("end") - F.col("marr")).alias("days"), calendar.whole_years(day("marr"), day("end")).alias("years"), reason.alias("reason")).where(F.col("years") <= self.bands.marriage)
 
     def marriage_duration_extremes(self, n: int = 3) -> DataFrame:
         return rank.two_ended(self.marriage_durations(), "days", "f_id", n)
@@ -208,7 +221,21 @@ class Tree:
 
     def top_surnames(self, n: int = 10, least: int = 1) -> DataFrame:
         rows = self.name.where(F.col("n_type").isin(*FORMS) & ~F.col("n_surn").isin("", "@N.N."))
-        return rank.top(rows.groupBy(F.col("n_surn").alias("surname")).agg(F.count("*").alias("n")).where(F.col("n") >= least), n, F.col("n").desc(), F.col("surname"))
+        counts = rows.groupBy(F.col("n_surn").alias("surname")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        return rank.top_by_label(counts, n, "surname", F.col("n").desc(), F.col("surname"))
+
+    def first_surnames(self) -> DataFrame:
+        """n_id, n_surn of each person's primary name; of several, the least."""
+        rows = self.name.where("n_num = 0 and n_surn not in ('', '@N.N.')")
+        return rows.groupBy("n_id").agg(F.min("n_surn").alias("n_surn"))
+
+    def total_surnames(self) -> DataFrame:
+        rows = self.name.where(F.col("n_type").isin(*FORMS) & ~F.col("n_surn").isin("", "@N.N."))
+        return rows.agg(F.countDistinct("n_surn").alias("total"))
+
+    def total_given_names(self) -> DataFrame:
+        tokens = self.name.where("n_num = 0 and length(n_givn) > 1").select(F.explode(text.given_tokens(F.col("n_givn"))).alias("form"))
+        return tokens.agg(F.countDistinct(text.folded(F.col("form"))).alias("total"))
 
     def top_given_names(self, sex: str, n: int = 10) -> DataFrame:
         people = self.individuals.where(F.col("i_sex") == sex).select(F.col("i_id").alias("n_id"))
@@ -218,17 +245,54 @@ class Tree:
         return rank.top(counts.join(rank.dominant(keyed, "key", "form"), "key"), n, F.col("n").desc(), F.col("key"))
 
     def surname_matrix(self, n: int = 8) -> DataFrame:
-        first = self.name.where("n_num = 0 and n_surn not in ('', '@N.N.')").select("n_id", "n_surn")
-        rows = self.couples().join(first.toDF("f_husb", "a"), "f_husb").join(first.toDF("f_wife", "b"), "f_wife").dropDuplicates(["f_id"])
+        first = self.first_surnames()
+        rows = self.couples().join(first.toDF("f_husb", "a"), "f_husb").join(first.toDF("f_wife", "b"), "f_wife")
         return flow.pair_matrix(rows, "a", "b", n)
 
+    def tag_counts(self, *levels: tuple[str, int]) -> DataFrame:
+        """key, label, n of the values of tags at their levels, those of the first level first."""
+        values = F.concat(*(text.tag_values(F.col("i_gedcom"), tag, level) for tag, level in levels))
+        rows = self.individuals.select("i_id", F.posexplode(values).alias("p", "v"))
+        return rank.folded_counts(rows, F.col("v"), F.struct("i_id", "p"))
+
     def tag_values(self, tag: str, n: int = 10) -> DataFrame:
-        values = self.individuals.select("i_id", F.posexplode(text.tag_values(F.col("i_gedcom"), tag)).alias("p", "v"))
-        return rank.top(rank.folded_counts(values, F.col("v"), F.struct("i_id", "p")), n, F.col("n").desc(), F.col("key"))
+        return self.most(self.tag_counts((tag, 1)), n)
 
-    def top_death_causes(self, n: int = 10) -> DataFrame:
+    @staticmethod
+    def most(counts: DataFrame, n: int) -> DataFrame:
+        return rank.top(counts, n, F.col("n").desc(), F.col("key"))
+
+    def occupation_counts(self) -> DataFrame:
+        """key, label, n of every occupation line, by the normalizer where there is one; the label is the one met first."""
+        rows = self.individuals.select("i_id", F.posexplode(text.tag_values(F.col("i_gedcom"), "OCCU")).alias("p", "v"))
+        rows = rank.normalized(rows, "v", self.occupations)
+        return rank.merged_keys(rows, F.struct("i_id", "p"))
+
+    def top_occupations(self, n: int = 10) -> DataFrame:
+        return self.most(self.occupation_counts(), n)
+
+    def total_occupations(self) -> DataFrame:
+        return rank.distinct_total(self.occupation_counts())
+
+    def religion_counts(self) -> DataFrame:
+        """Level-1 religions and those of events (level 2)."""
+        return self.tag_counts(("RELI", 1), ("RELI", 2))
+
+    def top_religions(self, n: int = 10) -> DataFrame:
+        return self.most(self.religion_counts(), n)
+
+    def total_religions(self) -> DataFrame:
+        return rank.distinct_total(self.religion_counts())
+
+    def death_cause_counts(self) -> DataFrame:
         rows = self.individuals.select("i_id", text.sub_value(text.event_block(F.col("i_gedcom"), "DEAT"), "CAUS").alias("v"))
-        return rank.top(rank.folded_counts(rows, F.col("v"), F.col("i_id")), n, F.col("n").desc(), F.col("key"))
+        return rank.folded_counts(rows, F.col("v"), F.col("i_id"))
+
+    def top_death_causes(self, n: int = 10) -> DataFrame:
+        return self.most(self.death_cause_counts(), n)
+
+    def total_death_causes(self) -> DataFrame:
+        return rank.distinct_total(self.death_cause_counts())
 
     # Places
 
@@ -289,11 +353,48 @@ class Tree:
         return rows.withColumn("rate", F.when(F.col("total") > 0, F.round(F.col("endogamous") * 100.0 / F.col("total"), 1)))
 
     def islands(self) -> DataFrame:
+        return self.island_members().groupBy("root").agg(F.count("*").alias("size"))
+
+    def island_members(self) -> DataFrame:
+        """node, root of every person."""
         people = self.individuals.select(F.col("i_id").alias("node"))
         child = self.link.where("l_type = 'FAMC'").select(F.col("l_to").alias("f_id"), F.col("l_from").alias("person"))
         member = self.spouses().select("f_id", "person").unionByName(child).join(people.withColumnRenamed("node", "person"), "person", "left_semi").join(self.families.select("f_id"), "f_id", "left_semi")
         low = member.groupBy("f_id").agg(F.min("person").alias("v"))
-        return graph.components(member.join(low, "f_id").select(F.col("person").alias("u"), "v"), people).groupBy("root").agg(F.count("*").alias("size"))
+        return graph.components(member.join(low, "f_id").select(F.col("person").alias("u"), "v"), people)
+
+    def island_ranking(self, n: int = 10) -> DataFrame:
+        """ord, root, size, label (the most frequent first surname, of equals the least), islands, persons, rest: the n largest, and totals."""
+        members = written(self.island_members(), "islands")
+        sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+        best = written(rank.top(sizes, n, F.col("size").desc(), F.col("root")), "largest")
+        named = members.join(F.broadcast(best.select("root")), "root").join(self.first_surnames().toDF("node", "surname"), "node")
+        totals = sizes.agg(F.count("*").alias("islands"), F.sum("size").alias("persons"))
+        shown = best.agg(F.sum("size").alias("shown"))
+        out = best.join(rank.dominant(named, "root", "surname"), "root", "left").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(shown))
+        return out.select("ord", "root", "size", F.coalesce("surname", F.lit("")).alias("label"), "islands", "persons", (F.col("persons") - F.col("shown")).alias("rest"))
+
+    def partnership_reach(self, most: int = 70) -> DataFrame:
+        """root, size, edges, hub, degree, length, path, median_year of the largest partnership group of three or more; no row without one.
+
+        median_year: the lower median of its members' birth and death years.
+        """
+        edges = self.partner_edges()
+        roots = written(graph.roots(edges), "roots")
+        largest = roots.groupBy("root").agg((F.count("*") + 1).alias("size")).where("size >= 3").orderBy(F.col("size").desc(), "root").limit(1)
+        largest = written(largest, "largest")  # one row
+        of = roots.select(F.col("node").alias("u"), "root").unionByName(largest.select(F.col("root").alias("u"), "root"))
+        inside = edges.join(of, "u").join(F.broadcast(largest.select("root")), "root")
+        both = written(inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v"))), "group")
+        members = both.select(F.col("u").alias("d_gid")).distinct()
+        years = self.dates.where("d_fact in ('BIRT', 'DEAT') and d_year <> 0").groupBy("d_gid", "d_fact").agg(F.min_by(F.struct("d_type", "d_year", "d_julianday1"), "d_julianday1").alias("r"))
+        years = years.join(members, "d_gid", "left_semi").select(calendar.event_year(F.col("r.d_type"), F.col("r.d_year"), F.col("r.d_julianday1")).alias("year"))
+        median = years.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY year)").cast("long").alias("median_year"))
+        out = largest.join(graph.edge_count(both), "root").join(graph.hub(both), "root").join(graph.longest_chain(both), "root")
+        return out.crossJoin(F.broadcast(median))
+
+    def partner_edges(self) -> DataFrame:
+        return self.couples().where("f_husb <> f_wife").select(F.greatest("f_husb", "f_wife").alias("u"), F.least("f_husb", "f_wife").alias("v")).distinct()
 
     def partner_groups(self, least: int = 3) -> DataFrame:
         edges = self.couples().where("f_husb <> f_wife").select(F.col("f_husb").alias("u"), F.col("f_wife").alias("v")).distinct()
@@ -307,6 +408,86 @@ class Tree:
         inside = edges.join(roots.withColumnRenamed("node", "u"), "u").join(F.broadcast(largest), "root")
         return graph.longest_chain(inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v"))))
 
+    # Persons and families in numbers
+
+    def countries_of(self, tag: str) -> DataFrame:
+        """ord, country, n of the persons linked to a root place in which the first event's place lies."""
+        top = self.places.where("p_parent_id = 0").select(F.col("p_id").alias("pl_p_id"), "p_place")
+        rows = self.placelinks.join(top, "pl_p_id").join(self.individuals.select(F.col("i_id").alias("pl_gid"), "i_gedcom"), "pl_gid")
+        rows = rows.where(text.in_country(text.event_place(F.col("i_gedcom"), tag), F.col("p_place"))).select(self.country(F.col("p_place")).alias("country"))
+        return rank.top(rows.groupBy("country").agg(F.count("*").alias("n")), 0, F.col("n").desc(), F.col("country"))
+
+    def average_children(self) -> DataFrame:
+        return self.families.agg(F.avg(F.greatest(F.coalesce("f_numchil", F.lit(0)), F.lit(0))).alias("value"))
+
+    def childless_families(self) -> DataFrame:
+        none = F.coalesce("f_numchil", F.lit(0)) <= 0
+        return self.families.agg(F.sum((~none).cast("long")).alias("with_children"), F.sum(none.cast("long")).alias("without_children"))
+
+    def persons_by_sex(self) -> DataFrame:
+        return self.individuals.groupBy(F.when(F.col("i_sex").isin("M", "F"), F.col("i_sex")).otherwise("U").alias("sex")).agg(F.count("*").alias("n"))
+
+    def living_and_dead(self) -> DataFrame:
+        dead = text.has_tag(F.col("i_gedcom"), *DEAD)
+        return self.individuals.agg(F.sum((~dead).cast("long")).alias("living"), F.sum(dead.cast("long")).alias("deceased"))
+
+    def children_of_persons(self) -> DataFrame:
+        """person, n: the children of all their families together."""
+        fams = self.link.where("l_type = 'FAMS'").select(F.col("l_from").alias("person"), F.col("l_to").alias("f_id")).distinct()
+        return fams.join(self.families.where("f_numchil > 0").select("f_id", "f_numchil"), "f_id").groupBy("person").agg(F.sum("f_numchil").alias("n"))
+
+    def oldest_living_rows(self) -> DataFrame:
+        """xref, years, jd of everyone without a death: what can't be shown is filtered before any limit."""
+        alive = self.individuals.where(~text.has_tag(F.col("i_gedcom"), *DEAD)).select(F.col("i_id").alias("xref"))
+        rows = alive.join(self.extreme("BIRT", key="xref", name="jd"), "xref").where(F.col("jd") <= self.today)
+        return rows.select("xref", calendar.whole_years(day("jd"), calendar.date_of(F.lit(self.today))).alias("years"), "jd")
+
+    def oldest_living(self, n: int = 10) -> DataFrame:
+        return rank.top(self.oldest_living_rows(), n, F.col("years").desc(), F.col("jd"), F.col("xref"))
+
+    def full_dates(self, fact: str, name: str) -> DataFrame:
+        """d_gid and the first day of a fact, of complete dates only."""
+        return dates.extreme(self.dates.where("d_julianday1 > 0 and d_mon > 0 and d_day > 0"), fact, "d_julianday1", False, name)
+
+    def child_mortality_by_century(self, floor: int = 5) -> DataFrame:
+        rows = self.full_dates("BIRT", "birth").join(self.full_dates("DEAT", "death"), "d_gid").where("death >= birth").join(self.born().select("d_gid", "year"), "d_gid").where("year <> 0")
+        died = F.sum((F.col("death") - F.col("birth") < 1826).cast("long"))
+        counts = rows.groupBy(calendar.century(F.col("year")).alias("century")).agg(F.count("*").alias("total"), died.alias("died")).where(F.col("total") >= floor)
+        return counts.withColumn("rate", F.round(F.col("died") * 100.0 / F.col("total"), 1))
+
+    def death_ages_by_century(self, floor: int = 5) -> DataFrame:
+        """century, age, n: the ages at death of every century with `floor` of them or more, counted, so that no list is gathered."""
+        counts = self.lives.groupBy("century", "age").agg(F.count("*").alias("n"))
+        return counts.withColumn("all", F.sum("n").over(Window.partitionBy("century"))).where(F.col("all") >= floor).drop("all")
+
+    def multiple_birth_rates(self, floor: int = 200) -> DataFrame:
+        """century, size (5: five or more), children, sets, total, rate: children of multiple births for each hundred dated children."""
+        born = self.children().join(self.full_dates("BIRT", "jd"), "d_gid")
+        total = born.select("d_gid").distinct().join(self.born().select("d_gid", "year"), "d_gid").groupBy(calendar.century(F.col("year")).alias("century")).agg(F.count("*").alias("total")).where(F.col("total") >= floor)
+        sets = series.anchored_clusters(born, "f_id", F.col("jd").cast("long"), 1).where("size >= 2")
+        year = calendar.year_of(calendar.date_of(F.col("anchor")))
+        counts = sets.groupBy(calendar.century(year).alias("century"), F.least("size", F.lit(5)).alias("size")).agg(F.sum("size").alias("children"), F.count("*").alias("sets"))
+        spine = total.crossJoin(F.broadcast(sets.select(F.least("size", F.lit(5)).alias("size")).distinct()))  # four sizes at most
+        out = spine.join(counts, ["century", "size"], "left").fillna(0, ["children", "sets"])
+        return out.select("century", "size", "children", "sets", "total", F.round(F.col("children") * 100.0 / F.col("total"), 2).alias("rate"))
+
+    def missing_marriages(self) -> DataFrame:
+        """total (persons with a family of their own), no_marriage, no_marriage_place (of those with one): the marriage row of the gaps."""
+        fams = self.link.where("l_type = 'FAMS'").select(F.col("l_from").alias("i_id"), F.col("l_to").alias("f_id")).distinct()
+        g = F.col("f_gedcom")
+        of = self.families.select("f_id", text.has_tag(g, "MARR").cast("int").alias("married"), text.event_place(g, "MARR").isNotNull().cast("int").alias("placed"))
+        each = fams.join(of, "f_id").groupBy("i_id").agg(F.max("married").alias("married"), F.max("placed").alias("placed"))
+        return each.agg(F.count("*").alias("total"), F.sum(1 - F.col("married")).alias("no_marriage"), F.sum(F.col("married") * (1 - F.col("placed"))).alias("no_marriage_place"))
+
+    def wire_rows(self) -> DataFrame:
+        """xref, label, sex, birth, death of every person: the label as plain text, the years of their first dates or null."""
+        label = F.coalesce(F.min_by(F.concat_ws(" ", F.nullif("n_givn", F.lit("@P.N.")), F.nullif("n_surn", F.lit("@N.N."))), "n_num"), F.lit(""))
+        names = self.name.where("n_num = 0").groupBy(F.col("n_id").alias("xref")).agg(label.alias("label"))
+        year = lambda fact, name: dates.event_dates(self.dates, fact).select(F.col("d_gid").alias("xref"), calendar.event_year(F.col("d_type"), F.col("d_year"), F.col("d_julianday1")).alias(name))
+        rows = self.individuals.select(F.col("i_id").alias("xref"), F.col("i_sex").alias("sex"))
+        rows = rows.join(names, "xref", "left").join(year("BIRT", "birth"), "xref", "left").join(year("DEAT", "death"), "xref", "left")
+        return rows.select("xref", text.plain_name(F.coalesce("label", F.lit(""))).alias("label"), "sex", "birth", "death")
+
     # Cohorts, intervals and trends
 
     def children(self) -> DataFrame:
@@ -345,7 +526,7 @@ class Tree:
         child = self.children().join(self.born(), "d_gid").join(self.spouses(), "f_id")
         first = child.groupBy("person", "sex").agg(F.min_by(F.struct("year", "jd"), F.struct("jd", "year")).alias("c"))
         rows = first.join(self.extreme("BIRT", key="person", name="birth"), "person").select("person", "sex", "c.year", calendar.whole_years(day("birth"), calendar.date_of(F.col("c.jd"))).alias("age"), (F.col("c.jd") > F.col("birth")).alias("after"))
-        return rows.where("after and age between 12 and 65").drop("after")
+        return rows.where(F.col("after") & F.col("age").between(*self.bands.parent)).drop("after")
 
     def age_at_first_child(self) -> DataFrame:
         rows = self.first_child_ages()
@@ -425,9 +606,9 @@ class Tree:
 
     def occupation_inheritance(self, least: int = 2, n: int = 15) -> DataFrame:
         """Trades of parents and children: each pair of distinct folded trades once a child, at least `least` children."""
-        trades = self.individuals.select("i_id", F.posexplode(text.tag_values(F.col("i_gedcom"), "OCCU")).alias("p", "trade"))
-        label = rank.folded_counts(trades, F.col("trade"), F.struct("i_id", "p")).select("key", "label")
-        own = trades.select("i_id", F.lower("trade").alias("key")).distinct()
+        trades = rank.normalized(self.individuals.select("i_id", F.posexplode(text.tag_values(F.col("i_gedcom"), "OCCU")).alias("p", "v")), "v", self.occupations)
+        label = rank.merged_keys(trades, F.struct("i_id", "p")).select("key", "label")
+        own = trades.select("i_id", "key").distinct()
         pairs = graph.parent_edges(self.parents).join(own.toDF("child", "c"), "child").join(own.toDF("parent", "p"), "parent").select("child", "p", "c").distinct()
         named = pairs.join(label.toDF("p", "source"), "p").join(label.toDF("c", "target"), "c")
         heavy = named.groupBy("p", "c").agg(F.count("*").alias("k")).where(F.col("k") >= least)
@@ -456,13 +637,18 @@ class Tree:
     def media_by_type(self) -> DataFrame:
         return rank.top(self.media_file.groupBy("source_media_type").agg(F.count("*").alias("n")), 0, F.col("n").desc(), F.col("source_media_type"))
 
+    def media_by_label(self) -> DataFrame:
+        """ord, label, n by label; what has no label of its own is Other, which comes last."""
+        counts = self.media_file.groupBy(labels.media_label(F.col("source_media_type")).alias("label")).agg(F.count("*").alias("n"))
+        return rank.label_sorted(counts, "label", "Other")
+
     def records(self) -> DataFrame:
         """slot, value, key of the record holders; a slot without one is missing."""
         d, first = self.marriage_durations(), self.first_child_ages()
         marr = self.spouses().join(self.extreme("MARR", key="f_id", name="at"), "f_id").join(self.extreme("BIRT", key="person", name="birth"), "person").where("at > birth")
-        marr = marr.withColumn("age", calendar.whole_years(day("birth"), day("at"))).where("age between 10 and 90")
+        marr = marr.withColumn("age", calendar.whole_years(day("birth"), day("at"))).where(F.col("age").between(*self.bands.spouse))
         spouses = self.link.where("l_type = 'FAMS'").groupBy(F.col("l_from").alias("person")).agg(F.count("*").alias("n")).where("n >= 2")
-        slots = [("longest_marriage", d, "years", "f_id", True), ("shortest_marriage", d, "days", "f_id", False), ("oldest_deceased", self.lives.where("age > 0"), "age", "d_gid", True), ("largest_family", self.families.where("f_numchil > 0"), "f_numchil", "f_id", True), ("most_spouses", spouses, "n", "person", True)]
+        slots = [("longest_marriage", d, "years", "f_id", True), ("shortest_marriage", d, "days", "f_id", False), ("oldest_deceased", self.lives.where("age > 0"), "age", "d_gid", True), ("largest_family", self.families.where("f_numchil > 0"), "f_numchil", "f_id", True), ("most_spouses", spouses, "n", "person", True), ("most_children", self.children_of_persons(), "n", "person", True), ("oldest_living", self.oldest_living_rows().where(F.col("years").between(1, self.max_age)), "years", "xref", True)]
         for sex, him, parent in (("M", "husband", "father"), ("F", "wife", "mother")):
             for word, largest in (("youngest", False), ("oldest", True)):
                 slots += [(f"{word}_{him}", marr.where(F.col("sex") == sex), "age", "person", largest), (f"{word}_{parent}", first.where(F.col("sex") == sex), "age", "person", largest)]

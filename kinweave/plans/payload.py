@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def encode(payload: object) -> str:
@@ -56,6 +57,17 @@ def sankey(df: DataFrame) -> dict:
     return {"nodes": [{"name": names[k]} for k in sorted(names)], "links": [{"source": r.source_node, "target": r.target_node, "value": r.weight, "samples": [{"xref": x} for x in r.samples.split(",") if x]} for r in rows]}
 
 
+def mapped(df: DataFrame, label: Column, value: str, tooltip: Column | None = None, css: Column | None = None) -> DataFrame:
+    """label, value, tooltip, class of the rows of a chart: columns decorated where they are, before anything is collected."""
+    empty = F.lit("")
+    return df.select("ord", label.alias("label"), F.col(value).alias("value"), (empty if tooltip is None else tooltip).alias("tooltip"), (empty if css is None else css).alias("class"))
+
+
+def wire(df: DataFrame, url: str = "{xref}") -> list[dict]:
+    """Individual rows (see Tree.wire_rows) of a ranked or limited frame, with the page of each."""
+    return [{"xref": r.xref, "label": r.label, "sex": r.sex, "birth": r.birth, "death": r.death, "url": url.format(xref=r.xref)} for r in rows_of(df, "xref")]
+
+
 def ranking(df: DataFrame, xref: str, label: str, value: str) -> list[dict]:
     return [{"xref": r[xref], "label": r[label], "value": r[value]} for r in rows_of(df, "ord")]
 

@@ -1,6 +1,7 @@
 """A small family file through the importer and the metrics."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.plans.metrics import Tree
 from kinweave.sources import gedcom
@@ -125,3 +126,26 @@ def test_more_of_health(tree):
     holders = dict((r[0], r[1:]) for r in rows(tree.records(), "slot", "value", "key"))
     assert holders["longest_marriage"] == (31, "F1") and holders["oldest_deceased"] == (75, "I5") and holders["youngest_mother"] == (24, "I4")
     assert rows(tree.hero(), "individuals", "families", "covered", "decade_from", "decade_to", "centuries") == [(7, 2, 3, 1850, 1900, 1)]
+
+
+def test_totals_and_records(tree, spark):
+    one = lambda df: tuple(df.first())
+    assert [one(f())[0] for f in (tree.total_surnames, tree.total_given_names, tree.total_occupations, tree.total_religions, tree.total_death_causes)] == [3, 8, 1, 0, 1]
+    assert one(tree.average_children()) == (1.5,) and one(tree.childless_families()) == (2, 0) and one(tree.living_and_dead()) == (3, 4)
+    assert rows(tree.persons_by_sex(), "sex", "n") == [("F", 3), ("M", 3), ("U", 1)]
+    assert rows(tree.countries_of("BIRT"), "country", "n") == [("Germany", 2), ("Spain", 2), ("USA", 2)]
+    assert [r.xref for r in tree.oldest_living(5).orderBy("ord").collect()] == ["I4", "I6"]
+    assert rows(tree.children_of_persons(), "person", "n") == [("I1", 2), ("I2", 2), ("I4", 1), ("I5", 1)]
+    assert rows(tree.child_mortality_by_century(3), "century", "total", "died", "rate") == [(19, 3, 1, 33.3)]
+    assert sum(r.n for r in tree.death_ages_by_century(4).collect()) == 4
+    assert rows(tree.multiple_birth_rates(2), "century", "size", "children", "sets", "total", "rate") == [(19, 2, 2, 1, 2, 100.0)]
+    assert one(tree.missing_marriages()) == (4, 0, 4)
+    assert rows(tree.wire_rows(), "xref", "label", "birth")[0] == ("I1", "Karl Otto Berg", 1850) and tree.wire_rows().count() == 7
+    assert rows(tree.island_ranking(1), "ord", "root", "size", "label", "islands", "persons", "rest") == [(1, "I1", 6, "Berg", 2, 7, 1)]
+    assert rows(tree.partnership_reach(), "root") == []
+    reach = dict(tree.tables) | {"families": tree.families.unionByName(tree.families.limit(1).selectExpr("tree_id", "'F9' as f_id", "'I3' as f_husb", "'I4' as f_wife", "0 as f_numchil", "'' as f_gedcom"))}
+    assert rows(Tree(reach).partnership_reach(), "size", "edges", "hub", "degree", "length", "path", "median_year") == [(3, 2, "I4", 2, 3, "I3,I4,I5", 1880)]
+    assert rows(tree.media_by_label(), "label") == []
+    port = Tree(tree.tables, occupations=lambda v: v.select("v", F.lit("metal").alias("key"), F.lit("Metal worker").alias("label")))
+    assert rows(port.top_occupations(), "label", "n") == [("Metal worker", 3)]
+    assert dict((r[0], r[1:]) for r in rows(tree.records(), "slot", "value", "key"))["most_children"] == (2, "I1")
