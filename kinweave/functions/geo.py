@@ -11,7 +11,8 @@ BANDS_KM = (10, 50, 200, 500, 1000)
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    known = lat1.isNotNull() & lng1.isNotNull() & lat2.isNotNull() & lng2.isNotNull()
+    return F.when(known, 2 * RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() would pass over a null
 
 
 def distance_band(km: Column) -> Column:

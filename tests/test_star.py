@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinweave.plans import star
+from kinweave.plans import kin, star
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,9 +30,12 @@ def rows(df):
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(star.ORACLE))
+QUERIES, ORACLE = star.QUERIES | kin.QUERIES, star.ORACLE | kin.ORACLE
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_oracle(spark, duck, name):
-    ours, theirs = star.QUERIES[name](spark, SF).toPandas(), duck.execute(star.ORACLE[name]).df()
+    ours, theirs = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
