@@ -4,8 +4,9 @@ A word's vector is the sum of the vectors of its character n-grams (and of the w
 all of its n-grams, and a linear softmax over two classes reads it. As that mean is linear, a trained model folds into one
 number an n-gram, so scoring a word is a sum and scoring a document a sum over its words: one pass, nothing shuffled.
 
-The sampled rows are taken apart on the executors: the driver gets word hashes and counts of each sampled document and the
-n-gram hashes of each distinct word, never a text. N-grams are known by 64-bit hashes throughout.
+The sampled rows are taken apart on the executors, which also count in how many of them each n-gram occurs: the driver gets word
+hashes and counts of each sampled document, and the n-grams worth learning of each distinct word, never a text. N-grams are
+known by 64-bit hashes throughout.
 
 Edge cases: null and empty texts, and texts without words, have no n-grams and get the score of the bias alone; very long texts
 are scored whole; rows whose doc_id is null are scored like any other, count as not held out and are never learnt from; repeated
@@ -75,40 +76,58 @@ class Model:
 
 @dataclass
 class Sample:
-    """What training reads. doc, word, count: one entry a document and distinct word of it. of_word, gram: one entry a word and n-gram."""
+    """What training reads. toxic, total: label and number of n-grams of a document. doc, word, count: one entry a document and
+    distinct word of it. of_word, gram: one entry a word and n-gram of it that is learnt, words in order. names: those n-grams."""
 
     toxic: np.ndarray
+    total: np.ndarray
     doc: np.ndarray
     word: np.ndarray
     count: np.ndarray
     of_word: np.ndarray
     gram: np.ndarray
+    names: np.ndarray
 
 
 def words_of(text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Hashes and counts of a text's distinct words, and the words."""
     found = Counter(WORD.findall(text.lower()))
-    return np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64), np.array(list(found.values()), np.int64), list(found)
+    return np.array(list(map(xxhash.xxh3_64_intdigest, found)), np.uint64), np.array(list(found.values()), np.int32), list(found)
 
 
-def sampled(toxic: list[int], words: list[np.ndarray], counts: list[np.ndarray], vocabulary: dict[int, np.ndarray] | tuple[np.ndarray, list[np.ndarray]]) -> Sample:
-    """From the documents' word hashes and counts, and the n-gram hashes of every word."""
-    keys, lists = vocabulary
+def size_of(word: str) -> int:
+    """How many n-grams a word has."""
+    return 1 + max(0, len(word) - 1) + max(0, len(word) - 2)
+
+
+def sampled(toxic, total, sizes, words, counts, keys, many, gram, names) -> Sample:
+    """words, counts: hashes and counts of all documents' words, `sizes` of them each. keys: words with learnt n-grams, gram those
+    n-grams as numbers of names, `many` of them each. Words without any are left out."""
     order = np.argsort(keys)
-    sizes = np.array([len(lists[k]) for k in order], np.int64)
-    doc = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
-    none = np.zeros(0, np.uint64)
-    word = np.searchsorted(keys[order], np.concatenate([none, *words])).astype(np.int32)
-    gram = np.concatenate([none, *(lists[k] for k in order)])
-    return Sample(np.array(toxic, np.float64), doc, word, np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.float32), np.repeat(np.arange(len(order), dtype=np.int32), sizes), gram)
+    starts = np.concatenate([[0], np.cumsum(many)])[order]
+    many = many[order]
+    of_word = np.repeat(np.arange(len(order), dtype=np.int32), many)
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(many)])[:-1], many) + np.arange(len(of_word))
+    keys = keys[order]
+    word = np.searchsorted(keys, words)
+    known = keys[np.minimum(word, max(0, len(keys) - 1))] == words if len(keys) else np.zeros(len(words), bool)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return Sample(np.array(toxic, np.float64), np.maximum(np.array(total, np.float32), 1), doc[known], word[known].astype(np.int32), counts[known].astype(np.float32), of_word, gram[at], names)
 
 
 def train(texts: list[str], toxic: list[int], **options) -> Model:
     """A model from texts at hand: `learn` on their sample."""
     parts = [words_of(t) for t in texts]
-    known = {int(h): w for hashes, _, names in parts for h, w in zip(hashes, names, strict=True)}
-    vocabulary = np.array(list(known), np.uint64), [np.array(grams(w), np.uint64) for w in known.values()]
-    return learn(sampled(toxic, [p[0] for p in parts], [p[1] for p in parts], vocabulary), **options)
+    known = {int(h): grams(w) for hashes, _, names in parts for h, w in zip(hashes, names, strict=True)}
+    often = Counter(g for hashes, *_ in parts for g in {g for h in hashes.tolist() for g in known[h]})
+    names = np.sort(np.array([g for g, n in often.items() if n >= MIN_DOCS], np.uint64))
+    place = {g: k for k, g in enumerate(names.tolist())}
+    lists = [[place[g] for g in gs if g in place] for gs in known.values()]
+    some = np.array([bool(x) for x in lists], bool)
+    flat = lambda k, kind: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)])
+    total = [sum(n * size_of(w) for n, w in zip(counts.tolist(), words, strict=True)) for _, counts, words in parts]
+    keys = np.array(list(known), np.uint64)[some]
+    return learn(sampled(toxic, total, [len(p[0]) for p in parts], flat(0, np.uint64), flat(1, np.int32), keys, np.array([len(x) for x in lists if x], np.int64), np.array([g for x in lists for g in x], np.int32), names), **options)
 
 
 class Sums:
@@ -136,23 +155,10 @@ def learn(sample: Sample, dim: int = 2, epochs: int = 90, rate: float = 0.1, dec
     y = sample.toxic
     if not len(y) or y.min() == y.max():
         return Model(float(np.clip(np.log(y.mean() / (1 - y.mean())), -30, 30)) if len(y) and 0 < y.mean() < 1 else (30.0 if len(y) and y.mean() == 1 else -30.0), {})
-    doc, word, count = sample.doc, sample.word, sample.count
-    names, flat = np.unique(sample.gram, return_inverse=True)
-    n_words = int(sample.of_word[-1]) + 1 if len(sample.of_word) else 0
-    size = np.bincount(sample.of_word, minlength=n_words)
-    of_doc = np.maximum(np.bincount(doc, weights=count * size[word], minlength=len(y)), 1)
-    share = (count / of_doc[doc]).astype(np.float32)
     # What is learnt from a few documents is noise: rarer n-grams count in the mean with a vector of zero.
-    first = np.concatenate([[0], np.cumsum(size)])
-    in_docs = np.zeros(len(names), np.int64)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(y)))])
-    for d in range(len(y)):
-        here = word[ends[d] : ends[d + 1]]
-        in_docs[np.unique(np.concatenate([np.zeros(0, np.int64), *(flat[first[w] : first[w + 1]] for w in here)]))] += 1
-    learnt = in_docs >= MIN_DOCS
-    place = (np.cumsum(learnt) - 1).astype(np.int32)
-    kept = learnt[flat]
-    of_word, flat, names = sample.of_word[kept], place[flat[kept]], names[learnt]
+    doc, word, of_word, flat, names = sample.doc, sample.word, sample.of_word, sample.gram, sample.names
+    n_words = int(of_word[-1]) + 1 if len(of_word) else 0
+    share = sample.count / sample.total[doc]
     by_gram, by_word = np.argsort(flat, kind="stable"), np.argsort(word, kind="stable")
     to_word, to_doc = Sums(of_word, flat, n_words), Sums(doc, word, len(y))
     from_doc, from_word = Sums(word[by_word], doc[by_word], n_words), Sums(flat[by_gram], of_word[by_gram], len(names))
@@ -205,20 +211,48 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clea
         for b in batches:
             parts = [words_of(t) for t in b.column("text").to_pylist()]
             raw = ([x.tobytes() for x in c] for c in ([p[0] for p in parts], [p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array(c, pa.binary()) for c in raw), pa.array([p[2] for p in parts], pa.list_(pa.string()))], names=["doc_id", "toxic", "hashes", "counts", "words"])
+            total = [sum(n * size_of(w) for n, w in zip(counts.tolist(), words, strict=True)) for _, counts, words in parts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(total, pa.int64()), *(pa.array(c, pa.binary()) for c in raw), pa.array([p[2] for p in parts], pa.list_(pa.string()))], names=["doc_id", "toxic", "total", "hashes", "counts", "words"])
+
+    def spread(batches):
+        known = BoundedCache(lambda w: np.array(grams(w), np.uint64), 150_000)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                each = [np.unique(np.concatenate([known[w] for w in words])) for words in b.column("words").slice(at, 256).to_pylist() if words]
+                known.trim()
+                found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    rows = written(one.mapInArrow(apart, "doc_id long, toxic int, total long, hashes binary, counts binary, words array<string>"), "sample")
+    often = rows.select("words").mapInArrow(spread, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    names = np.sort(often.select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
 
     def subwords(batches):
         for b in batches:
             words = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64()), pa.array([np.array(grams(w), np.uint64).tobytes() for w in words], pa.binary())], names=["hash", "grams"])
+            found = []
+            for w in words:
+                g = np.array(grams(w), np.uint64)
+                k = np.searchsorted(names, g)
+                found.append(k[names[np.minimum(k, len(names) - 1)] == g].astype(np.int32) if len(names) else np.zeros(0, np.int32))
+            batch = pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["hash", "grams"])
+            yield batch.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    rows = written(one.mapInArrow(apart, "doc_id long, toxic int, hashes binary, counts binary, words array<string>"), "sample")
     words = rows.select(F.explode("words").alias("word")).distinct().mapInArrow(subwords, "hash long, grams binary").toArrow()
-    table = rows.select("doc_id", "toxic", "hashes", "counts").orderBy("doc_id").toArrow()
-    numbers = lambda column, kind: [np.frombuffer(x.as_buffer(), kind) for x in column]
-    vocabulary = words.column("hash").to_numpy().view(np.uint64), numbers(words.column("grams"), np.uint64)
-    sample = sampled(table.column("toxic").to_pylist(), numbers(table.column("hashes"), np.uint64), numbers(table.column("counts"), np.int64), vocabulary)
-    del words, table, vocabulary
+    table = rows.select("doc_id", "toxic", "total", "hashes", "counts").orderBy("doc_id").toArrow()
+
+    def numbers(column, kind):
+        """All numbers of a binary column, and how many each row has, without an object a row."""
+        parts = [(np.frombuffer(c.buffers()[2], np.uint8), np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in column.chunks if len(c) and c.buffers()[2]]
+        flat = [raw[at[0] : at[-1]].view(kind) for raw, at in parts]
+        return np.concatenate([np.zeros(0, kind), *flat]), np.concatenate([np.zeros(0, np.int64), *(np.diff(at) // np.dtype(kind).itemsize for _, at in parts)])
+
+    gram, many = numbers(words.column("grams").cast(pa.binary()), np.int32)
+    hashes, sizes = numbers(table.column("hashes").cast(pa.binary()), np.uint64)
+    counts, _ = numbers(table.column("counts").cast(pa.binary()), np.int32)
+    keys = words.column("hash").to_numpy().view(np.uint64)
+    sample = sampled(table.column("toxic").to_pylist(), table.column("total").to_pylist(), sizes, hashes, counts, keys, many, gram, names)
+    del words, table, gram, hashes, counts, keys
     return learn(sample)
 
 
