@@ -5,8 +5,8 @@ all of its n-grams, and a linear softmax over two classes reads it. As that mean
 number an n-gram, so scoring a word is a sum and scoring a document a sum over its words: one pass, nothing shuffled.
 
 The sampled rows are taken apart on the executors, which also count in how many of them each n-gram occurs: the driver gets word
-hashes and counts of each sampled document, and the n-grams worth learning of each distinct word, never a text. N-grams are
-known by 64-bit hashes throughout.
+hashes and counts of each sampled document, and the n-grams worth learning of each distinct word, never a text. While
+training, n-grams are known by 64-bit hashes; those learnt are then named.
 
 Edge cases: null and empty texts, and texts without words, have no n-grams and get the score of the bias alone; very long texts
 are scored whole; rows whose doc_id is null are scored like any other, count as not held out and are never learnt from; repeated
@@ -36,11 +36,15 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 2000, 6000
 MIN_DOCS = 8
 
 
-def grams(word: str) -> list[int]:
-    """Hashes of a lower-case word with end marks, and of its 4- and 5-grams."""
+def grams(word: str) -> list[str]:
+    """A lower-case word with end marks, and its 4- and 5-grams."""
     marked = f"<{word}>"
     n = len(marked)
-    return list(map(xxhash.xxh3_64_intdigest, [marked, *(marked[i : i + size] for size in (4, 5) for i in range(n - size + 1))]))
+    return [marked, *(marked[i : i + size] for size in (4, 5) for i in range(n - size + 1))]
+
+
+def hashed(word: str) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, grams(word))), np.uint64)
 
 
 @dataclass
@@ -48,7 +52,7 @@ class Model:
     """weight: what an n-gram adds to the toxic side of the softmax; a document's logit is bias + mean of its n-grams' weights."""
 
     bias: float
-    weight: dict[int, float]
+    weight: dict[str, float]
 
     def scorer(self):
         weight = self.weight
@@ -77,7 +81,7 @@ class Model:
 @dataclass
 class Sample:
     """What training reads. toxic, total: label and number of n-grams of a document. doc, word, count: one entry a document and
-    distinct word of it. of_word, gram: one entry a word and n-gram of it that is learnt, words in order. names: those n-grams."""
+    distinct word of it. of_word, gram: one entry a word and n-gram of it that is learnt, words in order. names: those n-grams in text."""
 
     toxic: np.ndarray
     total: np.ndarray
@@ -118,16 +122,17 @@ def sampled(toxic, total, sizes, words, counts, keys, many, gram, names) -> Samp
 def train(texts: list[str], toxic: list[int], **options) -> Model:
     """A model from texts at hand: `learn` on their sample."""
     parts = [words_of(t) for t in texts]
-    known = {int(h): grams(w) for hashes, _, names in parts for h, w in zip(hashes, names, strict=True)}
+    known = {int(h): hashed(w).tolist() for hashes, _, names in parts for h, w in zip(hashes, names, strict=True)}
     often = Counter(g for hashes, *_ in parts for g in {g for h in hashes.tolist() for g in known[h]})
     names = np.sort(np.array([g for g, n in often.items() if n >= MIN_DOCS], np.uint64))
     place = {g: k for k, g in enumerate(names.tolist())}
+    text = {h: g for _, _, words in parts for w in words for h, g in zip(hashed(w).tolist(), grams(w), strict=True) if h in place}
     lists = [[place[g] for g in gs if g in place] for gs in known.values()]
     some = np.array([bool(x) for x in lists], bool)
     flat = lambda k, kind: np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)])
     total = [sum(n * size_of(w) for n, w in zip(counts.tolist(), words, strict=True)) for _, counts, words in parts]
     keys = np.array(list(known), np.uint64)[some]
-    return learn(sampled(toxic, total, [len(p[0]) for p in parts], flat(0, np.uint64), flat(1, np.int32), keys, np.array([len(x) for x in lists if x], np.int64), np.array([g for x in lists for g in x], np.int32), names), **options)
+    return learn(sampled(toxic, total, [len(p[0]) for p in parts], flat(0, np.uint64), flat(1, np.int32), keys, np.array([len(x) for x in lists if x], np.int64), np.array([g for x in lists for g in x], np.int32), [text[h] for h in place]), **options)
 
 
 class Sums:
@@ -184,7 +189,7 @@ def learn(sample: Sample, dim: int = 2, epochs: int = 90, rate: float = 0.1, dec
             v += np.float32(0.001) * (grad * grad - v)
             param -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.999**step)) + np.float32(1e-8))
     toward = out[:, 1] - out[:, 0]
-    return Model(float(bias[1] - bias[0]), dict(zip(names.tolist(), (toward @ vec * scale).tolist(), strict=True)))
+    return Model(float(bias[1] - bias[0]), dict(zip(names, (toward @ vec * scale).tolist(), strict=True)))
 
 
 def remainder() -> F.Column:
@@ -215,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clea
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(total, pa.int64()), *(pa.array(c, pa.binary()) for c in raw), pa.array([p[2] for p in parts], pa.list_(pa.string()))], names=["doc_id", "toxic", "total", "hashes", "counts", "words"])
 
     def spread(batches):
-        known = BoundedCache(lambda w: np.array(grams(w), np.uint64), 150_000)
+        known = BoundedCache(hashed, 150_000)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 each = [np.unique(np.concatenate([known[w] for w in words])) for words in b.column("words").slice(at, 256).to_pylist() if words]
@@ -232,13 +237,29 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clea
             words = b.column("word").to_pylist()
             found = []
             for w in words:
-                g = np.array(grams(w), np.uint64)
+                g = hashed(w)
                 k = np.searchsorted(names, g)
                 found.append(k[names[np.minimum(k, len(names) - 1)] == g].astype(np.int32) if len(names) else np.zeros(0, np.int32))
             batch = pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64()).view(pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["hash", "grams"])
             yield batch.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    words = rows.select(F.explode("words").alias("word")).distinct().mapInArrow(subwords, "hash long, grams binary").toArrow()
+    def named(batches):
+        done: set[int] = set()
+        for b in batches:
+            out = {}
+            for w in b.column("word").to_pylist():
+                g = hashed(w)
+                k = np.searchsorted(names, g)
+                for i in np.flatnonzero(names[np.minimum(k, len(names) - 1)] == g) if len(names) else ():
+                    if int(k[i]) not in done:
+                        out[int(k[i])] = grams(w)[i]
+            done.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.string())], names=["k", "gram"])
+
+    distinct = rows.select(F.explode("words").alias("word")).distinct()
+    text = distinct.mapInArrow(named, "k int, gram string").groupBy("k").agg(F.min("gram").alias("gram")).toArrow()
+    text = dict(zip(text.column("k").to_pylist(), text.column("gram").to_pylist(), strict=True))
+    words = distinct.mapInArrow(subwords, "hash long, grams binary").toArrow()
     table = rows.select("doc_id", "toxic", "total", "hashes", "counts").orderBy("doc_id").toArrow()
 
     def numbers(column, kind):
@@ -251,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_SAMPLE, clea
     hashes, sizes = numbers(table.column("hashes").cast(pa.binary()), np.uint64)
     counts, _ = numbers(table.column("counts").cast(pa.binary()), np.int32)
     keys = words.column("hash").to_numpy().view(np.uint64)
-    sample = sampled(table.column("toxic").to_pylist(), table.column("total").to_pylist(), sizes, hashes, counts, keys, many, gram, names)
-    del words, table, gram, hashes, counts, keys
+    sample = sampled(table.column("toxic").to_pylist(), table.column("total").to_pylist(), sizes, hashes, counts, keys, many, gram, [text[k] for k in range(len(names))])
+    del words, table, text, gram, hashes, counts, keys
     return learn(sample)
 
 
