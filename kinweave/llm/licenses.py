@@ -13,7 +13,8 @@ Lines are hard-wrapped in many files. Where neighbouring lines without a family
 one with a family) form one together, their joined text is one more paragraph; its span goes from the first to the last of them.
 
 Edge cases: null text is empty and has no paragraph; rows with null doc_id are scanned too; repeated rows give repeated
-results; an empty table gives no rows; other columns are ignored.
+results; very long texts and lines are scanned whole; of families with equal probability the first in the order of TEMPLATES is
+taken; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,10 +11,11 @@ over all tasks), and its rank names its sequence and offset.
 
 Tokens: the vocabulary's own rules, computed word by word. Texts of ordinary Latin letters go through a cache of distinct
 chunks and a byte-pair engine over the vocabulary's ranks; any other text goes to the tokenizers library whole. Both give the
-library's ids (tested on every text of the test tables).
+library's ids.
 
 Edge cases: null text is empty, and an empty text is its end token alone; rows with null doc_id are packed too; repeated rows
-are packed as often as they occur; an empty table gives no rows; other columns are ignored.
+are packed as often as they occur; very long texts are cut into as many pieces as they need; ties between pieces of one length go by
+bucket, then doc_id and piece; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ No piece has the space mark after another character, so texts fall apart before
 encoded and decoded once while it stays in the cache. Characters outside the vocabulary become their bytes.
 
 Edge cases: null text is empty, and an empty text is the begin and end ids alone and decodes to empty; rows with null doc_id
-are coded too; repeated rows give repeated results; other columns are ignored.
+are coded too; repeated rows give repeated results; very long texts, with spaces or without, are coded whole; of merges with equal
+scores the leftmost comes first; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ The patterns below are the base patterns with possessive repeats and a look-behi
 if its first can't, so that Java's matcher neither recurses nor starts a long run anew at each of its characters.
 
 Edge cases: null text is empty and has no span; rows with null doc_id are scanned too; repeated rows give repeated results;
-an empty table gives no rows; other columns are ignored. Positions are code points, ends exclusive.
+very long texts are scanned whole; spans of a kind with one start come by their end; an empty table gives no rows; other columns
+are ignored, whatever their names. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations

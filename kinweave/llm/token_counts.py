@@ -10,8 +10,9 @@ for each block, however many documents have it. (3) Blocks sum up pieces times f
 
 Texts that hold one of the vocabulary's special strings are cut at them first, as the library does; each counts one.
 
-Edge cases: null text is empty and counts 0; rows with null doc_id are counted too; repeated rows are counted each; an empty
-table gives no rows; other columns are ignored.
+Edge cases: null text is empty and counts 0; rows with null doc_id are counted too; repeated rows are counted each; very long
+texts are counted whole (one may fill a block); ties between merges go by the order of the vocabulary's ids; an empty table gives no
+rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

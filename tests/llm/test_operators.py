@@ -590,3 +590,47 @@ def test_near_duplicates_in_a_large_group(spark):
     ends = brute_classes(data[:120])
     few, _ = minhash.near_duplicates(spark.createDataFrame(data[:120], "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in few.collect()} == ends
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_packed_ids(request, which):
+    """The checksum of every piece's ids, made by the library."""
+    import zlib
+
+    df = request.getfixturevalue(which)
+    library = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY)).library
+    expected = Counter()
+    for i, t in texts(df):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        expected.update((i, k, zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 4096)))
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packing.pack(df).collect()) == expected
+
+
+def test_piece_digests_of_very_long_texts(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path(piece_codec.VOCABULARY))
+    cases = ["日本語の文" * 20_000, "0123456789" * 10_000, "é" * 100_000, "😀" * 50_000]
+    for r in piece_codec.digests(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect():
+        ids = library.encode(cases[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pii_base_spans_of_random_groups(spark):
+    """Digits, signs and letters at random, so that groupings of every kind occur."""
+    rng = np.random.default_rng(12)
+    parts = list("0123456789") * 3 + list(" -.()+@ab_%é") + ["41 11 11 11 ", "4111-1111-1111-1111", "255.", "+49 "]
+    cases = ["".join(rng.choice(parts, int(rng.integers(5, 60)))) for _ in range(1500)]
+    rows = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(cases):
+        found = personal(t)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest(), t
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in found) for k in pii.KINDS]
+        assert set(found) <= set(rows[i].spans.split(","))
+
+
+def test_scans_of_nothing_and_of_clashing_columns(spark, none):
+    assert pii.scan(none).count() == licenses.scan(none).count() == packing.pack(none).count() == 0
+    df = spark.createDataFrame([(1, "mail a@b.c; Released under the MIT License.", [1], "x", "y", 3)], "doc_id long, text string, lines array<int>, kept string, base_email string, own int")
+    assert pii.scan(df).first().n_email == 1 and licenses.scan(df).first().families == "mit"
