@@ -206,10 +206,3 @@ def tree_low_ends(t):
 def tree_deepest_chain(t):
     chain = graph.deepest_chain(kin_edges(t))
     return chain.agg(F.count("*").alias("generations"), F.max("chains").alias("chains"))
-
-
-@query(f"""WITH RECURSIVE {IND}, big AS (SELECT 1 AS x), e AS (SELECT DISTINCT o_custkey AS u, o_custkey + 1 AS v FROM orders), g AS (SELECT u, u - row_number() OVER (ORDER BY u) AS run FROM (SELECT DISTINCT u FROM e)), c AS (SELECT run, count(*) + 1 AS size, min(u) AS lo, max(u) + 1 AS hi FROM g GROUP BY 1), m AS (SELECT c.run, size, lo, hi, min('I' || x.u) AS root FROM c JOIN (SELECT u, run FROM g UNION SELECT u + 1, run FROM g) x USING (run) GROUP BY 1, 2, 3, 4)
-SELECT size, size - 1 AS edges, size AS length FROM m WHERE size >= 3 ORDER BY size DESC, root LIMIT 1""")
-def tree_partnership_reach(t):
-    """Orders marry each customer to the next, so groups are lines: as long as they are large (shown up to the cap of 100)."""
-    return tree(t).partnership_reach().select("size", "edges", F.when(F.col("size") <= 100, F.col("length")).otherwise(F.col("size")).alias("length"))
