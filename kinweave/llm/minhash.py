@@ -184,6 +184,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def dealt(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows joined to buckets by band, over SPREAD slots of c: a large bucket's rows would else be one key."""
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    return rows.withColumn("slot", F.pmod(F.xxhash64("c"), F.lit(SPREAD)).cast("int")).join(buckets.withColumn("slot", slots), ["band", "slot"]).drop("slot")
+
+
 def tiled(texts: DataFrame, large: DataFrame) -> DataFrame:
     """A forest (a, b) of all links within the large buckets: rows band, c, n, root of buckets with several components.
 
@@ -194,7 +200,7 @@ def tiled(texts: DataFrame, large: DataFrame) -> DataFrame:
     occurrence); what leaves the task is a spanning forest.
     """
     heads = large.groupBy("band").agg(F.min("c").alias("v"))
-    clusters = roots(large.join(heads, "band").select(F.col("c").alias("u"), "v"), "clusters")
+    clusters = roots(dealt(large, heads).select(F.col("c").alias("u"), "v"), "clusters")
     members = large.select("c", "n", "root").distinct().join(clusters.toDF("c", "cluster"), "c", "left")
     members = members.withColumn("cluster", F.coalesce("cluster", "c"))
     cells = members.groupBy("cluster", "n").agg(F.count("*").alias("many"))
@@ -281,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Buckets whose members are not all joined: the pairs across components.
     labelled = shared.select("band", "c", "n", "size").join(found.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     several = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    left = written(labelled.join(several, "band"), "several")
+    left = written(dealt(labelled, several), "several")
     small = left.where(F.col("size") <= SMALL)
     x, y = small.select("band", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), small.select("band", F.col("c").alias("b"), "n", "root")
     across = x.join(y, "band").where("a < b and r_a <> root").where(alike).select("a", "b").distinct()
