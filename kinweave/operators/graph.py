@@ -112,8 +112,8 @@ def roots(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root of every node of edges (u, v) that reaches a smaller one: root is the smallest.
 
     Rounds of large-star and small-star over tables in the shared folder, until a round changes nothing. Neighbour sets are
-    never gathered: a round is a minimum per node, pre-aggregated, and a join back, whose hub keys AQE's skew join splits (the
-    join's result is aggregated anew, so that splitting costs no further shuffle).
+    never gathered: a round is a minimum per node, pre-aggregated, and a join back. A hub's edges, rows of two numbers, meet in
+    one task of that join: its other side is aggregated in the same stage, so AQE's skew join can't split it.
     """
     rounds = Rounds(name)
     now = rounds.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
