@@ -36,17 +36,22 @@ def has_tag(record: Column, *tags: str) -> Column:
     return record.rlike(r"\n1 (?:" + "|".join(map(re.escape, tags)) + r")(?: |\n|$)")
 
 
-def block_pattern(tag: str) -> str:
-    return rf"\n1 {re.escape(tag)}(?=[ \n]|$)[^\n]*(?:\n[2-9][^\n]*)*"
+def block_pattern(tag: str, level: int = 1) -> str:
+    """A line of that level whose tag matches, with the lines up to the next one of its level or above.
+
+    All repeats are possessive: they never give anything back, so a match needs one pass and no stack, however long a block is.
+    """
+    above = "".join(map(str, range(level + 1)))
+    return rf"\n{level} (?:{tag})(?=[ \n]|\z)[^\n]*+(?:\n(?![{above}] )[^\n]*+)*+"
 
 
 def event_block(record: Column, tag: str) -> Column:
     """The first level-1 block of a tag with its subordinate lines, or null."""
-    return F.nullif(F.regexp_extract(record, block_pattern(tag), 0), F.lit(""))
+    return F.nullif(F.regexp_extract(record, block_pattern(re.escape(tag)), 0), F.lit(""))
 
 
 def event_blocks(record: Column, tag: str) -> Column:
-    return F.regexp_extract_all(record, F.lit(block_pattern(tag)), F.lit(0))
+    return F.regexp_extract_all(record, F.lit(block_pattern(re.escape(tag))), F.lit(0))
 
 
 def sub_value(block: Column, tag: str) -> Column:
@@ -68,13 +73,14 @@ def tag_values(record: Column, tag: str, level: int = 1) -> Column:
 
 
 def event_year_of_text(record: Column, tag: str) -> Column:
-    """Signed year of a block's date text: the part before AND or TO, without what follows a bracket; dual years count up by one."""
+    """Signed year of a block's date text: the part before AND or TO, without what follows a bracket. Of a dual year the first
+    counts, and one more where that has four digits; of several numbers the last."""
     date = F.regexp_replace(sub_value(event_block(record, tag), "DATE"), r"\(.*", "")
-    date = F.element_at(F.split(date, r" (?:AND|TO) "), 1)
-    dual = F.regexp_extract(date, r"([0-9]{3,4})/[0-9]{1,2}", 1)
-    runs = F.regexp_extract_all(date, F.lit(r"(?<![0-9])[0-9]{1,4}(?![0-9])"), F.lit(0))
-    year = F.when(dual != "", dual.cast("int") + 1).otherwise(F.try_element_at(runs, F.lit(-1)).cast("int"))
-    return F.when(date.contains("B.C."), -year).otherwise(year)
+    date = F.element_at(F.split(date, r"\s+(?:AND|TO)\s+", 2), 1)
+    later = F.when(date.rlike(r"[0-9]{4}/[0-9]"), 1).otherwise(0)
+    runs = F.regexp_extract_all(F.regexp_replace(date, "([0-9]+)/[0-9]+", "$1"), F.lit(r"(?<![0-9])[0-9]{1,4}(?![0-9])"), F.lit(0))
+    year = F.try_element_at(runs, F.lit(-1)).cast("int") + later
+    return F.when(date.rlike(r"\bB\.C\."), -year).otherwise(year)
 
 
 def coordinate(block: Column, tag: str) -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.calendar import MONTHS
+from kinweave.functions.text import block_pattern
 
 POINTER = r"@([^@#\n][^@\n]*)@"
 NAME_TAGS = ("NAME", "ROMN", "FONE", "_HEB", "_MARNM", "_AKA", "_AKAN")
@@ -137,20 +138,28 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def names(rows: DataFrame) -> DataFrame:
-    """Every name form with its number; surname and given names from their own lines, else from the slashes."""
-    block = rf"\n[12] (?:{'|'.join(NAME_TAGS)}) [^\n]*(?:\n[23] (?:GIVN|SURN|TYPE|NPFX|NSFX|SPFX|NICK)[^\n]*)*"
-    people = rows.where("kind = 'INDI'").select("tree_id", F.col("xref").alias("n_id"), F.posexplode(F.regexp_extract_all("gedcom", F.lit(block), F.lit(0))).alias("n_num", "b"))
+    """Every name form with its number; surname and given names from the lines below their own, else from the slashes.
+
+    A form stands on a level-1 line or, as a variant, on a level-2 line; its parts may stand anywhere in its block.
+    """
+    tags = "|".join(NAME_TAGS)
+    deeper = F.regexp_extract_all("block", F.lit(block_pattern(tags, 2)), F.lit(0))
+    forms = F.concat(F.filter(F.array("block"), lambda b: b.rlike(rf"^\n1 (?:{tags}) ")), F.filter(deeper, lambda b: b.rlike(r"^\n2 [A-Z_]+ ")))
+    blocks = rows.where("kind = 'INDI'").select("tree_id", F.col("xref").alias("n_id"), F.posexplode(F.regexp_extract_all("gedcom", F.lit(block_pattern("[A-Z_]++")), F.lit(0))).alias("at", "block"))
+    each = blocks.select("tree_id", "n_id", "at", F.posexplode(forms).alias("k", "b"))
+    numbered = each.withColumn("n_num", F.row_number().over(Window.partitionBy("tree_id", "n_id").orderBy("at", "k")) - 1)
+    level = F.when(F.substr("b", F.lit(2), F.lit(1)) == "1", 2).otherwise(3)
+    own = lambda tag: F.nullif(F.trim(F.when(level == 2, F.regexp_extract("b", rf"\n2 {tag} ([^\n]*)", 1)).otherwise(F.regexp_extract("b", rf"\n3 {tag} ([^\n]*)", 1))), F.lit(""))
     full = F.regexp_extract("b", r"^\n[12] [A-Z_]+ ([^\n]*)", 1)
-    own = lambda tag: F.nullif(F.trim(F.regexp_extract("b", rf"\n[23] {tag} ([^\n]*)", 1)), F.lit(""))
     surname = F.coalesce(own("SURN"), F.nullif(F.trim(F.regexp_extract(full, "/([^/]*)/", 1)), F.lit("")), F.lit("@N.N."))
     given = F.coalesce(own("GIVN"), F.nullif(F.trim(F.regexp_replace(full, "/[^/]*/?.*", "")), F.lit("")), F.lit("@P.N."))
-    return people.select("tree_id", "n_id", "n_num", F.regexp_extract("b", r"^\n[12] ([A-Z_]+)", 1).alias("n_type"), surname.alias("n_surn"), given.alias("n_givn"))
+    return numbered.select("tree_id", "n_id", "n_num", F.regexp_extract("b", r"^\n[12] ([A-Z_]+)", 1).alias("n_type"), surname.alias("n_surn"), given.alias("n_givn"))
 
 
 def dates(rows: DataFrame) -> DataFrame:
     """One or two rows for each distinct dated level-1 fact of a record."""
-    fact = r"\n1 ([A-Z_]+)[^\n]*(?:\n[2-9][^\n]*)*?\n2 DATE ([^\n]*)"
-    pairs = F.arrays_zip(F.regexp_extract_all("gedcom", F.lit(fact), F.lit(1)).alias("f"), F.regexp_extract_all("gedcom", F.lit(fact), F.lit(2)).alias("d"))
+    blocks = F.filter(F.regexp_extract_all("gedcom", F.lit(block_pattern("[A-Z_]++")), F.lit(0)), lambda b: b.contains("\n2 DATE "))
+    pairs = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"^\n1 ([A-Z_]+)", 1).alias("f"), F.regexp_extract(b, r"\n2 DATE ([^\n]*)", 1).alias("d")))
 
     @F.pandas_udf(f"array<struct<{DATE_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
     def parsed(fact: pd.Series, date: pd.Series) -> pd.Series:
@@ -188,7 +197,7 @@ def media(rows: DataFrame) -> DataFrame:
 
 
 def media_files(rows: DataFrame) -> DataFrame:
-    files = F.regexp_extract_all("gedcom", F.lit(r"\n1 FILE [^\n]*(?:\n[2-9][^\n]*)*"), F.lit(0))
+    files = F.regexp_extract_all("gedcom", F.lit(block_pattern("FILE")), F.lit(0))
     each = rows.where("kind = 'OBJE'").select("tree_id", F.col("xref").alias("m_id"), F.explode(files).alias("b"))
     return each.select("tree_id", "m_id", F.lower(F.trim(F.regexp_extract("b", r"\n[23] (?:TYPE|MEDI) ([^\n]*)", 1))).alias("source_media_type"))
 
