@@ -31,7 +31,7 @@ from kinweave.operators.tables import written
 
 DEPTH = 4
 #: Words of a shard; bytes of text taken apart at once; characters of text that a range stands for.
-SHARD_WORDS, BLOCK, RANGE_CHARS = 4_000_000, 4 << 20, 16_000_000
+SHARD_WORDS, BLOCK, RANGE_CHARS = 1_500_000, 4 << 20, 8_000_000
 SAMPLE, PER_DOCUMENT, CUT_BYTES = 1000, 100, 64
 LOW = np.uint64(0xFFFFFFFF)
 #: What parts pieces (as the byte `.`), what parts words (as a space), and the letters that are lowered.
@@ -79,26 +79,32 @@ def blocks(texts: list[str]):
     yield b".".join(held)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted; np.unique hashes first, which is slower where most values differ."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def combined(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One number a path that sorts like its four ranks, and the sorted pairs of ranks that its halves stand for."""
-    first, second = columns[0] << np.uint64(32) | columns[1], columns[2] << np.uint64(32) | columns[3]
-    known = np.unique(np.concatenate([first, second]))
+    first, second = (a.astype(np.uint64) << np.uint64(32) | b for a, b in (columns[:2], columns[2:]))
+    known = distinct(np.concatenate([first, second]))
     return np.searchsorted(known, first).astype(np.uint64) << np.uint64(32) | np.searchsorted(known, second).astype(np.uint64), known
 
 
 def taken_apart(keys: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
     a, b = known[keys >> np.uint64(32)], known[keys & LOW]
-    return [a >> np.uint64(32), a & LOW, b >> np.uint64(32), b & LOW]
+    return [c.astype(np.uint32) for c in (a >> np.uint64(32), a & LOW, b >> np.uint64(32), b & LOW)]
 
 
 def paths(ranks: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Sorted distinct paths (four columns of ranks, 0 beyond the end of a piece) of words in text order, and their counts."""
     n = len(ranks)
     if not ranks.any():
-        return [np.zeros(0, np.uint64)] * DEPTH, np.zeros(0, np.int64)
+        return [np.zeros(0, np.uint32)] * DEPTH, np.zeros(0, np.int64)
     r = np.concatenate([ranks, np.zeros(DEPTH - 1, np.uint64)])
     pair = np.where(r[:-1] > 0, r[:-1] << np.uint64(32) | r[1:], np.uint64(0))
-    known = np.unique(pair)
+    known = distinct(pair)
     place = np.searchsorted(known, pair).astype(np.uint64)
     keys = place[:n] << np.uint64(32) | np.where(r[1 : n + 1] > 0, place[2 : n + 2], np.uint64(0))
     keys = np.sort(keys[ranks > 0])
@@ -177,7 +183,7 @@ class Transducer:
             starts = np.concatenate([[0], np.cumsum(self.many[d], dtype=np.int64)])[:-1]
             size = self.many[d][states].astype(np.int64)
             arcs = np.repeat(starts[states] - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
-            columns = [np.repeat(c, size) for c in columns] + [self.labels[d][arcs].astype(np.uint64)]
+            columns = [np.repeat(c, size) for c in columns] + [self.labels[d][arcs]]
             states = self.target[d][arcs].astype(np.int64)
         return columns, states
 
@@ -213,10 +219,10 @@ def cut(words: list[bytes], columns: list[np.ndarray], bound: tuple[bytes, ...])
     lo, hi = 0, len(columns[0])
     for c, b in zip(columns, bound, strict=False):
         k = bisect_left(words, b) + 1 if b else 0
-        left = lo + int(np.searchsorted(c[lo:hi], np.uint64(k)))
+        left = lo + int(np.searchsorted(c[lo:hi], c.dtype.type(k)))
         if b and (k > len(words) or words[k - 1] != b):
             return left
-        lo, hi = left, lo + int(np.searchsorted(c[lo:hi], np.uint64(k), "right"))
+        lo, hi = left, lo + int(np.searchsorted(c[lo:hi], c.dtype.type(k), "right"))
     return lo
 
 
@@ -236,7 +242,7 @@ def shards(bounds: list[tuple]):
                     for c in mine:
                         used[c] = True
                     used[0] = False
-                    short = np.cumsum(used).astype(np.uint64) * used
+                    short = np.cumsum(used, dtype=np.uint32)
                     yield lo + k, lang, Transducer.of([words[w - 1] for w in np.flatnonzero(used)], [short[c] for c in mine], weights[i:j]).packed()
 
     def run(batches):
@@ -281,7 +287,7 @@ def union(least: int):
             number = {w: k for k, w in enumerate(words, 1)}
             parts, weights = [], []
             for t in some:
-                rank = np.array([0, *map(number.__getitem__, t.words)], np.uint64)
+                rank = np.array([0, *map(number.__getitem__, t.words)], np.uint32)
                 columns, w = t.paths()
                 parts.append([rank[c] for c in columns])
                 weights.append(w)
