@@ -66,31 +66,39 @@ def shared_ancestry(couples: DataFrame, parents: DataFrame, generations: int) ->
     return both.select("couple", F.arrays_overlap("up_a", "up_b").alias("endogamous"))
 
 
-def depths(edges: DataFrame, cap: int = 100) -> DataFrame:
+def depths(edges: DataFrame, cap: int = 100, stride: int = 8) -> DataFrame:
     """node, depth, capped of all nodes of edges (parent, child): the longest way down, leaves 0, clamped to cap; capped: it is cap.
 
-    Round r finds the nodes with a way down of r steps: the parents of those of round r - 1. Only edges into them go on, so
-    tables shrink, and a node's depth is the last round that has it. Nodes that never leave are on or above a cycle; they can't
-    raise depths, but take the depth below them.
+    A node with a way down of r steps has one of r - 1, so nodes with long ways are among those with shorter ones, and only edges
+    into them go on. The first job finds `stride` further steps, each one after it half as many more than the one before: a node carries
+    the most steps found so far, and each step joins the nodes that have just got theirs to their parents. Nodes that never leave are on
+    or above a cycle; they can't raise depths, but take the depth below them.
     """
     edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
     live, levels = Rounds("live"), Rounds("levels", 1 << 30)
-    left, before, r = edges, -1, 0
+    left, before, r, steps, whole = edges, -1, 0, stride, None
+    rows = edges.select(F.col("child").alias("node"), F.lit(0).alias("depth")).distinct()
     while True:
-        r += 1
-        now = levels.put(left.select(F.col("parent").alias("node")).distinct().withColumn("depth", F.lit(r)))
+        up = left.select(F.col("child").alias("below"), F.col("parent").alias("above"))
+        for k in range(r, r + steps):
+            both = rows.join(up, F.expr(f"node = below and depth = {k}"), "left")
+            each = F.array(F.struct("node", "depth"), F.struct(F.col("above").alias("node"), (F.col("depth") + 1).alias("depth")))
+            rows = both.select(F.inline(each)).where("node is not null").groupBy("node").agg(F.max("depth").alias("depth"))
+        r, steps = r + steps, steps + stride // 2
+        now = levels.put(rows).where(F.col("depth") == r)
         many = now.count()
         if many in (0, before):
             break
-        before = many
-        left = live.put(left.join(now.select(F.col("node").alias("child")), "child", "left_semi"))
+        before, rows = many, now
+        if whole is None or 2 * many < whole:  # fewer edges are worth a table where half of the nodes have left
+            left, whole = live.put(left.join(now.select(F.col("node").alias("child")), "child", "left_semi")), many
     found = levels.all(edges.sparkSession)
     out = nodes.join(found.groupBy("node").agg(F.max("depth").alias("depth")), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
     if many:  # the last two rounds are the same nodes
         rest = now.select("node")
         done = out.join(rest, "node", "left_anti")
-        below = left.join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent")
+        below = left.join(rest.withColumnRenamed("node", "child"), "child", "left_semi").join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent")
         of = edges.join(rest.withColumnRenamed("node", "parent"), "parent", "left_semi").join(done.select(F.col("node").alias("child"), "depth"), "child").select("parent", (F.col("depth") + 1).alias("depth"))
         cyclic = of.unionByName(below.withColumn("depth", F.lit(0))).groupBy(F.col("parent").alias("node")).agg(F.max("depth").alias("depth"))
         out = done.unionByName(cyclic)
@@ -108,26 +116,96 @@ def descendants(edges: DataFrame) -> DataFrame:
     return rounds.all(edges.sparkSession)
 
 
+def closure(edges: DataFrame, starts: DataFrame, stride: int = 5) -> DataFrame:
+    """ancestor, person: all distinct pairs with a way down from the nodes of starts (ancestor), none with itself.
+
+    A pair carries the least number of steps found; each of a job's `stride` steps takes the pairs that are new one step further.
+    """
+    down = edges.select(F.col("parent").alias("above"), F.col("child").alias("below"))
+    rounds, r = Rounds("closure"), 1
+    rows = rounds.put(starts.join(down, F.col("ancestor") == F.col("above")).select("ancestor", F.col("below").alias("person"), F.lit(1).alias("steps")).distinct())
+    while not rows.where(F.col("steps") == r).isEmpty():
+        for k in range(r, r + stride):
+            both = rows.join(down, F.expr(f"person = above and steps = {k}"), "left")
+            each = F.array(F.struct("person", "steps"), F.struct(F.col("below").alias("person"), (F.col("steps") + 1).alias("steps")))
+            rows = both.select("ancestor", F.inline(each)).where("person <> ancestor").groupBy("ancestor", "person").agg(F.min("steps").alias("steps"))
+        r += stride
+        rows = rounds.put(rows)
+    return rows.select("ancestor", "person")
+
+
+def way_counts(edges: DataFrame, most: int, stride: int = 5, limit: int = 120) -> DataFrame:
+    """node, bound: ways down from every parent, which its descendants can't exceed, `most` at most.
+
+    Step r counts ways of up to r steps from the counts of step r - 1. What still changes after `limit` steps lies on or above a
+    cycle, or above a longer line, and is given `most`.
+    """
+    rounds, r, total = Rounds("ways", 2), 0, None
+    counts = rounds.put(edges.groupBy(F.col("parent").alias("node")).agg(F.least(F.count("*"), F.lit(most)).alias("bound")))
+    while True:
+        before = counts
+        for _ in range(stride):
+            below = counts.select(F.col("node").alias("child"), "bound")
+            counts = edges.join(below, "child", "left").groupBy(F.col("parent").alias("node")).agg(F.least(F.sum(F.least(F.coalesce("bound", F.lit(0)) + 1, F.lit(most))), F.lit(most)).alias("bound"))
+        counts, r = rounds.put(counts), r + stride
+        seen = counts.agg(F.sum(F.col("bound").cast("decimal(38,0)"))).first()[0]
+        if seen == total:
+            return counts
+        total = seen
+        if r >= limit:
+            return counts.join(before.withColumnRenamed("bound", "was"), "node").select("node", F.when(F.col("bound") == F.col("was"), F.col("bound")).otherwise(F.lit(most)).alias("bound"))
+
+
+def top_descendants(edges: DataFrame, k: int, ahead: int = 2) -> DataFrame:
+    """ancestor, n: distinct descendants of the k nodes that have most, and of others that had to be counted for that.
+
+    Numbers of ways are upper bounds. The ahead * k nodes with the highest ones (all of an equal bound) are counted first; the
+    k-th of these counts is a floor, and only nodes whose bound reaches it are counted after. No other pair is ever made.
+    """
+    edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
+    most = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct().count()
+    bounds = written(way_counts(edges, most), "bounds")
+    high = [r.bound for r in bounds.orderBy(F.col("bound").desc()).limit(ahead * k).collect()]
+    count = lambda some: closure(edges, some.select(F.col("node").alias("ancestor"))).groupBy("ancestor").agg(F.count("*").alias("n"))
+    first = written(count(bounds.where(F.col("bound") >= (high[-1] if high else 0))), "counted")
+    found = [r.n for r in first.orderBy(F.col("n").desc()).limit(k).collect()]
+    floor = found[-1] if len(found) == k else 0
+    rest = bounds.where((F.col("bound") < (high[-1] if high else 0)) & (F.col("bound") >= floor))
+    return first if rest.isEmpty() else first.unionByName(count(rest))
+
+
 def roots(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root of every node of edges (u, v) that reaches a smaller one: root is the smallest.
 
-    Rounds of large-star and small-star over tables in the shared folder, until a round changes nothing. Neighbour sets are
-    never gathered: a round is a minimum per node, pre-aggregated, and a join back. A hub's edges, rows of two numbers, meet in
-    one task of that join: its other side is aggregated in the same stage, so AQE's skew join can't split it.
+    A round hooks every node to its smallest neighbour if that is smaller, follows these pointers to their ends (each job makes them
+    up to three times as long), and goes on with the edges between different ends only: at most half of the nodes are left.
+
+    Minima are pre-aggregated, and every look-up joins two written tables, one of which has a row a node. So where a node has many
+    edges or many pointers to it, nothing but a shuffle lies below either side of the join, and AQE's skew join deals the
+    rows of that key out over tasks.
     """
-    rounds = Rounds(name)
+    rounds, maps = Rounds(name), []
     now = rounds.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
-    while True:
-        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if seen == mark or not seen[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        now = rounds.put(near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        pointers = Rounds(f"{name}-pointers")
+        hook = pointers.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+        moves = True
+        while moves:
+            one, two = hook.select(F.col("node").alias("root"), F.col("root").alias("r2")), hook.select(F.col("node").alias("r2"), F.col("root").alias("r3"))
+            hook = pointers.put(hook.select("node", "root").join(one, "root").join(two, "r2").select("node", F.col("r3").alias("root"), (F.col("r2") != F.col("r3")).alias("moves")))
+            moves = not hook.where("moves").isEmpty()
+        maps.append(hook.where("node <> root").select("node", "root"))
+        half = now.join(hook.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").select("a", "v").distinct()  # many edges of one end are now one
+        ends = half.join(hook.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        now = rounds.put(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if not maps:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    full, whole = maps.pop(), Rounds(f"{name}-roots")
+    while maps:  # of a round's nodes the later rounds know the ends
+        m = maps.pop()
+        full = whole.put(m.join(full.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("node", F.coalesce("end", "root").alias("root")).unionByName(full))
+    return full
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -344,7 +344,7 @@ class Tree:
         return graph.depths(edges).groupBy("depth").agg(F.count("*").alias("n"), F.max("capped").alias("capped"))
 
     def top_ancestors(self, n: int = 10) -> DataFrame:
-        counts = graph.descendants(graph.parent_edges(self.parents)).groupBy("ancestor").agg(F.count("*").alias("n"))
+        counts = graph.top_descendants(graph.parent_edges(self.parents), n)
         return rank.top(counts, n, F.col("n").desc(), F.col("ancestor"))
 
     def endogamy(self, generations: int = 4) -> DataFrame:
