@@ -230,20 +230,84 @@ def walk(both: DataFrame, start: DataFrame, key: str) -> DataFrame:
     return rounds.all(both.sparkSession)
 
 
+def lines(both: DataFrame, keep: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Groups with every line of nodes that have two neighbours, and are not in keep (key, node), drawn as one edge.
+
+    both: key, u, v, both directions. Returns the edges between the nodes that are left (key, start, first, end, len: from start over
+    its neighbour first, len steps) and the nodes on them (key, start, first, pos, node), pos 0 < pos < len. An arc from u to v
+    points to the arc before it, and these pointers are followed to their starts, each job making them up to four times as long.
+    A group without an end of lines, a ring, needs a node in keep.
+    """
+    two = both.groupBy(key, "u").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).where("n = 2").join(keep.withColumnRenamed("node", "u"), [key, "u"], "left_anti")
+    from_two = two.select(key, "u", F.lit(True).alias("inner"), "a", "b")
+    to_two = two.select(key, F.col("u").alias("v"), F.lit(True).alias("on"))
+    arcs = both.join(from_two, [key, "u"], "left").join(to_two, [key, "v"], "left")
+    before = F.when(F.col("inner"), F.when(F.col("a") == F.col("v"), F.col("b")).otherwise(F.col("a")))
+    rounds = Rounds("lines")
+    now = rounds.put(arcs.select(key, "u", "v", F.coalesce("on", F.lit(False)).alias("on"), F.coalesce(before, "u").alias("hu"), F.when(F.col("inner"), F.col("u")).otherwise(F.col("v")).alias("hv"), F.when(F.col("inner"), 1).otherwise(0).cast("long").alias("off"), F.coalesce("inner", F.lit(False)).alias("moves")))
+    while not now.where("moves").isEmpty():
+        step = now
+        for _ in range(3):
+            ahead = now.select(key, F.col("u").alias("hu"), F.col("v").alias("hv"), F.col("hu").alias("hu2"), F.col("hv").alias("hv2"), F.col("off").alias("more"))
+            step = step.join(ahead, [key, "hu", "hv"]).select(key, "u", "v", "on", F.col("hu2").alias("hu"), F.col("hv2").alias("hv"), (F.col("off") + F.col("more")).alias("off"), (F.col("more") > 0).alias("moves"))
+        now = rounds.put(step)
+    named = now.select(key, F.col("hu").alias("start"), F.col("hv").alias("first"), F.col("v").alias("node"), (F.col("off") + 1).alias("pos"), "on")
+    edges = named.where("not on").select(key, "start", "first", F.col("node").alias("end"), F.col("pos").alias("len"))
+    return edges, named.where("on").select(key, "start", "first", "pos", "node")
+
+
+def distances(edges: DataFrame, start: DataFrame, key: str, stride: int = 3) -> DataFrame:
+    """key, node, dist, hops from start (key, node) along edges as `lines` gives them: the shortest way, of equals the one whose nodes
+    come first in order. hops: (first, to, start, len) of each edge of that way. A job takes `stride` edges more."""
+    rounds = Rounds("distances")
+    hop = "array<struct<first:{0},to:{0},start:{0},len:bigint>>".format(dict(start.dtypes)["node"])
+    rows = rounds.put(start.select(key, "node", F.lit(0).cast("long").alias("dist"), F.array().cast(hop).alias("hops"), F.lit(True).alias("fresh")))
+    out = edges.select(F.col(key).alias("k"), F.col("start").alias("from"), "first", "end", "len")
+    while not rows.where("fresh").isEmpty():
+        for _ in range(stride):
+            both = rows.join(out, (F.col(key) == F.col("k")) & (F.col("node") == F.col("from")) & F.col("fresh"), "left")
+            own = F.struct("node", F.struct("dist", "hops").alias("way"), F.lit(True).alias("own"))
+            far = F.struct(F.col("end").alias("node"), F.struct((F.col("dist") + F.col("len")).alias("dist"), F.concat("hops", F.array(F.struct("first", F.col("end").alias("to"), F.col("from").alias("start"), "len"))).alias("hops")).alias("way"), F.lit(False).alias("own"))
+            least = both.select(key, F.inline(F.array(own, far))).where("node is not null").groupBy(key, "node").agg(F.min("way").alias("way"), F.min(F.when(F.col("own"), F.col("way"))).alias("was"))
+            rows = least.select(key, "node", "way.dist", "way.hops", (~F.col("way").eqNullSafe(F.col("was"))).alias("fresh"))
+        rows = rounds.put(rows)
+    return rows.select(key, "node", "dist", "hops")
+
+
 def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> DataFrame:
-    """key, length, path: a longest shortest way of each component by two breadth-first walks, the first from its smallest node.
+    """key, length, path: a longest shortest way of each component by two walks, the first from its smallest node.
 
     component: key, u, v, both directions. Of the nodes farthest in the first walk the smallest starts the second; of the ways to
     the nodes farthest from it, each read from whichever end makes it smaller, the smallest is returned; of longer ones the last
-    cap nodes. The walks are joins of frontiers; one path a component comes out.
+    cap nodes. Walks go along drawn-together lines, so a line of any length costs a logarithm of jobs, and only a way's turns are
+    carried; its last nodes are looked up in the end.
     """
     both = written(component.select(key, "u", "v").distinct(), "component")
-    first = walk(both, both.groupBy(key).agg(F.min("u").alias("node")), key)
-    far = first.groupBy(key).agg(F.min_by("node", F.struct(-F.col("level"), F.col("node"))).alias("node"))
-    second = walk(both, far, key)
-    ends = second.join(second.groupBy(key).agg(F.max("level").alias("level")), [key, "level"])
-    path = F.slice("path", -F.least(F.size("path"), F.lit(cap)), F.lit(cap))
-    best = ends.select(key, path.alias("p")).groupBy(key).agg(F.min(F.least("p", F.reverse("p"))).alias("p"))
+    start = both.groupBy(key).agg(F.min("u").alias("node"))
+
+    def walked(start):
+        start = written(start, "start")
+        edges, inner = lines(both, start, key)
+        ways = distances(edges, start, key)
+        on = inner.join(ways.withColumnRenamed("node", "start"), [key, "start"])
+        return edges, inner, ways, on.select(key, "node", (F.col("dist") + F.col("pos")).alias("dist"), F.concat("hops", F.array(F.struct("first", F.col("node").alias("to"), "start", F.col("pos").alias("len")))).alias("hops"))
+
+    _, _, ways, on = walked(start)
+    reached = ways.select(key, "node", "dist").unionByName(on.select(key, "node", "dist")).groupBy(key, "node").agg(F.min("dist").alias("dist"))
+    far = reached.groupBy(key).agg(F.min_by("node", F.struct(-F.col("dist"), F.col("node"))).alias("node"))
+    _, inner, ways, on = walked(far)
+    each = ways.unionByName(on).groupBy(key, "node").agg(F.min(F.struct("dist", "hops")).alias("way"))
+    each = written(each.select(key, "node", "way.*"), "ways")
+    ends = each.join(each.groupBy(key).agg(F.max("dist").alias("dist")), [key, "dist"])
+    hops = ends.select(key, F.col("node").alias("last"), "dist", F.posexplode("hops").alias("k", "h"), "hops")
+    at = F.aggregate(F.slice("hops", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda acc, h: acc + h["len"])
+    hops = hops.select(key, "last", "dist", "h.*", at.alias("at")).where(F.col("at") + F.col("len") > F.col("dist") - cap)
+    middle = hops.join(inner, [key, "start", "first"]).where("pos < len").select(key, "last", "dist", (F.col("at") + F.col("pos")).alias("pos"), "node")
+    turns = hops.select(key, "last", "dist", (F.col("at") + F.col("len")).alias("pos"), F.col("to").alias("node"))
+    first = ends.select(key, F.col("node").alias("last"), "dist", F.lit(0).cast("long").alias("pos"), F.coalesce(F.try_element_at("hops", F.lit(1))["start"], "node").alias("node"))
+    nodes = middle.unionByName(turns).unionByName(first).where(F.col("pos") > F.col("dist") - cap)
+    paths = nodes.groupBy(key, "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("p"))
+    best = paths.groupBy(key).agg(F.min(F.least("p", F.reverse("p"))).alias("p"))
     return best.select(key, F.size("p").cast("long").alias("length"), F.array_join(F.col("p").cast("array<string>"), ",").alias("path"))
 
 

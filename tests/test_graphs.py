@@ -198,3 +198,57 @@ def test_anchored_sets_of_one_key_are_spread(spark, skewed):
     got = series.anchored_clusters(spark.range(n).select(F.lit("k").alias("who"), F.col("id").alias("t")), "who", F.col("t"), 3600).collect()
     assert sorted((r.anchor, r.size) for r in got) == [(a, min(3601, n - a)) for a in range(0, n, 3601)]
     assert all(max(v) < n / 3 for v in skewed().values() if sum(v) >= n)
+
+
+def chain_of(edges, cap=100):
+    """The longest shortest way by two queues."""
+    near = defaultdict(set)
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+
+    def ways(start):
+        best, now = {start: (start,)}, [start]
+        while now:
+            new = {}
+            for x in now:
+                for y in near[x]:
+                    if y not in best:
+                        new[y] = min(new.get(y, best[x] + (y,)), best[x] + (y,))
+            best |= new
+            now = list(new)
+        return best
+
+    first = ways(min(near))
+    most = max(map(len, first.values()))
+    second = ways(min(x for x, w in first.items() if len(w) == most))
+    most = max(map(len, second.values()))
+    cut = [w[-cap:] for w in second.values() if len(w) == most]
+    return min(min(w, w[::-1]) for w in cut)
+
+
+def tangle(seed, n, extra):
+    rng = random.Random(seed)
+    return [(k, rng.randrange(max(0, k - 6), k)) for k in range(1, n)] + [tuple(rng.sample(range(n), 2)) for _ in range(extra)]
+
+
+CHAINS = [lines(12, 4), [(k, (k + 1) % 9) for k in range(9)], tangle(1, 40, 0), tangle(2, 40, 3), tangle(3, 30, 12), [(3, 8)], [(0, k) for k in range(1, 6)] + [(5, 9)], [(k, k + 1) for k in range(10)] + [(10, 20), (20, 21), (21, 5), (10, 11), (11, 12)]]
+
+
+def test_longest_chains(spark):
+    rows = [(g, *e) for g, edges in enumerate(CHAINS) for a, b in edges for e in ((a, b), (b, a))]
+    for cap in (100, 5):
+        got = {r.g: (r.length, r.path) for r in graph.longest_chain(frame(spark, rows, "g int, u int, v int"), "g", cap).collect()}
+        expected = {g: chain_of(edges, cap) for g, edges in enumerate(CHAINS)}
+        assert got == {g: (len(p), ",".join(map(str, p))) for g, p in expected.items()}
+
+
+def test_a_long_line_takes_few_tables(spark, monkeypatch):
+    """A line of 5,000 persons in any order, and its last hundred: a walk by levels wrote 10,000 tables."""
+    puts = Counter()
+    put = graph.Rounds.put
+    monkeypatch.setattr(graph.Rounds, "put", lambda self, df: (puts.update(n=1), put(self, df))[1])
+    line = lines(5000, 3)
+    rows = spark.createDataFrame([("g", f"{a:05}", f"{b:05}") for u, v in line for a, b in ((u, v), (v, u))], "root string, u string, v string")
+    (row,) = graph.longest_chain(rows).collect()
+    assert (row.length, row.path) == (100, ",".join(f"{x:05}" for x in chain_of(line))) and puts["n"] <= 30
