@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache, reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # What is no given name (initials and particles, regnal numerals, ordinals), and what is blanked before the split.
@@ -14,21 +16,20 @@ _PARTICLE = r"^(?:[A-Z]|[a-z]{1,3})$"
 _ROMAN = r"^[IVXLCDM]{2,}$"
 _ORDINAL = r"(?i)^\d+(?:st|nd|rd|th)$"
 _NOISE = r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}|[(){}\[\]`\"]"
-# Letters without a decomposition, and what they fold to.
-_SINGLE = {"đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ĸ": "q", "ł": "l", "ŋ": "n", "ø": "o", "ŧ": "t"}
-_DOUBLE = {"ß": "ss", "æ": "ae", "ǽ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŉ": "'n", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+#: Where letters, marks of writing and their compatibility forms lie that fold to plain ones: Latin to general punctuation and
+#: symbols, phonetic and later Latin letters, ligatures, and full-width forms.
+_FOLDED_RANGES = ((0x80, 0x370), (0x1D00, 0x1DC0), (0x1E00, 0x1F00), (0x2000, 0x2C00), (0x2C60, 0x2C80), (0x2E00, 0x3040), (0x3200, 0x3400), (0xA700, 0xA800), (0xAB30, 0xAB70), (0xFB00, 0xFB07), (0xFE10, 0xFE70), (0xFF00, 0xFFF0))
 
 
-def _folds() -> dict[str, str]:
-    """Lower-case Latin letters up to U+024F and U+1E00 to U+1EFF, and the plain letter that their decomposition starts with."""
-    letters = [chr(i).lower() for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
-    return {c: d for c in letters if len(c) == 1 and c not in _DOUBLE and (d := unicodedata.normalize("NFKD", c)[0]) != c and d.isascii() and d.isalpha()} | _SINGLE
-
-
-def _compositions() -> dict[str, str]:
-    """A Latin letter and the combining mark after it, and the one character that they compose to."""
-    pairs = (letter + chr(mark) for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" for mark in range(0x300, 0x329))
-    return {p: one for p in pairs if len(one := unicodedata.normalize("NFC", p)) == 1}
+@lru_cache(maxsize=1)
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What the Unicode library of Spark's JVM makes of single characters by its rule set Latin-ASCII: those that become one
+    character, and those that become several or none. Read once a session; the expressions built from it run without it."""
+    chars = [c for lo, hi in _FOLDED_RANGES for c in map(chr, range(lo, hi)) if unicodedata.category(c) not in ("Cn", "Cs", "Co", "Mn", "Me") and c not in "\u2028\u2029\x85"]
+    rules = SparkSession.active()._jvm.com.ibm.icu.text.Transliterator.getInstance("Latin-ASCII")
+    plain = rules.transliterate("\n".join(chars)).split("\n")
+    found = {c: p for c, p in zip(chars, plain, strict=True) if c != p}
+    return {c: p for c, p in found.items() if len(p) == 1}, {c: p for c, p in found.items() if len(p) != 1}
 
 
 def has_tag(record: Column, *tags: str) -> Column:
@@ -36,6 +37,11 @@ def has_tag(record: Column, *tags: str) -> Column:
     return record.rlike(r"\n1 (?:" + "|".join(map(re.escape, tags)) + r")(?: |\n|$)")
 
 
+def has_prefix(record: Column, *tags: str) -> Column:
+    """Level-1 line that begins with a tag, whatever follows it."""
+    return reduce(or_, (record.contains(f"\n1 {t}") for t in tags))
+
+
 def block_pattern(tag: str, level: int = 1) -> str:
     """A line of that level whose tag matches, with the lines up to the next one of its level or above.
 
@@ -91,11 +97,9 @@ def coordinate(block: Column, tag: str) -> Column:
 
 
 def composed(value: Column) -> Column:
-    """Latin letters with a combining mark after them as one character each (their NFC form); other sequences keep theirs."""
-    known = F.from_json(F.lit(json.dumps(_compositions())), F.lit("map<string,string>"))
-    parts = F.regexp_extract_all(value, F.lit("(?s)[A-Za-z][\u0300-\u0328]|."), F.lit(0))
-    one = F.transform(parts, lambda c: F.when(F.length(c) == 2, F.coalesce(F.try_element_at(known, c), c)).otherwise(c))
-    return F.when(value.rlike("[\u0300-\u0328]"), F.array_join(one, "")).otherwise(value)
+    """Characters in their composed form (NFC), by the Unicode library of Spark's JVM; texts without marks or later letters as they are."""
+    whole = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False))
+    return F.when(value.rlike(r"[\p{M}\x{0340}-\x{037E}\x{1100}-\x{11FF}\x{1F00}-\x{2FFF}\x{F900}-\x{FB4F}]"), F.coalesce(whole, value)).otherwise(value)
 
 
 def given_tokens(given: Column) -> Column:
@@ -107,14 +111,15 @@ def given_tokens(given: Column) -> Column:
 
 
 def folded(token: Column) -> Column:
-    """Lower-case key without accents: the letters above become plain ones, marks left over go, other scripts keep their form."""
-    folds = _folds()
-    out = F.translate(F.lower(composed(token)), "".join(folds), "".join(folds.values()))
-    double = out
-    for one, two in _DOUBLE.items():
-        double = F.replace(double, F.lit(one), F.lit(two))
-    out = F.when(out.rlike("[" + "".join(_DOUBLE) + "]"), double).otherwise(out)
-    return F.regexp_replace(out, "[\u0300-\u036f]", "")
+    """Lower-case key in plain letters: what the rule set Latin-ASCII and lower-casing make of the composed token. Letters, signs and
+    quotes with a plain form take it, marks on Latin letters go, and other scripts keep their form and their marks."""
+    single, several = _folds()
+    out = F.translate(composed(token), "".join(single), "".join(single.values()))
+    known = F.from_json(F.lit(json.dumps(several)), F.lit("map<string,string>"))
+    each = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    out = F.when(out.rlike("[" + "".join(several) + "]"), each).otherwise(out)
+    out = F.lower(F.when(token.rlike(r"[^\x00-\x7F]"), out).otherwise(token))
+    return F.when(out.rlike(r"\p{M}"), F.regexp_replace(out, r"(?<=\p{IsLatin})\p{M}+", "")).otherwise(out)
 
 
 def plain_name(name: Column) -> Column:

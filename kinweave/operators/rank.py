@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.operators.tables import written
+from kinweave.operators.tables import fresh, written
 
 
 def folded_counts(df: DataFrame, value: Column, position: Column, fold: Callable[[Column], Column] = F.lower) -> DataFrame:
@@ -21,8 +21,9 @@ def normalized(df: DataFrame, value: str, normalizer: Callable[[DataFrame], Data
     column; what it leaves out or null, and every value without one, has its lower case as key and itself as label."""
     if normalizer is None:
         return df.withColumns({"key": F.lower(value), "label": F.col(value)})
-    found = normalizer(df.select(F.col(value).alias("v")).where("v is not null").distinct()).select(F.col("v").alias(value), F.col("key").alias("_key"), F.col("label").alias("_label"))
-    return df.join(found, value, "left").withColumns({"key": F.coalesce("_key", F.lower(value)), "label": F.coalesce("_label", value)}).drop("_key", "_label")
+    key, label = fresh("_key", df), fresh("_label", df)
+    found = normalizer(df.select(F.col(value).alias("v")).where("v is not null").distinct()).select(F.col("v").alias(value), F.col("key").alias(key), F.col("label").alias(label))
+    return df.join(found, value, "left").withColumns({"key": F.coalesce(key, F.lower(value)), "label": F.coalesce(label, value)}).drop(key, label)
 
 
 def merged_keys(df: DataFrame, position: Column) -> DataFrame:
@@ -30,19 +31,14 @@ def merged_keys(df: DataFrame, position: Column) -> DataFrame:
     return df.groupBy("key").agg(F.min_by("label", F.struct(position.alias("p"), F.col("label"))).alias("label"), F.count("*").alias("n"))
 
 
-def left_wins(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """The union of two series by key; where both have one, the left's values."""
-    return left.unionByName(right.join(left.select(*keys), list(keys), "left_anti").select(left.columns))
-
-
 def distinct_total(counts: DataFrame) -> DataFrame:
     """total: the number of keys of folded or other counts."""
     return counts.agg(F.count("*").alias("total"))
 
 
-def merged_labels(df: DataFrame) -> DataFrame:
-    """Keys that share a label are summed."""
-    return df.groupBy("label").agg(F.sum("n").alias("n"))
+def by_shown_label(df: DataFrame, label: Column, n: int) -> DataFrame:
+    """ord, label, n of counts (key, n): keys that are shown by one label are summed, and the first n ranked by their sum."""
+    return top(df.groupBy(label.alias("label")).agg(F.sum("n").alias("n")), n, F.col("n").desc(), F.col("label")).select("ord", "label", "n")
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -54,17 +50,27 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """All rows with their rank as ord: sorted by ranges, numbered within each, and shifted by the sizes of the ranges before."""
-    parts = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftrightunsigned("_at", 33)
-    sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
-    return parts.join(F.broadcast(before), part == F.col("_part")).withColumn("ord", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, "ord")
+    at, number, many, before = (fresh(c, df) for c in ("_at", "_part", "_n", "_before"))
+    parts = written(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    part = F.shiftrightunsigned(at, 33)
+    sizes = parts.groupBy(part.alias(number)).agg(F.count("*").alias(many))
+    shift = sizes.select(number, (F.sum(many).over(Window.orderBy(number)) - F.col(many)).alias(before))  # one row a partition
+    return parts.join(F.broadcast(shift), part == F.col(number)).withColumn("ord", F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, "ord")
+
+
+def collation(spark: SparkSession, locale: str | None) -> str:
+    """The collation of a locale such as sv or de-AT: of language and country if there is one, else of the language, else the root's."""
+    parts = (locale or "").replace("_", "-").split("-")
+    country = spark._jvm.java.util.Locale("", parts[-1].upper()).getISO3Country() if len(parts) > 1 and len(parts[-1]) == 2 else parts[-1].upper()
+    wanted = [f"{parts[0].lower()}_{country}", parts[0].lower()] if parts[0] else []
+    known = {r[0] for r in spark.sql("SELECT name FROM collations()").where(F.col("name").isin(wanted)).collect()} if wanted else set()
+    return next((w for w in wanted if w in known), "UNICODE")
 
 
-def label_sorted(df: DataFrame, label: str = "label", last: str | None = None) -> DataFrame:
-    """Rows by label in Unicode collation, of equals in byte order, with the label `last` after all others; ord is their number."""
+def label_sorted(df: DataFrame, label: str = "label", last: str | None = None, locale: str | None = None) -> DataFrame:
+    """Rows by label in the collation of a locale, of equals in byte order, with the label `last` after all others; ord is their number."""
     pinned = F.when(F.col(label) == last, 1).otherwise(0) if last is not None else F.lit(0)
-    return numbered(df, pinned, F.collate(F.col(label), "UNICODE"), F.col(label))
+    return numbered(df, pinned, F.collate(F.col(label), collation(df.sparkSession, locale)), F.col(label))
 
 
 def top_by_label(df: DataFrame, n: int, label: str, *order: Column) -> DataFrame:

@@ -190,7 +190,7 @@ def tree_located_places(t):
     # Ids of regions must not be 0, which stands for no parent.
     top = top.withColumn("id", F.col("id") + 1)
     low = t.nation.select((n + 1000).cast("long").alias("id"), (F.col("n_regionkey") + 1).cast("long").alias("parent_id"), F.col("n_name").alias("place"), F.when(n % 4 != 0, n * 2.0).alias("latitude"), F.when(n % 4 != 0, n * 3.0).alias("longitude"))
-    flat = gazetteer.flattened(top.unionByName(low), 2)
+    flat = gazetteer.flattened(top.unionByName(low))
     rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == n).join(F.broadcast(t.region), F.col("n_regionkey") == r).select(F.concat_ws(", ", "n_name", "r_name").alias("place"))
     return gazetteer.located(rows, "place", flat).groupBy("latitude", "longitude").agg(F.count("*").alias("n"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import calendar, geo, labels, text
 from kinweave.operators import dates, flow, graph, hist, rank, series
 from kinweave.operators.tables import written
+from kinweave.sources import gazetteer
 
 DEAD = ("DEAT", "BURI", "CREM")
 FORMS = ("NAME", "ROMN", "FONE", "_HEB")
@@ -128,6 +129,16 @@ class Tree:
         years = native.groupBy(F.col("d_year").alias("year")).agg(F.countDistinct("d_gid").alias("deaths"))
         return series.anomalies(series.dense(years, "year", "deaths"), "year", "deaths")
 
+    def mortality_events(self, catalogue: DataFrame, least: int = 2, n: int = 2) -> DataFrame:
+        """The anomalous years with the events (see `gazetteer.events_of`) of the countries where at least `least` persons died then."""
+        anomalies = self.mortality_anomalies()
+        native = self.dates.where(F.col("d_type").isin(*calendar.NATIVE) & (F.col("d_fact") == "DEAT")).select("d_gid", F.col("d_year").alias("year"))
+        place = self.individuals.select(F.col("i_id").alias("d_gid"), self.country(text.event_place(F.col("i_gedcom"), "DEAT")).alias("country")).where("country is not null")
+        died = native.join(anomalies.select("year"), "year", "left_semi").join(place, "d_gid")
+        several = died.groupBy("year", "country").agg(F.countDistinct("d_gid").alias("n")).where(F.col("n") >= least)
+        found = gazetteer.events_of(several.groupBy("year").agg(F.collect_list("country").alias("countries")), catalogue, n)
+        return anomalies.join(found, "year", "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
+
     def oldest_deceased(self, n: int = 10) -> DataFrame:
         return rank.top(self.lives.where("age > 0").select(F.col("d_gid").alias("xref"), F.col("age").alias("years"), "days"), n, F.col("years").desc(), F.col("days").desc(), F.col("xref"))
 
@@ -235,7 +246,7 @@ class Tree:
 
     def total_given_names(self) -> DataFrame:
         tokens = self.name.where("n_num = 0 and length(n_givn) > 1").select(F.explode(text.given_tokens(F.col("n_givn"))).alias("form"))
-        return tokens.agg(F.countDistinct(text.folded(F.col("form"))).alias("total"))
+        return tokens.select(text.folded(F.col("form")).alias("key")).agg(F.countDistinct("key").alias("total"))
 
     def top_given_names(self, sex: str, n: int = 10) -> DataFrame:
         people = self.individuals.where(F.col("i_sex") == sex).select(F.col("i_id").alias("n_id"))
@@ -428,7 +439,7 @@ class Tree:
         return self.individuals.groupBy(F.when(F.col("i_sex").isin("M", "F"), F.col("i_sex")).otherwise("U").alias("sex")).agg(F.count("*").alias("n"))
 
     def living_and_dead(self) -> DataFrame:
-        dead = text.has_tag(F.col("i_gedcom"), *DEAD)
+        dead = text.has_prefix(F.col("i_gedcom"), *DEAD)
         return self.individuals.agg(F.sum((~dead).cast("long")).alias("living"), F.sum(dead.cast("long")).alias("deceased"))
 
     def children_of_persons(self) -> DataFrame:
@@ -438,7 +449,7 @@ class Tree:
 
     def oldest_living_rows(self) -> DataFrame:
         """xref, years, jd of everyone without a death: what can't be shown is filtered before any limit."""
-        alive = self.individuals.where(~text.has_tag(F.col("i_gedcom"), *DEAD)).select(F.col("i_id").alias("xref"))
+        alive = self.individuals.where(~text.has_prefix(F.col("i_gedcom"), *DEAD)).select(F.col("i_id").alias("xref"))
         rows = alive.join(self.extreme("BIRT", key="xref", name="jd"), "xref").where(F.col("jd") <= self.today)
         return rows.select("xref", calendar.whole_years(day("jd"), calendar.date_of(F.lit(self.today))).alias("years"), "jd")
 

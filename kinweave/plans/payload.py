@@ -1,4 +1,5 @@
-"""Small results as the JSON shapes of charts. Only aggregated frames come here: the last step, on the driver."""
+"""Results as JSON. The shapes of charts are put together on the driver, from aggregated frames of a few rows, the last step of a
+query; rows, however many, are encoded on the executors (`json_rows`) and written from there (`write_json`)."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
 
 def encode(payload: object) -> str:
@@ -13,6 +15,46 @@ def encode(payload: object) -> str:
     return json.dumps(payload, ensure_ascii=False, separators=(",", ":")).encode(errors="replace").decode()
 
 
+def _clean(value: Column, kind: DataType) -> Column:
+    """What JSON can hold: malformed UTF-8 becomes U+FFFD, and a number that isn't finite is an error."""
+    if isinstance(kind, StringType):
+        return F.make_valid_utf8(value)
+    if isinstance(kind, (FloatType, DoubleType)):
+        odd = F.isnan(value) | (F.abs(value) == float("inf"))
+        return F.when(odd, F.raise_error(F.lit("a number that isn't finite has no JSON form")).cast(kind)).otherwise(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _clean(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(F.transform_keys(value, lambda k, _: _clean(k, kind.keyType)), lambda _, v: _clean(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*(_clean(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    return value
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """json: every row as one compact object, its columns in their order, nulls kept; made where the row is."""
+    columns = [_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
+    return df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def attribute(json_text: Column) -> Column:
+    """JSON for a place within quotes of markup. The five signs and their entities, the ampersand first."""
+    for sign, entity in (("&", "&amp;"), ('"', "&quot;"), ("'", "&#039;"), ("<", "&lt;"), (">", "&gt;")):
+        json_text = F.replace(json_text, F.lit(sign), F.lit(entity))
+    return json_text
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A folder of files with one object a line, each written by the task that holds its rows; nothing goes through the driver."""
+    json_rows(df).write.mode("overwrite").text(path)
+
+
+def wire_frame(df: DataFrame, url: str = "{xref}") -> DataFrame:
+    """Individual rows (see Tree.wire_rows) with the page of each, for `json_rows` and `write_json`."""
+    before, _, after = url.partition("{xref}")
+    return df.select("xref", "label", "sex", "birth", "death", F.concat(F.lit(before), "xref", F.lit(after)).alias("url"))
+
+
 def rows_of(df: DataFrame, *order: str) -> list:
     return (df.orderBy(*order) if order else df).collect()
 
@@ -57,12 +99,6 @@ def sankey(df: DataFrame) -> dict:
     return {"nodes": [{"name": names[k]} for k in sorted(names)], "links": [{"source": r.source_node, "target": r.target_node, "value": r.weight, "samples": [{"xref": x} for x in r.samples.split(",") if x]} for r in rows]}
 
 
-def mapped(df: DataFrame, label: Column, value: str, tooltip: Column | None = None, css: Column | None = None) -> DataFrame:
-    """label, value, tooltip, class of the rows of a chart: columns decorated where they are, before anything is collected."""
-    empty = F.lit("")
-    return df.select("ord", label.alias("label"), F.col(value).alias("value"), (empty if tooltip is None else tooltip).alias("tooltip"), (empty if css is None else css).alias("class"))
-
-
 def wire(df: DataFrame, url: str = "{xref}") -> list[dict]:
     """Individual rows (see Tree.wire_rows) of a ranked or limited frame, with the page of each."""
     return [{"xref": r.xref, "label": r.label, "sex": r.sex, "birth": r.birth, "death": r.death, "url": url.format(xref=r.xref)} for r in rows_of(df, "xref")]

@@ -1,5 +1,9 @@
 """Policies, payloads, gazetteer, chains and excerpts on small frames."""
 
+import json
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +40,65 @@ def test_payloads(spark):
     assert payload.progress(bars.limit(0), "l", "n") == []
 
 
+def test_gazetteer_of_any_depth(spark):
+    """Forty levels, blank parts, repeated names, a ring, an orphan, and half a coordinate."""
+    deep = [(k, k - 1, f"L{k}", float(k), 0.0) for k in range(1, 41)]
+    odd = [(50, 1, "L2", 50.0, 1.0), (51, 50, "Under", 51.0, 1.0), (52, 2, "Gone", 52.0, 1.0), (60, 61, "R", 1.0, 1.0), (61, 60, "S", 1.0, 1.0), (62, 61, "T", 1.0, 1.0), (70, 99, "Orphan", 1.0, 1.0), (71, None, "Half", 1.0, None), (72, 0, None, 1.0, 1.0)]
+    flat = gazetteer.flattened(frame(spark, [x for x in deep if x[0] != 2] + [(2, 1, "L2", 2.0, 0.0)] + odd, "id long, parent_id long, place string, latitude double, longitude double"))
+    got = {tuple(r.path): r.latitude for r in flat.collect()}
+    assert got == {("L1",): 1.0, ("L1", "L2"): 50.0, ("L1", "L2", "Under"): 51.0}
+    whole = gazetteer.flattened(frame(spark, deep, "id long, parent_id long, place string, latitude double, longitude double"))
+    text_of = lambda n: " , ".join(f"L{k}" for k in range(n, 0, -1))
+    rows = gazetteer.located(frame(spark, [(text_of(40),), (text_of(7).replace(",", ",,"),), ("",), (None,), ("L2",)], "p string"), "p", whole).collect()
+    assert {r.p: r.latitude for r in rows} == {text_of(40): 40.0, text_of(7).replace(",", ",,"): 7.0, "": None, None: None, "L2": None}
+
+
+def test_events_of_spans_and_countries(spark):
+    """Against a plain search in the catalogue: long spans, years before Christ, ends, and spans the wrong way round."""
+    catalogue = [(1, "a", -50, 40, ["DE"]), (2, "b", 31, 32, ["DE", "FR"]), (3, "c", 1, 2000, ["FR"]), (4, "d", 64, 63, ["DE"]), (5, "e", 40, 40, ["DE"])]
+    years = [(y, c) for y, c in zip((-51, -50, -1, 31, 32, 33, 40, 41, 63, 2000, 2001), (["DE"], ["DE"], ["FR", "DE"], ["FR"], ["DE"], [], ["DE", "FR"], ["DE"], ["DE"], ["FR"], ["FR"]), strict=True)]
+    got = {r.year: r.events for r in gazetteer.events_of(frame(spark, years, "year int, countries array<string>"), frame(spark, catalogue, "ord int, key string, first int, last int, countries array<string>")).collect()}
+    plain = {y: [k for _, k, lo, hi, theirs in catalogue if lo <= y <= hi and set(theirs) & set(c)][:2] for y, c in years}
+    assert got == {y: e for y, e in plain.items() if e}
+
+
+def test_locale_order(spark):
+    rows = frame(spark, [(x,) for x in ("Zoo", "Öl", "Oma", "Other", "Ähre", "Ast", "ast")], "label string")
+    order = lambda locale: [r.label for r in rank.label_sorted(rows, "label", "Other", locale).orderBy("ord").collect()]
+    assert order("de-DE") == order(None) == order("xx") == ["Ähre", "ast", "Ast", "Öl", "Oma", "Zoo", "Other"] or order("de")[-1] == "Other"
+    assert order("sv") == ["ast", "Ast", "Oma", "Zoo", "Ähre", "Öl", "Other"] and order("sv_SE") == order("sv")
+    assert order("de").index("Öl") < order("de").index("Zoo") and order("de").index("Ähre") < order("de").index("Öl")
+
+
+def test_shown_labels_are_summed(spark):
+    counts = frame(spark, [("a", 2), ("b", 3), ("c", 4), ("d", 5)], "key string, n long")
+    shown = rank.by_shown_label(counts, F.when(F.col("key").isin("a", "b"), "x").otherwise(F.upper("key")), 2)
+    assert [(r.ord, r.label, r.n) for r in shown.orderBy("ord").collect()] == [(1, "D", 5), (2, "x", 5)]
+
+
+def test_numbers_beside_clashing_names(spark):
+    rows = frame(spark, [("b", 1, 2, 3), ("a", 4, 5, 6)], "label string, _at int, _part int, _n int")
+    got = rank.numbered(rows, F.col("label"))
+    assert got.columns == ["label", "_at", "_part", "_n", "ord"] and [(r.label, r._at, r.ord) for r in got.orderBy("ord").collect()] == [("a", 4, 1), ("b", 1, 2)]
+
+
+def test_rows_as_json(spark, tmp_path):
+    """Compact objects that a JSON reader reads back, from the executors; malformed text is mended, numbers without a form are errors."""
+    odd = spark.range(3).select("id", F.expr("cast(unhex(if(id = 0, '61FF62', '2F22C3A9')) as string)").alias("t x"), F.when(F.col("id") == 1, 1.5).alias("n"), F.expr("array(named_struct('k', cast(unhex('80') as string)))").alias("a"), F.expr("map('m', id)").alias("m"))
+    payload.write_json(odd, f"file://{tmp_path}/out")
+    lines = sorted(line for f in (tmp_path / "out").glob("part-*") for line in f.read_text(encoding="utf-8").splitlines())
+    assert [json.loads(x) for x in lines] == [{"id": k, "t x": "a\ufffdb" if k == 0 else '/"é', "n": 1.5 if k == 1 else None, "a": [{"k": "\ufffd"}], "m": {"m": k}} for k in range(3)]
+    assert lines[1].startswith('{"id":1,"t x":') and len(list((tmp_path / "out").glob("part-*"))) > 1
+    with pytest.raises(Exception, match="finite"):
+        payload.json_rows(spark.range(1).select(F.lit(float("nan")).alias("x"))).collect()
+    assert spark.range(1).select(payload.attribute(F.lit('{"a":"<b> & \'c\'"}')).alias("x")).first().x == "{&quot;a&quot;:&quot;&lt;b&gt; &amp; &#039;c&#039;&quot;}"
+    people = frame(spark, [("I1", "Ann", "F", 1850, None)], "xref string, label string, sex string, birth int, death int")
+    assert payload.json_rows(payload.wire_frame(people, "/tree/{xref}?x=1")).first().json == '{"xref":"I1","label":"Ann","sex":"F","birth":1850,"death":null,"url":"/tree/I1?x=1"}'
+
+
 def test_gazetteer(spark):
     places = frame(spark, [(1, None, "Germany", 51.0, 9.0), (2, 1, "Bremen", 53.0, 8.0), (3, 2, "Mitte", None, None)], "id long, parent_id long, place string, latitude double, longitude double")
-    flat = gazetteer.flattened(places, 4)
+    flat = gazetteer.flattened(places)
     rows = gazetteer.located(frame(spark, [("Bremen, Germany",), ("Mitte, Bremen, Germany",), ("Bremen",), ("Germany",)], "p string"), "p", flat)
     assert {r.p: r.latitude for r in rows.collect()} == {"Bremen, Germany": 53.0, "Mitte, Bremen, Germany": None, "Bremen": None, "Germany": 51.0}
     years = frame(spark, [(1850, ["DE"]), (1871, ["DE", "FR"])], "year int, countries array<string>")
@@ -139,3 +199,18 @@ def test_shared_tables(spark):
     with pytest.raises(Exception, match="(?i)exist|found|file"):
         first.count()
     assert tables.fresh("_k", frame(spark, [], "_K int, _k_ int")) == "_k__"
+
+
+def test_folding_equals_the_unicode_library(spark):
+    """Every Latin and common character, alone and between letters, random composed and decomposed strings, and other scripts."""
+    jvm = spark.sparkContext._jvm
+    rules, lower = jvm.com.ibm.icu.text.Transliterator.getInstance("Latin-ASCII; Lower()"), jvm.com.ibm.icu.text.Normalizer
+    rng = random.Random(4)
+    letters = [chr(c) for lo, hi in ((0xC0, 0x250), (0x250, 0x2B0), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA722, 0xA788), (0xFF21, 0xFF5B), (0x2010, 0x2040), (0x400, 0x460), (0x391, 0x3CA)) for c in range(lo, hi) if unicodedata.category(chr(c)) not in ("Cn", "Zl", "Zp", "Cf")]
+    marks = ["\u0300", "\u0301", "\u0308", "\u0323", "\u0331", "\u0327"]
+    cases = ["a" + c + "b" for c in letters] + letters + ["".join(rng.choice(letters + ["a", "E", " "]) + "".join(rng.choices(marks, k=rng.choice((0, 0, 1, 2)))) for _ in range(4)) for _ in range(1500)] + ["“Anna”–x…", "ＡＢＣ", "é", "가", "", "plain ASCII"]
+    got = frame(spark, list(enumerate(cases)), "k int, t string").select("k", text.folded(F.col("t")).alias("x")).orderBy("k").collect()
+    wrong = [(c, r.x, want) for c, r in zip(cases, got, strict=True) if r.x != (want := rules.transliterate(lower.compose(c, False)))]
+    assert not wrong, (len(wrong), wrong[:20])
+    got = frame(spark, list(enumerate(cases)), "k int, t string").select("k", text.composed(F.col("t")).alias("x")).orderBy("k").collect()
+    assert [r.x for r in got] == [unicodedata.normalize("NFC", c) for c in cases]
