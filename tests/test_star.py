@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kinweave.plans import kin, star
+from kinweave.plans import kin, shapes, star
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,7 +30,7 @@ def rows(df):
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 
-QUERIES, ORACLE = star.QUERIES | kin.QUERIES, star.ORACLE | kin.ORACLE
+QUERIES, ORACLE = star.QUERIES | kin.QUERIES | shapes.QUERIES, star.ORACLE | kin.ORACLE | shapes.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
