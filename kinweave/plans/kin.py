@@ -206,3 +206,142 @@ def tree_low_ends(t):
 def tree_deepest_chain(t):
     chain = graph.deepest_chain(kin_edges(t))
     return chain.agg(F.count("*").alias("generations"), F.max("chains").alias("chains"))
+
+
+# Tallies and rankings of the same tree.
+CENT = "(CASE WHEN {0} % 100 = 0 THEN {0} // 100 ELSE {0} // 100 + 1 END)"
+BORN_YEAR = YEAR.format("born")
+BORN, DIED, TODAY = (DAY.format(c) for c in ("born", "died", "2451545"))
+LIVES = f"lives AS (SELECT *, {WHOLE.format(BORN, DIED)} AS age, {CENT.format(BORN_YEAR)} AS century, died - born AS days FROM ind WHERE dead AND died > born AND {WHOLE.format(BORN, DIED)} BETWEEN 0 AND 120)"
+
+
+@query(f"WITH {IND} SELECT {CENT.format(BORN_YEAR)} AS century, count(*) AS n FROM ind GROUP BY 1")
+def tree_births_by_century(t):
+    return tree(t).by_century("BIRT")
+
+
+@query(f"WITH {IND}, c AS (SELECT month({BORN}) AS m, count(*) AS n FROM ind WHERE complete GROUP BY 1) SELECT ord, coalesce(n, 0) AS n FROM (SELECT unnest(range(1, 13)) AS ord) LEFT JOIN c ON m = ord")
+def tree_births_by_month(t):
+    return tree(t).by_month("BIRT")
+
+
+DECADES = f"dec AS (SELECT {BORN_YEAR} // 10 * 10 AS d, count(*) AS n FROM ind GROUP BY 1), filled AS (SELECT x AS decade, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(d) FROM dec), (SELECT max(d) FROM dec) + 10, 10)) AS x) LEFT JOIN dec ON d = x)"
+
+
+@query(f"WITH {IND}, {DECADES} SELECT decade, n, sum(n) OVER (ORDER BY decade)::BIGINT AS running FROM filled")
+def tree_births_by_decade(t):
+    return tree(t).cumulative_births()
+
+
+@query(f"WITH {IND}, {LIVES} SELECT ord, CASE WHEN ord >= 100 THEN '100+' ELSE ord || '–' || ord + 9 END AS label, (SELECT count(*) FROM lives WHERE least(age // 10 * 10, 100) = ord) AS n FROM (SELECT unnest(range(0, 101, 10)) AS ord)")
+def tree_ages_at_death(t):
+    return tree(t).age_at_death()
+
+
+@query(f"WITH {IND}, {LIVES}, c AS (SELECT century, count(*) AS total FROM lives GROUP BY 1 HAVING count(*) >= 30) SELECT century, age, round(100.0 * (SELECT count(*) FROM lives WHERE lives.century = c.century AND lives.age >= a.age) / total, 1) AS share FROM c, (SELECT unnest(range(0, 101, 10)) AS age) a")
+def tree_survival(t):
+    return tree(t).survival_by_century()
+
+
+@query(f"WITH {IND}, {LIVES} SELECT century, least(age // 10 * 10, 100) AS band, count(*) FILTER (sex = 'M') AS left_n, count(*) FILTER (sex = 'F') AS right_n FROM lives GROUP BY 1, 2")
+def tree_deaths_pyramid(t):
+    return tree(t).deaths_pyramid()
+
+
+@query(f"WITH {IND}, {LIVES}, c AS (SELECT century, sex, round(avg(age), 1) AS mean, count(*) AS n FROM lives WHERE age > 0 GROUP BY 1, 2), p AS (SELECT century, coalesce(max(CASE WHEN sex = 'M' AND n >= 5 THEN mean END), 0.0) AS M, coalesce(max(CASE WHEN sex = 'F' AND n >= 5 THEN mean END), 0.0) AS F FROM c GROUP BY 1) SELECT * FROM p WHERE M > 0 OR F > 0")
+def tree_lifespans(t):
+    return tree(t).lifespan_by_sex_and_century()
+
+
+@query(f"WITH {IND}, {LIVES} SELECT century, age, n FROM (SELECT century, age, count(*) AS n, sum(count(*)) OVER (PARTITION BY century) AS total FROM lives GROUP BY 1, 2) WHERE total >= 5")
+def tree_death_ages(t):
+    return tree(t).death_ages_by_century()
+
+
+@query(f"WITH {IND}, {LIVES} SELECT i_id AS xref, age AS years, days, row_number() OVER (ORDER BY age DESC, days DESC, i_id) AS ord FROM lives WHERE age > 0 ORDER BY ord LIMIT 10")
+def tree_oldest_deceased(t):
+    return tree(t).oldest_deceased()
+
+
+@query(f"""WITH {IND}, s AS (SELECT h AS k, f_id, w AS p FROM fam UNION ALL SELECT w, f_id, h FROM fam), x AS (SELECT s.k, max(CASE WHEN f.o % 3 = 0 AND i.k IS NOT NULL THEN CASE WHEN i.dead THEN 1 ELSE 3 END ELSE 0 END) AS state FROM s JOIN fam f USING (f_id) LEFT JOIN ind i ON i.k = s.p GROUP BY 1)
+SELECT CASE coalesce(state, 0) WHEN 3 THEN 'Married' WHEN 1 THEN 'Widowed' ELSE 'Single' END AS bucket, count(*) AS n FROM ind LEFT JOIN x USING (k) WHERE NOT dead GROUP BY 1""")
+def tree_family_status(t):
+    return tree(t).family_status()
+
+
+@query(f"WITH {IND} SELECT count(*) FILTER (NOT dead) AS living, count(*) FILTER (dead) AS deceased FROM ind")
+def tree_living_and_dead(t):
+    return tree(t).living_and_dead()
+
+
+@query(f"WITH {IND}, a AS (SELECT {WHOLE.format(BORN, TODAY)} AS age FROM ind WHERE NOT dead AND born <= 2451545) SELECT CASE WHEN age <= 17 THEN '0–17' WHEN age <= 35 THEN '18–35' WHEN age <= 65 THEN '36–65' ELSE '65+' END AS band, count(*) AS n FROM a WHERE age <= 120 GROUP BY 1")
+def tree_living_by_age(t):
+    return tree(t).living_by_age_band()
+
+
+@query(f"WITH {IND} SELECT lower(seg) AS key, arg_min(seg, i_id) AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(seg)) AS ord FROM ind GROUP BY lower(seg)")
+def tree_top_occupations(t):
+    return tree(t).top_occupations()
+
+
+@query(f"WITH {IND}, c AS (SELECT i_id, 'C' || k % 5 AS v FROM ind WHERE dead) SELECT lower(v) AS key, arg_min(v, i_id) AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(v)) AS ord FROM c GROUP BY lower(v)")
+def tree_top_death_causes(t):
+    return tree(t).top_death_causes()
+
+
+@query(f"WITH {IND} SELECT region AS country, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, region) AS ord FROM ind WHERE dead GROUP BY region")
+def tree_deaths_by_country(t):
+    return tree(t).by_country("DEAT")
+
+
+@query(f"WITH {IND} SELECT count(*) FILTER (k % 5 = 0) AS value, count(*) AS total FROM ind")
+def tree_source_coverage(t):
+    return tree(t).source_coverage()
+
+
+@query(f"WITH {IND} SELECT ord, CASE WHEN ord = 10 THEN '10+' ELSE ord || '–' || ord END AS label, (SELECT count(*) FROM fam WHERE kids = ord) AS n FROM (SELECT unnest(range(0, 11)) AS ord)")
+def tree_children_per_family(t):
+    return tree(t).children_per_family()
+
+
+@query(f"WITH {IND} SELECT f_id, kids AS f_numchil, row_number() OVER (ORDER BY kids DESC, f_id) AS ord FROM fam ORDER BY ord LIMIT 10")
+def tree_largest_families(t):
+    return tree(t).largest_families()
+
+
+@query(f"WITH {IND}, c AS (SELECT year({DAY.format('marr')}) // 10 * 10 AS decade, count(*) AS total, count(div) AS divorced FROM fam GROUP BY 1), f AS (SELECT greatest(3, sum(total) // 100) AS least FROM c), e AS (SELECT min(decade) AS a, max(decade) AS b FROM c, f WHERE divorced >= 1 AND total >= least) SELECT decade, total, divorced, round(divorced / total, 4) AS rate FROM c, e WHERE decade BETWEEN a AND b")
+def tree_divorce_rates(t):
+    return tree(t).divorce_rate_by_cohort()
+
+
+@query(f"WITH {IND}, y AS (SELECT year({DAY.format('marr')}) AS y, kids FROM fam) SELECT {CENT.format('y')} AS century, count(*) AS n, avg(kids) AS mean FROM y GROUP BY 1 HAVING count(*) >= 5")
+def tree_family_size_by_century(t):
+    return tree(t).mean_family_size_by_century()
+
+
+@query(f"""WITH {IND}, p AS (SELECT least(a.seg, b.seg) AS x, greatest(a.seg, b.seg) AS y FROM fam JOIN ind a ON a.k = h JOIN ind b ON b.k = w), tot AS (SELECT label, count(*) AS n FROM (SELECT x AS label FROM p UNION ALL SELECT y FROM p WHERE x <> y) GROUP BY 1),
+best AS (SELECT label FROM tot ORDER BY n DESC, label LIMIT 4), c AS (SELECT x AS r, y AS c FROM p UNION ALL SELECT y, x FROM p WHERE x <> y) SELECT i.label AS row_label, j.label AS col_label, count(c.r) AS n FROM best i CROSS JOIN best j LEFT JOIN c ON c.r = i.label AND c.c = j.label GROUP BY 1, 2""")
+def tree_surname_matrix(t):
+    return tree(t).surname_matrix(4)
+
+
+@query(f"WITH {IND}, {DECADES} SELECT (SELECT count(*) FROM ind) AS individuals, (SELECT count(*) FROM fam) AS families, (SELECT count(*) FROM ind WHERE k % 5 = 0) AS covered, min(decade) AS decade_from, max(decade) AS decade_to, greatest(1, ceil((max(decade) + 9 - min(decade)) / 100))::BIGINT AS centuries FROM filled")
+def tree_hero(t):
+    return tree(t).hero()
+
+
+@query(f"WITH {IND}, n AS (SELECT CASE WHEN dead THEN 2 ELSE 1 END AS places FROM ind) SELECT ord, CASE WHEN ord = 5 THEN '5+' ELSE ord || '–' || ord END AS label, (SELECT count(*) FROM n WHERE places = ord) AS n FROM (SELECT unnest(range(1, 6)) AS ord)")
+def tree_place_dispersion(t):
+    return tree(t).place_dispersion()
+
+
+@query(f"""WITH {IND}, y AS (SELECT {YEAR.format('died')} AS y, region, i_id FROM ind WHERE dead), d AS (SELECT x AS year, (SELECT count(*) FROM y WHERE y = x) AS deaths FROM (SELECT unnest(range((SELECT min(y) FROM y), (SELECT max(y) FROM y) + 1)) AS x)),
+w AS (SELECT year, deaths, list_sort(list(deaths) OVER f)[6] AS baseline, stddev_pop(deaths) OVER f AS sd, count(*) OVER f AS n FROM d WINDOW f AS (ORDER BY year ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+z AS (SELECT year, deaths, baseline, deaths / baseline AS multiplier, (deaths - baseline) / sd AS z_score FROM w WHERE n = 11 AND baseline >= 2 AND sd > 0 QUALIFY row_number() OVER (ORDER BY CASE WHEN (deaths - baseline) / sd >= 2 THEN 0 ELSE 1 END, (deaths - baseline) / sd DESC, year) <= 10),
+c AS (SELECT r_regionkey AS ord, 'E' || r_name AS key, 1800 + r_regionkey * 7 AS first, 1960 + r_regionkey * 5 AS last, r_name AS country FROM region),
+s AS (SELECT y, region FROM y GROUP BY 1, 2 HAVING count(*) >= 2), h AS (SELECT z.year, key, row_number() OVER (PARTITION BY z.year ORDER BY ord) AS r FROM z JOIN s ON s.y = z.year JOIN c ON z.year BETWEEN first AND last AND country = region)
+SELECT year, deaths, baseline, multiplier, z_score, coalesce((SELECT string_agg(key, ',' ORDER BY r) FROM h WHERE h.year = z.year AND r <= 2), '') AS events FROM z WHERE z_score >= 2""")
+def tree_mortality_events(t):
+    k = F.col("r_regionkey")
+    catalogue = t.region.select(k.alias("ord"), F.concat(F.lit("E"), "r_name").alias("key"), (k * 7 + 1800).cast("int").alias("first"), (k * 5 + 1960).cast("int").alias("last"), F.array("r_name").alias("countries"))
+    return tree(t).mortality_events(catalogue).withColumn("events", F.array_join("events", ","))
