@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables of this process that are still there, in the order in which they were written.
+_THERE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, results are read; at its end, the tables that were written for them are removed.
+
+    A lazy result reads its tables whenever it is run, so it must have been collected or written before.
+    """
+    mark = len(_THERE)
+    try:
+        yield
+    finally:
+        for path in _THERE[mark:]:
+            remove(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back."""
     return Rounds(name).put(df)
@@ -35,6 +55,7 @@ class Rounds:
     def put(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
         path = f"{shared_folder(spark)}/{self.name}-{uuid.uuid4().hex}"
+        _THERE.append(path)
         df.write.parquet(path)
         self.paths.append(path)
         self.schema = df.schema
@@ -50,6 +71,8 @@ class Rounds:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _THERE:
+        _THERE.remove(path)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

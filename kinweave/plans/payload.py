@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StringType, StructType
 
+from kinweave.operators import rank
+
 
 def encode(payload: object) -> str:
     """Compact JSON; what isn't UTF-8 becomes U+FFFD."""
@@ -99,6 +101,13 @@ def sankey(df: DataFrame) -> dict:
     return {"nodes": [{"name": names[k]} for k in sorted(names)], "links": [{"source": r.source_node, "target": r.target_node, "value": r.weight, "samples": [{"xref": x} for x in r.samples.split(",") if x]} for r in rows]}
 
 
+def mapped(df: DataFrame, order: Column, label: Column, value: Column, tooltip: Column | None = None, css: Column | None = None) -> DataFrame:
+    """ord, label, value, tooltip, class of the rows of a chart, decorated where they are and numbered in their order."""
+    empty = F.lit("")
+    rows = df.select(order.alias("at"), label.alias("label"), value.alias("value"), (empty if tooltip is None else tooltip).alias("tooltip"), (empty if css is None else css).alias("class"))
+    return rank.numbered(rows, F.col("at"), F.col("label")).select("ord", "label", "value", "tooltip", "class")
+
+
 def wire(df: DataFrame, url: str = "{xref}") -> list[dict]:
     """Individual rows (see Tree.wire_rows) of a ranked or limited frame, with the page of each."""
     return [{"xref": r.xref, "label": r.label, "sex": r.sex, "birth": r.birth, "death": r.death, "url": url.format(xref=r.xref)} for r in rows_of(df, "xref")]

@@ -3,16 +3,18 @@ blocks, hubs, long lines, keys with many places, deep gazetteers, spans of event
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions import text
+from kinweave.functions import calendar, labels, text
 from kinweave.operators import graph, rank, series
+from kinweave.operators.tables import shared_folder
 from kinweave.plans import payload
 from kinweave.plans.star import PARENTS, Tables, kin_edges, long
-from kinweave.sources import gazetteer
+from kinweave.sources import gazetteer, gedcom
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +133,71 @@ SELECT ord::BIGINT AS ord, node, chains FROM c WHERE chains > 0""")
 def deepest_chain_nodes(t):
     """The nodes of the deepest chain, from its leaf up."""
     return graph.deepest_chain(kin_edges(t)).select(long("ord").alias("ord"), "node", "chains")
+
+
+@query("""WITH l AS (SELECT year(o_orderdate)::BIGINT AS year, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 AND year(o_orderdate) % 2 = 0 GROUP BY 1), r AS (SELECT year(l_shipdate)::BIGINT AS year, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT year, coalesce(l.n, r.n) AS n, l.n IS NULL AS fallback FROM l FULL JOIN r USING (year)""")
+def series_left_wins(t):
+    """Orders by year where there are any, shipments for the other years."""
+    by = lambda df, at, fallback: df.groupBy(long(F.year(at)).alias("year")).agg(F.count("*").alias("n")).withColumn("fallback", F.lit(fallback))
+    return rank.left_wins(by(t.orders.where((F.col("o_orderkey") % 3 == 0) & (F.year("o_orderdate") % 2 == 0)), "o_orderdate", False), by(t.lineitem, "l_shipdate", True), "year")
+
+
+@query("""WITH c AS (SELECT n_nationkey % 4 AS g, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1), k AS (SELECT CASE WHEN g < 2 THEN 'low' ELSE 'high ' || g END AS label, sum(n)::BIGINT AS n FROM c GROUP BY 1)
+SELECT row_number() OVER (ORDER BY n DESC, label) AS ord, label, n FROM k""")
+def labels_merged(t):
+    """Two keys that are shown by one label count together before the ranking."""
+    counts = t.customer.groupBy((F.col("c_nationkey") % 4).alias("key")).agg(F.count("*").alias("n"))
+    return rank.by_shown_label(counts, F.when(F.col("key") < 2, "low").otherwise(F.concat(F.lit("high "), "key")), 10)
+
+
+@query("""WITH y AS (SELECT year(o_orderdate) - 3000 AS y FROM orders UNION ALL SELECT year(o_orderdate) FROM orders), c AS (SELECT CASE WHEN y > 0 THEN (y + 99) // 100 ELSE -((99 - y) // 100) END AS century, count(*) AS n FROM y GROUP BY 1)
+SELECT row_number() OVER (ORDER BY century)::BIGINT AS ord, abs(century) || CASE WHEN abs(century) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN abs(century) % 10 = 1 THEN 'st' WHEN abs(century) % 10 = 2 THEN 'nd' WHEN abs(century) % 10 = 3 THEN 'rd' ELSE 'th' END || ' Century' || CASE WHEN century < 0 THEN ' BCE' ELSE '' END AS label, n AS value, n || ' orders' AS tooltip, CASE WHEN century < 0 THEN 'old' ELSE '' END AS class FROM c""")
+def century_bars(t):
+    """Bars of centuries before and after Christ, with tooltips and classes."""
+    years = t.orders.select(F.explode(F.array(F.year("o_orderdate") - 3000, F.year("o_orderdate"))).alias("y"))
+    counts = years.groupBy(calendar.century(F.col("y")).alias("century")).agg(F.count("*").alias("n"))
+    c = F.col("century")
+    return payload.mapped(counts, c, labels.century_long(c), F.col("n"), F.concat("n", F.lit(" orders")), F.when(c < 0, "old").otherwise(""))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS u, 'O' || l_orderkey AS v FROM lineitem WHERE l_orderkey % 50 = 0), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), d AS (SELECT u, count(*) AS degree FROM b GROUP BY 1)
+SELECT (SELECT count(*) FROM e) AS edges, u AS hub, degree FROM d ORDER BY degree DESC, u LIMIT 1""")
+def edges_and_hub(t):
+    """Edges of a graph in both directions, and the node with most neighbours."""
+    ties = t.lineitem.where("l_orderkey % 50 = 0").select(F.concat(F.lit("S"), "l_suppkey").alias("u"), F.concat(F.lit("O"), "l_orderkey").alias("v")).distinct()
+    both = ties.unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("root", F.lit(0))
+    return graph.edge_count(both).join(graph.hub(both), "root").select("edges", "hub", "degree")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, 2378497 + (c_custkey * 7919) % 60000 AS jd, c_mktsegment AS seg, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey), n AS (SELECT count(*) AS n FROM orders), d AS (SELECT date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 2440588 AS jd FROM orders)
+SELECT 'individuals' AS what, count(*) AS n, count(*) FILTER (k % 2 = 0) AS x FROM p UNION ALL SELECT 'families', n, n * 2 FROM n UNION ALL SELECT 'links', (SELECT n FROM n) * 2, 2 UNION ALL SELECT 'names', count(*) * 2, count(DISTINCT seg) FROM p
+UNION ALL SELECT 'births', count(*), sum(jd)::BIGINT FROM p UNION ALL SELECT 'marriages', count(*), sum(jd)::BIGINT FROM d UNION ALL SELECT 'places', (SELECT count(DISTINCT (n_name, r_name)) + count(DISTINCT r_name) FROM p), (SELECT count(*) * 2 FROM p)""")
+def imported_file(t):
+    """Persons and families written as a family file into the shared folder, and what the importer makes of it."""
+    epoch, k = F.lit("1970-01-01").cast("date"), F.col("c_custkey")
+    day = lambda at: F.concat(F.dayofmonth(at), F.lit(" "), F.upper(F.date_format(at, "MMM")), F.lit(" "), F.year(at))
+    born = F.date_add(epoch, (k * 7919 % 60000 + 2378497 - 2440588).cast("int"))
+    people = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    person = F.concat(F.lit("0 @I"), k, F.lit("@ INDI\n1 NAME Ann /"), "c_mktsegment", F.lit("/\n2 SOUR @S1@\n2 ROMN An /"), "c_mktsegment", F.lit("/\n1 SEX "), F.when(k % 2 == 0, "M").otherwise("F"), F.lit("\n1 BIRT\n2 DATE "), day(born), F.lit("\n2 PLAC "), "n_name", F.lit(", "), "r_name")
+    family = F.concat(F.lit("0 @F"), "o_orderkey", F.lit("@ FAM\n1 HUSB @I"), "o_custkey", F.lit("@\n1 WIFE @I"), F.col("o_custkey") + 1, F.lit("@\n1 MARR\n2 DATE "), day(F.to_date("o_orderdate")))
+    path = f"{shared_folder(t._spark)}/family-file-{uuid.uuid4().hex}"
+    people.select(person.alias("value")).unionByName(t.orders.select(family.alias("value"))).write.text(path)
+    tables = gedcom.read_tree(t._spark, path, 7)
+    i, f, links, names, dates, places = (tables[n] for n in ("individuals", "families", "link", "name", "dates", "places"))
+    count = lambda c: F.sum(c.cast("long"))
+    rows = [
+        i.agg(F.count("*"), count(F.col("i_sex") == "M")),
+        f.agg(F.count("*"), count(F.col("f_husb") != "") + count(F.col("f_wife") != "")),
+        links.where("l_type in ('HUSB', 'WIFE')").agg(F.count("*"), F.countDistinct("l_type")),
+        names.agg(F.count("*"), F.countDistinct("n_surn")),
+        dates.where("d_fact = 'BIRT'").agg(F.count("*"), F.sum("d_julianday1")),
+        dates.where("d_fact = 'MARR'").agg(F.count("*"), F.sum("d_julianday1")),
+        places.agg(F.count("*"), F.lit(0)).crossJoin(tables["placelinks"].agg(F.count("*").alias("p"))),
+    ]
+    out = None
+    for what, one in zip(("individuals", "families", "links", "names", "births", "marriages", "places"), rows, strict=True):
+        one = one.toDF("n", "x", "p").select("n", F.col("p").alias("x")) if what == "places" else one.toDF("n", "x")
+        one = one.select(F.lit(what).alias("what"), long("n").alias("n"), long("x").alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out

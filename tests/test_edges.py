@@ -198,6 +198,14 @@ def test_shared_tables(spark):
     assert first.count() == 3 and rounds.put(first.where("id > 0")).count() == 2
     with pytest.raises(Exception, match="(?i)exist|found|file"):
         first.count()
+    before = list(tables._THERE)
+    with pytest.raises(ValueError), tables.scratch(spark):
+        again = tables.written(spark.range(4), "u")
+        assert again.count() == 4 and len(tables._THERE) == len(before) + 1
+        raise ValueError
+    assert tables._THERE == before
+    with pytest.raises(Exception, match="(?i)exist|found|file"):
+        again.count()
     assert tables.fresh("_k", frame(spark, [], "_K int, _k_ int")) == "_k__"
 
 
