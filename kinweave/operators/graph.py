@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.rank import numbered
 from kinweave.operators.tables import Rounds, written
 
 
@@ -70,22 +71,21 @@ def depths(edges: DataFrame, cap: int = 100, stride: int = 8) -> DataFrame:
     """node, depth, capped of all nodes of edges (parent, child): the longest way down, leaves 0, clamped to cap; capped: it is cap.
 
     A node with a way down of r steps has one of r - 1, so nodes with long ways are among those with shorter ones, and only edges
-    into them go on. The first job finds `stride` further steps, each one after it half as many more than the one before: a node carries
-    the most steps found so far, and each step joins the nodes that have just got theirs to their parents. Nodes that never leave are on
+    into them go on. A job finds `stride` further steps: a node carries the most steps found so far, and each step joins the nodes that have just got theirs to their parents. Nodes that never leave are on
     or above a cycle; they can't raise depths, but take the depth below them.
     """
     edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
     live, levels = Rounds("live"), Rounds("levels", 1 << 30)
-    left, before, r, steps, whole = edges, -1, 0, stride, None
+    left, before, r, whole = edges, -1, 0, None
     rows = edges.select(F.col("child").alias("node"), F.lit(0).alias("depth")).distinct()
     while True:
         up = left.select(F.col("child").alias("below"), F.col("parent").alias("above"))
-        for k in range(r, r + steps):
+        for k in range(r, r + stride):
             both = rows.join(up, F.expr(f"node = below and depth = {k}"), "left")
             each = F.array(F.struct("node", "depth"), F.struct(F.col("above").alias("node"), (F.col("depth") + 1).alias("depth")))
             rows = both.select(F.inline(each)).where("node is not null").groupBy("node").agg(F.max("depth").alias("depth"))
-        r, steps = r + steps, steps + stride // 2
+        r += stride
         now = levels.put(rows).where(F.col("depth") == r)
         many = now.count()
         if many in (0, before):
@@ -116,57 +116,64 @@ def descendants(edges: DataFrame) -> DataFrame:
     return rounds.all(edges.sparkSession)
 
 
-def closure(edges: DataFrame, starts: DataFrame, stride: int = 5) -> DataFrame:
-    """ancestor, person: all distinct pairs with a way down from the nodes of starts (ancestor), none with itself.
+def descendant_counts(edges: DataFrame, starts: DataFrame, stride: int = 8) -> DataFrame:
+    """ancestor, n: distinct descendants of the nodes of starts (ancestor) that have any, itself not counted.
 
-    A pair carries the least number of steps found; each of a job's `stride` steps takes the pairs that are new one step further.
+    Starts are numbered and dealt to groups of 62. A row is a node below a group, with one bit for each of its starts: so one row
+    stands for up to 62 pairs, and no list of pairs is ever made. Each of a job's `stride` steps hands the bits of nodes that have
+    just got new ones to their children; the bits are counted once nothing is new.
     """
     down = edges.select(F.col("parent").alias("above"), F.col("child").alias("below"))
-    rounds, r = Rounds("closure"), 1
-    rows = rounds.put(starts.join(down, F.col("ancestor") == F.col("above")).select("ancestor", F.col("below").alias("person"), F.lit(1).alias("steps")).distinct())
-    while not rows.where(F.col("steps") == r).isEmpty():
-        for k in range(r, r + stride):
-            both = rows.join(down, F.expr(f"person = above and steps = {k}"), "left")
-            each = F.array(F.struct("person", "steps"), F.struct(F.col("below").alias("person"), (F.col("steps") + 1).alias("steps")))
-            rows = both.select("ancestor", F.inline(each)).where("person <> ancestor").groupBy("ancestor", "person").agg(F.min("steps").alias("steps"))
-        r += stride
+    named = written(numbered(starts.distinct(), F.col("ancestor")).select("ancestor", F.floor((F.col("ord") - 1) / 62).alias("part"), ((F.col("ord") - 1) % 62).cast("int").alias("bit")), "starts")
+    rounds = Rounds("below")
+    first = named.join(down, F.col("ancestor") == F.col("above"))
+    rows = rounds.put(first.groupBy("part", F.col("below").alias("node")).agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).withColumn("fresh", F.lit(True)))
+    while not rows.where("fresh").isEmpty():
+        for _ in range(stride):
+            both = rows.join(down, F.expr("node = above and fresh"), "left")
+            each = F.array(F.struct("node", "mask", F.lit(True).alias("own")), F.struct(F.col("below").alias("node"), "mask", F.lit(False).alias("own")))
+            all_ = both.select("part", F.inline(each)).where("node is not null").groupBy("part", "node").agg(F.bit_or("mask").alias("mask"), F.bit_or(F.when(F.col("own"), F.col("mask"))).alias("was"))
+            rows = all_.select("part", "node", "mask", (~F.col("mask").eqNullSafe(F.col("was"))).alias("fresh"))
         rows = rounds.put(rows)
-    return rows.select("ancestor", "person")
+    bits = [F.sum(F.shiftright("mask", k).bitwiseAND(1)).alias(f"b{k}") for k in range(62)]
+    counted = rows.groupBy("part").agg(*bits).select("part", F.posexplode(F.array(*(f"b{k}" for k in range(62)))).alias("bit", "n"))
+    own = rows.join(named.withColumnRenamed("ancestor", "node"), ["part", "node"]).where("shiftright(mask, bit) & 1 = 1").select("part", "bit", F.lit(1).alias("self"))
+    total = named.join(counted, ["part", "bit"]).join(own, ["part", "bit"], "left").select("ancestor", (F.col("n") - F.coalesce("self", F.lit(0))).alias("n"))
+    return total.where("n > 0")
 
 
-def way_counts(edges: DataFrame, most: int, stride: int = 5, limit: int = 120) -> DataFrame:
+def way_counts(edges: DataFrame, most: int, stride: int = 8, limit: int = 120) -> DataFrame:
     """node, bound: ways down from every parent, which its descendants can't exceed, `most` at most.
 
-    Step r counts ways of up to r steps from the counts of step r - 1. What still changes after `limit` steps lies on or above a
-    cycle, or above a longer line, and is given `most`.
+    Step r counts ways of up to r steps from the counts of step r - 1; a node changes in every step for which it has a way that
+    long, so where the last step of a job changes nothing, all ways are counted. What still changes after `limit` steps lies on or
+    above a cycle, or above a longer line, and is given `most`.
     """
-    rounds, r, total = Rounds("ways", 2), 0, None
-    counts = rounds.put(edges.groupBy(F.col("parent").alias("node")).agg(F.least(F.count("*"), F.lit(most)).alias("bound")))
+    rounds, r = Rounds("ways"), 0
+    now = rounds.put(edges.groupBy(F.col("parent").alias("node")).agg(F.least(F.count("*"), F.lit(most)).alias("bound")).withColumn("was", F.lit(0).cast("long")))
     while True:
-        before = counts
+        changes = not now.where("bound <> was").isEmpty()
+        if not changes or r >= limit:
+            return now.select("node", F.when(F.col("bound") == F.col("was"), F.col("bound")).otherwise(F.lit(most)).alias("bound"))
         for _ in range(stride):
-            below = counts.select(F.col("node").alias("child"), "bound")
-            counts = edges.join(below, "child", "left").groupBy(F.col("parent").alias("node")).agg(F.least(F.sum(F.least(F.coalesce("bound", F.lit(0)) + 1, F.lit(most))), F.lit(most)).alias("bound"))
-        counts, r = rounds.put(counts), r + stride
-        seen = counts.agg(F.sum(F.col("bound").cast("decimal(38,0)"))).first()[0]
-        if seen == total:
-            return counts
-        total = seen
-        if r >= limit:
-            return counts.join(before.withColumnRenamed("bound", "was"), "node").select("node", F.when(F.col("bound") == F.col("was"), F.col("bound")).otherwise(F.lit(most)).alias("bound"))
-
-
-def top_descendants(edges: DataFrame, k: int, ahead: int = 2) -> DataFrame:
+            below = now.select(F.col("node").alias("child"), "bound")
+            more = edges.join(below, "child", "left").select(F.col("parent").alias("node"), F.least(F.coalesce("bound", F.lit(0)) + 1, F.lit(most)).alias("more"))
+            now = more.groupBy("node").agg(F.least(F.sum("more"), F.lit(most)).alias("bound"))
+        r += stride
+        now = rounds.put(now.join(below.withColumnRenamed("child", "node").withColumnRenamed("bound", "was"), "node"))
+
+
+def top_descendants(edges: DataFrame, k: int, ahead: int = 3) -> DataFrame:
     """ancestor, n: distinct descendants of the k nodes that have most, and of others that had to be counted for that.
 
     Numbers of ways are upper bounds. The ahead * k nodes with the highest ones (all of an equal bound) are counted first; the
-    k-th of these counts is a floor, and only nodes whose bound reaches it are counted after. No other pair is ever made.
+    k-th of these counts is a floor, and only nodes whose bound reaches it are counted after.
     """
     edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
     most = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct().count()
     bounds = written(way_counts(edges, most), "bounds")
     high = [r.bound for r in bounds.orderBy(F.col("bound").desc()).limit(ahead * k).collect()]
-    count = lambda some: closure(edges, some.select(F.col("node").alias("ancestor"))).groupBy("ancestor").agg(F.count("*").alias("n"))
+    count = lambda some: descendant_counts(edges, some.select(F.col("node").alias("ancestor")))
     first = written(count(bounds.where(F.col("bound") >= (high[-1] if high else 0))), "counted")
     found = [r.n for r in first.orderBy(F.col("n").desc()).limit(k).collect()]
     floor = found[-1] if len(found) == k else 0

@@ -44,10 +44,11 @@ def anchored_clusters(df: DataFrame, key: str, at: Column, reach: int, bound: in
     is folded in one row; the sets of a longer one are found in parallel, from links between its places, with the same result.
     """
     rows = df.select(F.col(key).alias("k"), at.cast("long").alias("at")).where("at is not null")
-    places = written(rows.groupBy("k", "at").agg(F.count("*").alias("n")), "places")
-    long = written(places.groupBy("k").agg(F.count("*").alias("many")).where(F.col("many") > bound).select("k"), "long")
+    places = rows.groupBy("k", "at").agg(F.count("*").alias("n"))
+    long = places.groupBy("k").agg(F.count("*").alias("many")).where(F.col("many") > bound).select("k")
     if long.isEmpty():
         return _folded(places, reach).withColumnRenamed("k", key)
+    places, long = written(places, "places"), written(long, "long")
     same = F.col("p.k").eqNullSafe(F.col("l.k"))
     some, rest = (places.alias("p").join(long.alias("l"), same, kind) for kind in ("left_semi", "left_anti"))
     return _folded(rest, reach).unionByName(_linked(written(some, "places"), reach)).withColumnRenamed("k", key)
