@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import labels
 from kinweave.operators import graph, hist
+from kinweave.plans.forest import Forest
 from kinweave.plans.metrics import Tree
 from kinweave.plans.star import Tables, kin_edges
 from kinweave.sources import gazetteer
@@ -345,3 +346,21 @@ def tree_mortality_events(t):
     k = F.col("r_regionkey")
     catalogue = t.region.select(k.alias("ord"), F.concat(F.lit("E"), "r_name").alias("key"), (k * 7 + 1800).cast("int").alias("first"), (k * 5 + 1960).cast("int").alias("last"), F.array("r_name").alias("countries"))
     return tree(t).mortality_events(catalogue).withColumn("events", F.array_join("events", ","))
+
+
+@query(f"""WITH {IND}, t AS (SELECT 1 AS tree_id, * FROM ind UNION ALL SELECT 2, * FROM ind WHERE k % 2 = 0), n AS (SELECT tree_id, seg, count(*) AS n, row_number() OVER (PARTITION BY tree_id ORDER BY count(*) DESC, seg) AS r FROM t GROUP BY 1, 2)
+SELECT tree_id, 'births' AS what, {CENT.format(BORN_YEAR)}::VARCHAR AS label, count(*) AS n FROM t GROUP BY tree_id, {CENT.format(BORN_YEAR)} UNION ALL SELECT tree_id, 'living', 'persons', count(*) FILTER (NOT dead) FROM t GROUP BY tree_id
+UNION ALL SELECT tree_id, 'surname', seg, n FROM n WHERE r <= 2 UNION ALL SELECT tree_id, 'sources', 'persons', count(*) FILTER (k % 5 = 0) FROM t GROUP BY tree_id""")
+def forest_tallies(t):
+    """Two trees with the same ids in one set of tables, the second with half of the persons."""
+    one = {name: df.withColumn("tree_id", F.lit(1)) for name, df in tree(t).tables.items() if name != "places"}
+    half = one["individuals"].where(F.substring("i_id", 2, 20).cast("long") % 2 == 0)
+    keys = {"individuals": "i_id", "dates": "d_gid", "name": "n_id", "placelinks": "pl_gid"}
+    two = {name: df.join(half.select(F.col("i_id").alias(keys[name])), keys[name], "left_semi") if name in keys else df for name, df in one.items()}
+    f = Forest({name: df.unionByName(two[name].withColumn("tree_id", F.lit(2))) for name, df in one.items()})
+    parts = [("births", f.by_century("BIRT"), F.col("century").cast("string"), "n"), ("living", f.living_and_dead(), F.lit("persons"), "living"), ("surname", f.top_surnames(2), F.col("surname"), "n"), ("sources", f.source_coverage(), F.lit("persons"), "value")]
+    out = None
+    for what, df, label, n in parts:
+        rows = df.select("tree_id", F.lit(what).alias("what"), label.alias("label"), F.col(n).cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
