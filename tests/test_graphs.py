@@ -157,19 +157,18 @@ def test_top_descendants(spark, name):
         assert sorted(got, key=lambda x: (-got[x], x))[:k] == order
 
 
-def test_counts_of_many_starts(spark):
-    """More starts than a group holds, and starts below others."""
-    edges = random_dag(7, 200, 400)
-    exact = {x: n for x, n in below(edges).items() if n}
-    got = graph.descendant_counts(frame(spark, edges, "parent int, child int"), frame(spark, [(x,) for x in range(200)], "ancestor int")).collect()
-    assert {r.ancestor: r.n for r in got} == exact and len(got) == len(exact)
+def test_closure_of_some(spark):
+    """All pairs of some starts, below others and on a cycle, whatever the steps of a job."""
+    edges, exact = frame(spark, GRAPHS["cycles"], "parent int, child int").where("parent <> child"), below(GRAPHS["cycles"])
+    got = Counter(r.ancestor for r in graph.closure(edges, frame(spark, [(x,) for x in range(0, 60, 3)], "ancestor int"), 2).collect())
+    assert got == {x: n for x, n in exact.items() if x % 3 == 0 and n}
 
 
 def test_few_closures_are_made(spark, monkeypatch):
     """Three generations of families: descendants are counted for the few that can be among the first, not for all."""
     made = Counter()
-    count = graph.descendant_counts
-    monkeypatch.setattr(graph, "descendant_counts", lambda edges, starts, *a: (made.update(n=starts.count()), count(edges, starts, *a))[1])
+    count = graph.closure
+    monkeypatch.setattr(graph, "closure", lambda edges, starts, *a: (made.update(n=starts.count()), count(edges, starts, *a))[1])
     rng = random.Random(9)
     edges = [(f"g{i % 300}", f"p{i}") for i in range(900)] + [(f"p{rng.randrange(900) if i > 400 else 7}", f"c{i}") for i in range(2000)]
     got = {r.ancestor: r.n for r in graph.top_descendants(frame(spark, edges, "parent string, child string"), 3).collect()}
