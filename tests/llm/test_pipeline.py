@@ -27,5 +27,5 @@ def test_stages_on_nothing(spark):
 
 def test_registered():
     assert [k for k in queries.QUERIES if k.startswith("op")] == sorted((k for k in queries.QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 14))
     assert minhash.SIMILARITY == 0.8 and minhash.WORDS == 5
