@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import embedding_dedup, fingerprints, licenses, minhash, packing, pii, piece_codec, secret_scan, token_counts, toxicity
+from tests.llm import license_lines
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "  lead and trail  ", "tab\tand\nlines\n\n", "é ß Å ﬁ ½ ٣", "日本語 😀", "x<|endoftext|>y", "<s> ▁▁ a", "it's 'LL don't", "a.b@c.d and +1 (555) 010-9999", "password = hunter2hunter2", "word " * 3000, "x" * 9000]
@@ -392,6 +393,90 @@ def test_hard_wrapped_licenses(spark):
     assert [rows[i].findings for i in range(5)] == [f"mit:0:{n}", f"mit:7:{7 + n}", f"mit:0:31,mit:32:{35 + n}", f"mit:6:{8 + n}", ""]
     assert rows[1].n_paragraphs == 7 and rows[2].n_license == 2
 
+def plain_licenses(text):
+    """Lines on their own, then windows of lines between them: loops over the same rules."""
+    lines = text.split("\n") if text else []
+    own = [licenses.classify(x)[0] for x in lines]
+    ends = [f != licenses.UNKNOWN or not re.search("[A-Za-z0-9]", x) for f, x in zip(own, lines, strict=True)]
+
+    def share(first, n):
+        words = licenses.words_of("\n".join(lines[first : first + n]))
+        best = 0.0
+        for f, ts in licenses.TEMPLATES.items():
+            if not re.search(licenses.name_pattern(f), " ".join(words)):
+                continue
+            for t in ts:
+                w = set(licenses.words_of(t))
+                best = max(best, float(f" {t} " in f" {' '.join(words)} ") if len(w) == 2 else len(w & set(words)) / len(w))
+        return best
+
+    found, last = [(k, k, f) for k, f in enumerate(own) if f != licenses.UNKNOWN], -1
+    for k in range(len(lines)):
+        most = next((n for n in range(licenses.WINDOW) if k + n >= len(lines) or ends[k + n]), licenses.WINDOW)
+        options = [(share(k, n), -n) for n in range(2, most + 1)]
+        if not options or k <= last or max(options)[0] < licenses.CONFIRM:
+            continue
+        best, n = max(options)[0], -max(options)[1]
+        family = licenses.classify("\n".join(lines[k : k + n]))[0]
+        if share(k + 1, n - 1) < best and family != licenses.UNKNOWN:
+            found.append((k, k + n - 1, family))
+            last = k + n - 1
+    start = [0]
+    for x in lines:
+        start.append(start[-1] + len(x) + 1)
+    return ",".join(f"{f}:{start[a]}:{start[b] + len(lines[b])}" for a, b, f in sorted(found))
+
+
+def test_handwritten_license_lines():
+    """The operator's templates were completed on the even lines; the odd ones are held out."""
+    lines = [(f, x) for f, xs in license_lines.HEADERS.items() for x in xs.split("\n")]
+    said = [(f, licenses.classify(x)[0]) for f, x in lines]
+    loose = [licenses.classify(x)[0] != licenses.UNKNOWN for x in license_lines.PROSE]
+    for some, prose in ((said, loose), (said[1::2], loose[1::2])):
+        right, any_family = sum(f == g for f, g in some), sum(g != licenses.UNKNOWN for _, g in some) + sum(prose)
+        assert right >= 0.95 * len(some) and right >= 0.95 * any_family
+
+
+def test_license_windows_equal_loops(spark):
+    rng = np.random.default_rng(8)
+    headers = [x for xs in license_lines.HEADERS.values() for x in xs.split("\n")]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.integers(1, 6)):
+            words = (headers if rng.random() < 0.5 else license_lines.PROSE)[rng.integers(80)].split()
+            at = 0
+            while at < len(words):
+                n = int(rng.integers(2, 9))
+                lines.append(" ".join(words[at : at + n]))
+                at += n
+            lines += [""] * int(rng.random() < 0.3)
+        texts.append("\n".join(lines))
+    got = {r.doc_id: r.findings for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: plain_licenses(t) for k, t in enumerate(texts)}
+    assert sum(f != "" for f in got.values()) > 30
+
+
+def test_licenses_that_used_to_be_wrong(spark):
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by"
+    mpl = "This Source Code Form is subject to the\nterms of the Mozilla\nPublic License, v. 2.0."
+    prose = "\n".join(license_lines.PROSE[40:60])
+    texts = [lgpl, lgpl.replace(" ", "\n", 12), f"{prose}\n{mpl}\n{prose}", "is software released under the MIT license better than", lgpl.replace("GNU ", "GNU\n"), "Released under the\nMIT License\n" * 3]
+    got = [r.findings for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()]
+    n = len(prose) + 1
+    assert got[0].startswith("lgpl:0:") and "gpl:" in got[1] and got[2] == f"mpl:{n}:{n + len(mpl)}"
+    assert got[3] == "" and got[4] == f"lgpl:0:{len(texts[4])}" and got[5] == "mit:0:30,mit:31:61,mit:62:92"
+
+
+def test_a_text_of_many_license_lines(spark):
+    lines = ["Released under the MIT License.", "Code that talks of a license in a file"] * 10_000
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.monotonic()
+    row = licenses.scan(df).first()
+    assert time.monotonic() - began < 60 and row.n_license == 10_000
+    size = len(lines[0]) + len(lines[1]) + 2
+    assert row.findings.endswith(f",mit:{9_999 * size}:{9_999 * size + 31}")
+
 
 @pytest.mark.parametrize("tile", [1 << 19, 400])
 def test_embeddings(spark, monkeypatch, tile):
