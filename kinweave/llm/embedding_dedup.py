@@ -6,8 +6,9 @@ leading principal coordinates and cut into tiles of about TILE_FLOATS components
 sqrt(2 - 2 * threshold) of one another, so two tiles meet only if the boxes of their leading coordinates do: a tile looks up the
 cells of the first two coordinates that it can reach. In a pair of tiles the leading coordinates are accumulated first; the rest
 of a product is at most the product of the suffix norms, so a pair whose bound stays below the threshold stops there, and the
-next coordinates, twice as many, are added for the others, until the dimensions are used up. Those left get their exact cosine.
-A pair of tiles returns counts and a spanning forest of its links, never the links themselves.
+next coordinates, twice as many, are added for the others, until the dimensions are used up. Those left whose sum is next to the
+threshold get their exact cosine. Counts and components are kept up block by block, and a pair of tiles returns counts and a
+spanning forest of its links, never the links themselves.
 
 The principal axes come from a sample of at most SAMPLE vectors and SAMPLE_FLOATS components (the documented bounds). They are
 an orthogonal change of basis: they decide what is skipped, never what links.
@@ -19,6 +20,7 @@ pairs at exactly the threshold link; repeated rows are copies; an empty table gi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.graph import forest
+from kinweave.llm.graph import Components
 from kinweave.operators.graph import roots
 from kinweave.operators.tables import written
 
@@ -37,6 +39,7 @@ BOX, GRID = 8, 3
 SAMPLE, SAMPLE_FLOATS = 10_000, 8_000_000
 SPREAD = 32
 SLACK = 1e-9
+DENSE = 8
 
 
 def axes(sample: np.ndarray) -> np.ndarray:
@@ -46,6 +49,8 @@ def axes(sample: np.ndarray) -> np.ndarray:
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a power of two goes first, so that no square leaves the range of doubles."""
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -62,15 +67,15 @@ def cuts(d: int) -> list[int]:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (of a, of b) of the pairs with cosine of at least threshold; of one tile with itself, each pair once."""
+def blocks(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers of a, row numbers of b, mask) of the blocks with pairs of at least threshold; of one tile with itself, each pair once."""
     ua, ub = unit(a), unit(b)
     ra, rb = ua @ basis, ub @ basis
     oa, ob = np.argsort(ra[:, 0], kind="stable"), np.argsort(rb[:, 0], kind="stable")
     steps, reach = cuts(a.shape[1]), reach_of(threshold)
     rest = lambda r, k: np.sqrt(np.maximum((r[:, k:] ** 2).sum(axis=1), 0))
     rest_a, rest_b = [rest(ra, k) for k in steps], [rest(rb, k) for k in steps]
-    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    exact = lambda i, j: np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
     for s in range(0, len(a), BLOCK):
         x = oa[s : s + BLOCK]
         for t in range(s if same else 0, len(b), BLOCK):
@@ -78,22 +83,33 @@ def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshol
             if rb[y[0], 0] - ra[x[-1], 0] > reach or ra[x[0], 0] - rb[y[-1], 0] > reach:
                 continue
             sums = ra[x, : steps[0]] @ rb[y, : steps[0]].T
-            i, j = np.nonzero(sums + np.multiply.outer(rest_a[0][x], rest_b[0][y]) >= threshold - SLACK)
-            total, i, j = sums[i, j], x[i], y[j]
+            may = sums + np.multiply.outer(rest_a[0][x], rest_b[0][y]) >= threshold - SLACK
+            if same and s == t:
+                may = np.triu(may, 1)
             for n in range(1, len(steps)):
+                if not may.any():
+                    break
                 low, high = steps[n - 1], steps[n]
-                total = total + np.einsum("ij,ij->i", ra[i, low:high], rb[j, low:high])
-                on = total + rest_a[n][i] * rest_b[n][j] >= threshold - SLACK
-                total, i, j = total[on], i[on], j[on]
-            exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= threshold
-            i, j = i[exact], j[exact]
-            if same:  # both orders of a pair come from a block with itself, one from two blocks
-                i, j = np.minimum(i, j), np.maximum(i, j)
-                once = np.unique(i[i < j] * len(a) + j[i < j])
-                i, j = once // len(a), once % len(a)
-            out_i.append(i)
-            out_j.append(j)
-    return np.concatenate(out_i), np.concatenate(out_j)
+                if may.sum() * DENSE > may.size:  # most pairs are alive: a product of blocks costs less than one pair by pair
+                    sums += ra[x, low:high] @ rb[y, low:high].T
+                else:
+                    i, j = np.nonzero(may)
+                    sums[i, j] += np.einsum("ij,ij->i", ra[x[i], low:high], rb[y[j], low:high])
+                may &= sums + np.multiply.outer(rest_a[n][x], rest_b[n][y]) >= threshold - SLACK
+            # All dimensions are summed up: only sums next to the threshold need the product in the original basis.
+            i, j = np.nonzero(may & (sums < threshold + SLACK))
+            for part in range(0, len(i), BLOCK * BLOCK // DENSE):
+                k = slice(part, part + BLOCK * BLOCK // DENSE)
+                may[i[k], j[k]] = exact(x[i[k]], y[j[k]])
+            if may.any():
+                yield x, y, may
+
+
+def linked(a: np.ndarray, b: np.ndarray, basis: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (of a, of b) of all pairs of `blocks`."""
+    pairs = [(x[i], y[j]) for x, y, mask in blocks(a, b, basis, same, threshold) for i, j in [np.nonzero(mask)]]
+    i, j = (np.concatenate([np.zeros(0, np.int64), *part]) for part in (list(zip(*pairs, strict=True)) or [[], []]))
+    return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
 
 
 def bases_of(classes: DataFrame) -> dict[int, np.ndarray]:
@@ -113,7 +129,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     # Casting the array as a whole keeps null components, which `exists` then finds.
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~odd & F.exists("embedding", lambda x: x != 0)
     # Copies share a key of 128 bits: two hashes over different orders of the parts.
@@ -139,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.FixedSizeListArray.from_arrays(lead.ravel(), BOX).cast(pa.list_(pa.float64()))], names=[*b.schema.names, "lead"])
 
     sized = classes.select("c", "copies", F.struct("label", F.size("embedding").alias("d")).alias("g"), "embedding")
-    fields = "c long, copies long, g struct<label: {}, d: int>, embedding array<float>, lead array<double>".format(dict(rows.dtypes)["label"])
+    fields = "c long, copies long, g struct<label: {}, d: int>, embedding array<double>, lead array<double>".format(dict(rows.dtypes)["label"])
     cell = F.transform(F.slice("lead", 1, GRID), lambda p: F.floor(p / reach).cast("int"))
     placed = written(sized.mapInArrow(project, fields).withColumn("cell", cell), "placed")
     # Tiles: a label has few cells, as coordinates lie in [-1, 1]; they are counted and summed up in order; a full cell is cut by a hash.
@@ -166,14 +182,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     parts.append((inner.field(0).to_numpy(), inner.field(1).to_numpy(), inner.field(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(inner), -1)))
                 (ca, na, xa), (cb, nb, xb) = parts
                 same = one.column(names.index("tile"))[0].as_py() == one.column(names.index("tile_b"))[0].as_py()
-                i, j = linked(xa, xb, basis_of(xa.shape[1]), same, threshold)
                 ids, copies = (ca, na) if same else (np.concatenate([ca, cb]), np.concatenate([na, nb]))
-                if not same:
-                    j = j + len(ca)
-                count = np.bincount(i, weights=copies[j], minlength=len(ids)) + np.bincount(j, weights=copies[i], minlength=len(ids))
+                count, components = np.zeros(len(ids), np.int64), Components(len(ids))
+                for x, y, mask in blocks(xa, xb, basis_of(xa.shape[1]), same, threshold):
+                    y = y if same else y + len(ca)
+                    count[x] += mask @ copies[y]
+                    count[y] += copies[x] @ mask
+                    i, j = np.nonzero(mask & np.not_equal.outer(components.find(x), components.find(y)))
+                    components.join(x[i], y[j])
                 has = np.flatnonzero(count)
-                root = forest(len(ids), i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(count[has].astype(np.int64)), pa.array(ids[root[has]])], names=["u", "n", "v"])
+                root = components.find(np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(count[has]), pa.array(ids[root[has]])], names=["u", "n", "v"])
 
     found = written(pairs.select("tile", "tile_b", "rows", "rows_b").mapInArrow(compare, "u long, n long, v long"), "links")
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))

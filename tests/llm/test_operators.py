@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.llm.graph import Components, forest
 from kinweave.llm import embedding_dedup, fingerprints, licenses, minhash, packing, pii, piece_codec, secret_scan, token_counts, toxicity
 from tests.llm import license_lines
 
@@ -494,7 +496,7 @@ def test_embeddings(spark, monkeypatch, tile):
     label = np.arange(len(x)) % 3
     near = (x @ x.T >= 0.98) & (label[:, None] == label)
     np.fill_diagonal(near, False)
-    root = embedding_dedup.forest(len(x), *np.nonzero(near))
+    root = forest(len(x), *np.nonzero(near))
     for i in range(len(x)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), root[i], root[i] == i)
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 907))
@@ -511,6 +513,41 @@ def test_linked_by_blocks(monkeypatch):
     assert sorted(zip(*embedding_dedup.linked(x[:50], x[50:], basis, False), strict=True)) == sorted(zip(*np.nonzero(near[:50, 50:]), strict=True))
 
 
+def test_a_tile_whose_vectors_all_link():
+    """33 million links in one tile: memory stays at blocks, and components are right however the parts come."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=64) + rng.normal(scale=0.01, size=(8192, 64))
+    basis = embedding_dedup.axes(embedding_dedup.unit(x))
+    tracemalloc.start()
+    count, components, began = np.zeros(len(x), np.int64), Components(len(x)), time.monotonic()
+    for i, j, mask in embedding_dedup.blocks(x, x, basis, True):
+        count[i] += mask.sum(axis=1)
+        count[j] += mask.sum(axis=0)
+        k, m = np.nonzero(mask & np.not_equal.outer(components.find(i), components.find(j)))
+        components.join(i[k], j[m])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (count == 8191).all() and (components.find(np.arange(8192)) == 0).all()
+    assert peak < 300_000_000 and time.monotonic() - began < 10
+
+
+def test_components_in_parts():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        i, j = rng.integers(40, size=(2, 30))
+        some = Components(40)
+        for k in range(0, 30, 7):
+            some.join(i[k : k + 7], j[k : k + 7])
+        assert (some.find(np.arange(40)) == forest(40, i, j)).all()
+
+
+def test_embeddings_of_doubles(spark):
+    """Two vectors that would be equal, and a component that would be zero, as floats."""
+    rows = [(1, [1.0, 1e-60], 1), (2, [1.0 + 1e-12, 0.0], 1), (3, [0.0, 1e-60], 1), (4, [0.0, 2e-60], 1), (5, [3e200, 4e200], 1), (6, [3e-200, 4e-200], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
+
+
 def test_embeddings_of_nothing_and_other_columns(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, c string, g int, h1 int")
     assert embedding_dedup.near_duplicates(none).count() == 0
