@@ -28,7 +28,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -36,12 +35,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import id_and_text
+from kinweave.llm.common import folded, id_and_text, let
 
 CONFIRM = 0.8
 WINDOW = 8
 BUCKETS = 4096
-CHUNK = 256
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*|\?"
 # Short statements of public licences, in their usual words.
@@ -232,31 +230,6 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), F.lit(kind))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is computed once: a transform of one element binds it to a name."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def folded(items: Column, start: Column, step: Callable, kind: str) -> Column:
-    """The elements that step(state, item) -> (next state, array to add) adds along items, state from start on.
-
-    Items are folded in chunks, each with an array of its own, so that an added element is copied few times.
-    """
-    none = F.array().cast(f"array<{kind}>")
-    chunks = F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))).otherwise(F.array())
-
-    def one(acc: Column, x: Column) -> Column:
-        state, more = step(acc["state"], x)
-        return F.struct(state.alias("state"), F.concat(acc["out"], more).alias("out"))
-
-    def chunk(acc: Column, part: Column) -> Column:
-        inner = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return let(inner, lambda i: F.struct(i["state"].alias("state"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
-
-    zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
-    return F.flatten(F.aggregate(chunks, zero, chunk)["out"])
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_paragraphs, n_license, families, findings of every row of docs.
 

@@ -16,7 +16,7 @@ The patterns below are the base patterns with possessive repeats and a look-behi
 if its first can't, so that Java's matcher neither recurses nor starts a long run anew at each of its characters.
 
 Edge cases: null text is empty and has no span; rows with null doc_id are scanned too; repeated rows give repeated results;
-very long texts are scanned whole; spans of a kind with one start come by their end; an empty table gives no rows; other columns
+very long texts are scanned whole, in time linear in their matches but for a sort; spans of a kind with one start come by their end; an empty table gives no rows; other columns
 are ignored, whatever their names. Positions are code points, ends exclusive.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.boosting import Boosted, boost
-from kinweave.llm.common import id_and_text
+from kinweave.llm.common import folded, id_and_text, let
 
 KINDS = ("email", "ip", "card", "phone")
 # A previous match may end inside a run of local-part characters, where the next match may then start.
@@ -178,21 +178,46 @@ def judges(precision: float = 0.98) -> dict[str, Judge]:
     return out
 
 
+SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
+
+
 def matches(text: Column, pattern: str, needs: str) -> Column:
-    """Array of (start, end, value, before, after) of a pattern's matches, from what lies between them."""
+    """Array of (start, end, value, before, after) of a pattern's matches, from what lies between them.
+
+    before and after are the CONTEXT characters before a match and the 4 behind it (fewer, where a shorter match ends first; a
+    LOOSE match of any kind has 4 or more).
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    steps = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + F.length(m["value"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(m["gap"])).alias("start"), (acc["at"] + F.length(m["gap"]) + F.length(m["value"])).alias("end"), m["value"].alias("value")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(needs), steps).otherwise(none)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
+    following = let(zipped, lambda z: F.transform(F.slice(z, 1, F.size(z) - 1), lambda m, k: F.struct(m["gap"].alias("gap"), m["value"].alias("value"), let(F.element_at(z, (k + 2).cast("int")), lambda n: F.left(F.concat(n["gap"], F.coalesce(n["value"], F.lit(""))), F.lit(4))).alias("after"))))
+
+    def step(state: Column, m: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.length(m["gap"])
+        end = start + F.length(m["value"])
+        before = F.right(F.concat(state["tail"], m["gap"]), F.lit(CONTEXT))
+        tail = F.right(F.concat(before, m["value"]), F.lit(CONTEXT))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.array(F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"), before.alias("before"), m["after"].alias("after")))
+
+    spans = folded(following, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, SPAN)
+    return F.when(text.rlike(needs), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def free(spans: Column, kept: Column) -> Column:
+    """Those of spans that overlap none of kept, in order of their starts: two passes along both."""
+    marked = lambda a, mine: F.transform(a, lambda m: F.struct(m["start"].alias("start"), F.lit(mine).alias("mine"), m.alias("m")))
+    none = F.array().cast(f"array<{SPAN}>")
+    both = lambda some: F.array_sort(F.concat(marked(kept, False), marked(some, True)))
+
+    def behind(last: Column, x: Column) -> tuple[Column, Column]:
+        m = x["m"]
+        return F.when(x["mine"], last).otherwise(F.greatest(last, m["end"])), F.when(x["mine"] & (m["start"] >= last), F.array(m)).otherwise(none)
+
+    def ahead(next_: Column, x: Column) -> tuple[Column, Column]:
+        m = x["m"]
+        return F.when(x["mine"], next_).otherwise(m["start"]), F.when(x["mine"] & (m["end"] <= next_), F.array(m)).otherwise(none)
+
+    first = folded(both(spans), F.lit(0), behind, SPAN)
+    return F.reverse(let(first, lambda f: folded(F.reverse(both(f)), F.lit(2**31 - 1), ahead, SPAN)))
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -209,12 +234,9 @@ def _passes(kind: str, m: Column) -> Column:
 
 
 def _chosen(kind: str, m: Column) -> Column:
-    """The candidate overlaps nothing kept and its calibrated probability reaches the threshold."""
+    """The candidate's calibrated probability reaches the threshold."""
     judge = judges()[kind]
-    before = F.substring("text", F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(m["start"], F.lit(CONTEXT)))
-    c = F.struct(m["value"].alias("value"), before.alias("before"), F.substring("text", m["end"] + 1, F.lit(4)).alias("after"))
-    free = ~F.exists("kept", lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
-    return free & (1 / (1 + F.exp(-(judge.trees.column(features(kind, c)) * judge.slope + judge.shift))) >= judge.threshold)
+    return 1 / (1 + F.exp(-(judge.trees.column(features(kind, m)) * judge.slope + judge.shift))) >= judge.threshold
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -228,7 +250,7 @@ def scan(docs: DataFrame) -> DataFrame:
     df = df.withColumn("kept", kept)
     for kind in KINDS:
         # Most rows have no loose match, and then the trees aren't reached.
-        df = df.withColumn(f"added_{kind}", F.when(F.size(f"loose_{kind}") > 0, F.filter(f"loose_{kind}", partial(_chosen, kind))).otherwise(F.col(f"loose_{kind}")))
+        df = df.withColumn(f"added_{kind}", F.when(F.size(f"loose_{kind}") > 0, F.filter(free(F.col(f"loose_{kind}"), F.col("kept")), partial(_chosen, kind))).otherwise(F.col(f"loose_{kind}")))
     shown = lambda kind, spans: F.transform(spans, lambda m: F.concat_ws(":", F.lit(kind), m["start"], m["end"]))
     base = F.concat_ws(",", *(shown(k, f"base_{k}") for k in KINDS))
     every = F.concat_ws(",", *(shown(k, F.array_sort(F.concat(f"base_{k}", f"added_{k}"))) for k in KINDS))
