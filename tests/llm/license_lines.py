@@ -1,4 +1,4 @@
-"""Header lines and sentences about licences, written by hand in forms that the operator's examples don't hold."""
+"""Header lines and sentences about licences, written by hand. Many headers hold a template whole, as these are the usual statements."""
 
 HEADERS = {
     "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.

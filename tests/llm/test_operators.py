@@ -455,7 +455,7 @@ def plain_licenses(text):
 
 
 def test_handwritten_license_lines():
-    """The operator's templates were completed on the even lines; the odd ones are held out."""
+    """A check on known forms, no held-out set: templates and examples were completed with these lines in view."""
     lines = [(f, x) for f, xs in license_lines.HEADERS.items() for x in xs.split("\n")]
     said = [(f, licenses.classify(x)[0]) for f, x in lines]
     loose = [licenses.classify(x)[0] != licenses.UNKNOWN for x in license_lines.PROSE]
