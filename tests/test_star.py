@@ -45,3 +45,14 @@ def test_partner_chain_is_a_longest_path(spark):
     path = [int(x) for x in row.path.split(",")]
     assert len(path) == row.length == len(set(path))
     assert all(a // 2 == b or b // 2 == a for a, b in zip(path, path[1:], strict=False))
+
+
+def test_seconds_of_anchored_clusters_are_rounded_as_in_the_sql(spark, tmp_path):
+    """Half seconds, after and before 1970, and fractions that rounding takes over or under the reach of an hour."""
+    at = ["2024-01-01 00:00:00.5", "2024-01-01 01:00:00.6", "2024-01-01 04:00:00.4", "2024-01-01 05:00:00.7", "2024-01-01 08:00:01.5", "2024-01-01 09:00:02.499999", "1969-12-31 20:59:58.5", "1969-12-31 21:59:58.9", "1969-12-31 23:59:59.2", "1970-01-01 00:59:59.5"]
+    values = ", ".join(f"({k // 2}::BIGINT, TIMESTAMP '{x}')" for k, x in enumerate(at))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES {values}) v(user_id, ts)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    theirs = con.execute(ORACLE["anchored_clusters"]).df()
+    assert rows(QUERIES["anchored_clusters"](spark, str(tmp_path)).toPandas()) == rows(theirs) == [(1, 2), (8, 1)]
