@@ -22,9 +22,16 @@ def dense(df: DataFrame, order: str, value: str, step: int = 1) -> DataFrame:
 
 
 def anomalies(df: DataFrame, order: str, value: str, reach: int = 5, least_baseline: float = 2, z: float = 2.0, n: int = 10) -> DataFrame:
-    """Periods whose value lies z deviations above the median of a full centred window; the n strongest, by period."""
+    """Periods whose value lies z deviations above the median of a full centred window; the n strongest, by period.
+
+    Whole numbers are summed as decimals, so windows of the same values in another order have the same deviation, and tie.
+    """
     w = Window.orderBy(order).rowsBetween(-reach, reach)
-    rows = df.withColumns({"w": F.collect_list(value).over(w), "sd": F.stddev_pop(value).over(w)}).where(F.size("w") == 2 * reach + 1)
+    x = F.col(value).cast("decimal(19,0)") if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint") else F.col(value)
+    n_x = 2 * reach + 1
+    spread = F.sum(x * x).over(w) * n_x - F.sum(x).over(w) * F.sum(x).over(w)
+    sd = F.sqrt(F.greatest(spread.cast("double"), F.lit(0.0))) / n_x
+    rows = df.withColumns({"w": F.collect_list(value).over(w), "sd": sd}).where(F.size("w") == n_x)
     rows = rows.withColumn("baseline", F.sort_array("w")[reach])
     rows = rows.where((F.col("baseline") >= least_baseline) & (F.col("sd") > 0)).withColumn("z_score", (F.col(value) - F.col("baseline")) / F.col("sd"))
     strongest = rows.where(F.col("z_score") >= z).orderBy(F.col("z_score").desc(), order).limit(n).orderBy(order)

@@ -206,6 +206,16 @@ def test_anchored_sets_of_one_key_are_spread(spark, skewed):
     assert all(max(v) < n / 3 for v in skewed().values() if sum(v) >= n)
 
 
+def test_anomalies_of_equal_windows_tie(spark):
+    """Two windows of the same values in another order: the earlier one comes first, whatever the order of the sums."""
+    a = [1260, 1380, 1320, 1320, 1320, 1500, 1320, 1260, 1320, 1380, 1200]
+    b = [1260, 1260, 1380, 1320, 1200, 1500, 1320, 1320, 1320, 1380, 1320]
+    rows = frame(spark, list(enumerate(a + b)), "y int, n long")
+    assert [r.y for r in series.anomalies(rows, "y", "n", n=1).collect()] == [5]
+    both = series.anomalies(rows, "y", "n").collect()
+    assert [r.y for r in both] == [5, 16] and len({r.z_score for r in both}) == 1
+
+
 def chain_of(edges, cap=100):
     """The longest shortest way by two queues."""
     near = defaultdict(set)
