@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,22 +157,85 @@ def way_counts(edges: DataFrame, most: int, stride: int = 8, limit: int = 120) -
         now = rounds.put(now.join(below.withColumnRenamed("child", "node").withColumnRenamed("bound", "was"), "node"))
 
 
+#: Starts that one row's bits can stand for, 62 in each long; what is more is counted by pairs.
+BITS, LONGS = 62, 4
+
+
+def reached(edges: DataFrame, starts: list, stride: int = 5) -> DataFrame:
+    """ancestor, n: the number of distinct nodes below each of a few starts, itself not among them.
+
+    A row a node holds a bit for every start above it; each of a job's `stride` steps hands on the rows that have got new bits.
+    """
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["parent"]
+    names = [f"m{i}" for i in range((len(starts) + BITS - 1) // BITS)]
+    down = edges.select(F.col("parent").alias("above"), F.col("child").alias("below"))
+    own = [(x, *(1 << k % BITS if k // BITS == i else 0 for i in range(len(names)))) for k, x in enumerate(starts)]
+    rows = spark.createDataFrame(own, f"node {kind}, " + ", ".join(f"{m} long" for m in names)).withColumn("fresh", F.lit(True))
+    rounds = Rounds("reached")
+    was = [F.col(m).alias(f"was_{m}") for m in names]
+    none = [F.lit(0).cast("long").alias(f"was_{m}") for m in names]
+    new = reduce(or_, (F.col(m) != F.col(f"was_{m}") for m in names))
+    while not rows.where("fresh").isEmpty():
+        for _ in range(stride):
+            both = rows.join(down, (F.col("node") == F.col("above")) & F.col("fresh"), "left")
+            each = both.select(F.inline(F.array(F.struct("node", *names, *was), F.struct(F.col("below").alias("node"), *names, *none)))).where("node is not null")
+            rows = each.groupBy("node").agg(*(F.bit_or(c).alias(c) for m in names for c in (m, f"was_{m}"))).select("node", *names, new.alias("fresh"))
+        rows = rounds.put(rows)
+    bit = lambda k: F.sum(F.shiftright(F.col(names[k // BITS]), k % BITS).bitwiseAND(1)) - 1
+    sums = rows.agg(F.array(*(bit(k) for k in range(len(starts)))).alias("ns")).first().ns
+    return spark.createDataFrame([(x, n) for x, n in zip(starts, sums, strict=True) if n], f"ancestor {kind}, n long")
+
+
+def outranked(edges: DataFrame, nodes: DataFrame, k: int, steps: int = 8) -> DataFrame:
+    """node of those of nodes, which holds all ancestors of its own, that have at least k ancestors and lie on no cycle.
+
+    An ancestor of such a node has all of its descendants and the node itself, so k others have more. Ways up are counted first: they
+    end where no cycle is met. Then sets of up to k ancestors are handed down for some steps.
+    """
+    inside = edges.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("node").alias("child")), "child", "left_semi")
+    inside = written(inside.select("parent", "child"), "inside")
+    many = 1 << 40
+    ends = way_counts(inside.select(F.col("child").alias("parent"), F.col("parent").alias("child")), many).where(F.col("bound") < many).select("node")
+    kind = dict(inside.dtypes)["parent"]
+    now = inside.select(F.explode(F.array("parent", "child")).alias("node")).distinct().withColumn("up", F.array().cast(f"array<{kind}>"))
+    for _ in range(min(k, steps)):
+        handed = inside.join(now.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), F.explode(F.concat("up", F.array("parent"))).alias("a"))
+        found = handed.groupBy("node").agg(F.slice(F.collect_set("a"), 1, k).alias("up"))
+        now = now.select("node").join(found, "node", "left").select("node", F.coalesce("up", F.array().cast(f"array<{kind}>")).alias("up"))
+    return written(now.where(F.size("up") >= k).join(ends, "node", "left_semi").select("node"), "outranked")
+
+
 def top_descendants(edges: DataFrame, k: int, ahead: int = 2) -> DataFrame:
     """ancestor, n: distinct descendants of the k nodes that have most, and of others that had to be counted for that.
 
     Numbers of ways are upper bounds. The ahead * k nodes with the highest ones (all of an equal bound) are counted first; the
-    k-th of these counts is a floor, and only nodes whose bound reaches it are counted after. No other pair is ever made.
+    k-th of these counts is a floor, and only nodes whose bound reaches it are counted after. Bounds don't fall on a way up, so of many
+    such nodes those with k ancestors among them need no count. Few nodes are counted by bits, many by pairs.
     """
     edges = written(edges.select("parent", "child").where("parent <> child").distinct(), "edges")
     most = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct().count()
     bounds = written(way_counts(edges, most), "bounds")
     high = [r.bound for r in bounds.orderBy(F.col("bound").desc()).limit(ahead * k).collect()]
-    count = lambda some: closure(edges, some.select(F.col("node").alias("ancestor"))).groupBy("ancestor").agg(F.count("*").alias("n"))
-    first = written(count(bounds.where(F.col("bound") >= (high[-1] if high else 0))), "counted")
+    least = high[-1] if high else 0
+
+    def count(some: DataFrame, from_: int) -> DataFrame | None:
+        few = some.limit(BITS + 1).count() <= BITS
+        if not few:
+            some = some.join(outranked(edges, bounds.where(F.col("bound") >= from_), k), "node", "left_anti")
+        starts = [r.node for r in some.select("node").limit(BITS * LONGS + 1).collect()]
+        if len(starts) > BITS * LONGS:
+            return closure(edges, some.select(F.col("node").alias("ancestor"))).groupBy("ancestor").agg(F.count("*").alias("n"))
+        return reached(edges, starts) if starts else None
+
+    first = count(bounds.where(F.col("bound") >= least), least)
+    if first is None:  # no edges
+        return bounds.select(F.col("node").alias("ancestor"), F.col("bound").alias("n"))
+    first = written(first, "counted")
     found = [r.n for r in first.orderBy(F.col("n").desc()).limit(k).collect()]
     floor = found[-1] if len(found) == k else 0
-    rest = bounds.where((F.col("bound") < (high[-1] if high else 0)) & (F.col("bound") >= floor))
-    return first if rest.isEmpty() else first.unionByName(count(rest))
+    rest = bounds.where((F.col("bound") < least) & (F.col("bound") >= floor))
+    more = None if rest.isEmpty() else count(rest, floor)
+    return first if more is None else first.unionByName(more)
 
 
 def roots(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -177,6 +177,35 @@ def test_few_closures_are_made(spark, monkeypatch):
     assert sorted(got, key=lambda x: (-got[x], x))[:3] == order and made["n"] < len(exact) / 4
 
 
+def test_nodes_under_many_others_are_not_counted(spark, monkeypatch):
+    """Every node's parents are its half and its third, so ways say nothing of the first 50; few of these have under 3 ancestors."""
+    counted = []
+    reached = graph.reached
+    monkeypatch.setattr(graph, "BITS", 10)
+    monkeypatch.setattr(graph, "reached", lambda edges, starts, *a: (counted.extend(starts), reached(edges, starts, *a))[1])
+    pairs = [(c // d, c) for c in range(2, 8000) for d in (2, 3) if c // d]
+    got = {r.ancestor: r.n for r in graph.top_descendants(frame(spark, pairs, "parent int, child int"), 3).collect()}
+    exact = below(pairs)
+    assert sorted(got, key=lambda x: (-got[x], x))[:3] == sorted(exact, key=lambda x: (-exact[x], x))[:3]
+    assert all(exact[x] == n for x, n in got.items()) and len(counted) < 10
+
+
+def test_cycles_are_not_outranked(spark):
+    """A ring of 70 and a line below it: all of the ring have 70 ancestors or more, and as many descendants as each other."""
+    pairs = [(k, (k + 1) % 70) for k in range(70)] + [(69, 70)] + [(k, k + 1) for k in range(70, 80)]
+    got = {r.ancestor: r.n for r in graph.top_descendants(frame(spark, pairs, "parent int, child int"), 2, 1).collect()}
+    assert sorted(got, key=lambda x: (-got[x], x))[:2] == [0, 1] and {got[x] for x in range(70)} == {80}
+
+
+@pytest.mark.parametrize("many", [1, 62, 63, 130])
+def test_reached_by_bits(spark, many):
+    """As many starts as one, two and three longs hold, on cycles too."""
+    pairs = random_dag(7, 150, 260) + [(140, 2), (100, 30)]
+    exact = below(pairs)
+    got = {r.ancestor: r.n for r in graph.reached(frame(spark, pairs, "parent int, child int"), list(range(many)), 3).collect()}
+    assert got == {x: n for x, n in exact.items() if x < many and n}
+
+
 def sets(times, reach):
     out, anchor = Counter(), None
     for t in sorted(times):
