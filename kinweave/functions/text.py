@@ -90,10 +90,9 @@ def event_year_of_text(record: Column, tag: str) -> Column:
 
 
 def coordinate(block: Column, tag: str) -> Column:
-    """LATI or LONG at level 4, south and west negative."""
-    found = F.regexp_extract(block, rf"\n4 {re.escape(tag)} +([NSEW])([0-9]+(?:\.[0-9]+)?)", 2)
-    sign = F.when(F.regexp_extract(block, rf"\n4 {re.escape(tag)} +([NSEW])", 1).isin("S", "W"), -1.0).otherwise(1.0)
-    return F.when(found != "", found.cast("double") * sign)
+    """LATI or LONG at level 4, south and west negative; the block is read once."""
+    found = F.regexp_extract(block, rf"\n4 {re.escape(tag)} +([NSEW][0-9]+(?:\.[0-9]+)?)", 1)
+    return F.translate(found, "SWNE", "--").try_cast("double")
 
 
 def composed(value: Column) -> Column:

@@ -328,9 +328,14 @@ class Tree:
         return hist.fixed_width(self.individuals.where(n > 0), n, 1, 5, 1)
 
     def migration_distances(self, floor: int = 5) -> DataFrame:
-        birth, death = (text.event_block(F.col("i_gedcom"), t) for t in ("BIRT", "DEAT"))
-        km = geo.haversine_km(*(text.coordinate(b, t) for b in (birth, death) for t in ("LATI", "LONG")))
-        return self.individuals.select(geo.distance_band(km).alias("band"), km.alias("km")).where("km is not null").groupBy("band").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1)))).where(F.col("all") >= floor).drop("all")
+        """band, n: distances from birth to death. Every step is a column of its own that the next reads by name, and persons without
+        a distance go after the count: a filter would be pushed below and repeat all of the reading for each mention."""
+        tags = [(t, c) for t in ("BIRT", "DEAT") for c in ("LATI", "LONG")]
+        rows = self.individuals.select(*(text.event_block(F.col("i_gedcom"), t).alias(t) for t in ("BIRT", "DEAT")))
+        rows = rows.select(*(text.coordinate(F.col(t), c).alias(t + c) for t, c in tags))
+        rows = rows.select(geo.haversine_km(*(F.col(t + c) for t, c in tags)).alias("km"))
+        counts = rows.groupBy(geo.distance_band(F.col("km")).alias("band")).agg(F.count("km").alias("n")).where("n > 0")
+        return counts.withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1)))).where(F.col("all") >= floor).drop("all")
 
     # Tree health
 

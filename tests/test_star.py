@@ -56,3 +56,9 @@ def test_seconds_of_anchored_clusters_are_rounded_as_in_the_sql(spark, tmp_path)
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     theirs = con.execute(ORACLE["anchored_clusters"]).df()
     assert rows(QUERIES["anchored_clusters"](spark, str(tmp_path)).toPandas()) == rows(theirs) == [(1, 2), (8, 1)]
+
+
+def test_coordinates_are_read_once(spark):
+    """A record's two blocks and four coordinates, however often the distance mentions them."""
+    plan = QUERIES["tree_migration_distances"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 6
