@@ -196,7 +196,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     found = written(pairs.select("tile", "tile_b", "rows", "rows_b").mapInArrow(compare, "u long, n long, v long"), "links")
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
-    named = classes.select("h1", "h2", "c", "vec_id", "copies").join(roots(found.select("u", "v"), "vector-components").toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("h1", "h2", "c", "vec_id", "copies").join(roots(found.select("u", "v"), "vector-components", merge=False).toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = named.join(counts.select(F.col("u").alias("c"), "n"), "c", "left")
     smallest = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     named = named.join(smallest, "root").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

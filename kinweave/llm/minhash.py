@@ -200,7 +200,7 @@ def tiled(texts: DataFrame, large: DataFrame) -> DataFrame:
     occurrence); what leaves the task is a spanning forest.
     """
     heads = large.groupBy("band").agg(F.min("c").alias("v"))
-    clusters = roots(dealt(large, heads).select(F.col("c").alias("u"), "v"), "clusters")
+    clusters = roots(dealt(large, heads).select(F.col("c").alias("u"), "v"), "clusters", merge=False)
     members = large.select("c", "n", "root").distinct().join(clusters.toDF("c", "cluster"), "c", "left")
     members = members.withColumn("cluster", F.coalesce("cluster", "c"))
     cells = members.groupBy("cluster", "n").agg(F.count("*").alias("many"))
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = shared.where(F.col("c") != F.col("a")).where(alike).groupBy("a", F.col("c").alias("b")).agg(F.max("size").alias("size"))
     stars = written(stars.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / FAN)).alias("s")), "stars")
     links = written(verified(stars, texts), "links")
-    found = roots(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = roots(links.select(F.col("a").alias("u"), F.col("b").alias("v")), merge=False)
     # Buckets whose members are not all joined: the pairs across components.
     labelled = shared.select("band", "c", "n", "size").join(found.toDF("c", "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     several = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = written(across.join(tried, ["a", "b"], "left_anti").withColumn("s", F.lit(0)), "across")
     more = written(tiled(texts, left.where(F.col("size") > SMALL)), "links").unionByName(written(verified(across, texts), "links"))
-    found = roots(found.toDF("u", "v").unionByName(more.toDF("u", "v")))
+    found = roots(found.toDF("u", "v").unionByName(more.toDF("u", "v")), merge=False)
     named = classes.join(found.toDF("c", "r"), "c", "left").withColumn("r", F.coalesce("r", "c"))
     digest = F.min(F.struct("d1", "d2"))
     smallest = named.groupBy("r").agg(F.min("doc_id").alias("class_id"), F.min("one.t").alias("first_t"), digest.alias("d"))

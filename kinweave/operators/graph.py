@@ -238,7 +238,7 @@ def top_descendants(edges: DataFrame, k: int, ahead: int = 2) -> DataFrame:
     return first if more is None else first.unionByName(more)
 
 
-def roots(edges: DataFrame, name: str = "components") -> DataFrame:
+def roots(edges: DataFrame, name: str = "components", merge: bool = True) -> DataFrame:
     """node, root of every node of edges (u, v) that reaches a smaller one: root is the smallest.
 
     A round hooks every node to its smallest neighbour if that is smaller, follows these pointers to their ends (each job makes them
@@ -246,13 +246,13 @@ def roots(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Minima are pre-aggregated, and every look-up joins two written tables, one of which has a row a node. So where a node has many
     edges or many pointers to it, nothing but a shuffle lies below either side of the join, and AQE's skew join deals the
-    rows of that key out over tasks.
+    rows of that key out over tasks. merge: as in `Rounds`.
     """
-    rounds, maps = Rounds(name), []
+    rounds, maps = Rounds(name, merge=merge), []
     now = rounds.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pointers = Rounds(f"{name}-pointers")
+        pointers = Rounds(f"{name}-pointers", merge=merge)
         hook = pointers.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
         moves = True
         while moves:
@@ -265,7 +265,7 @@ def roots(edges: DataFrame, name: str = "components") -> DataFrame:
         now = rounds.put(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if not maps:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    full, whole = maps.pop(), Rounds(f"{name}-roots")
+    full, whole = maps.pop(), Rounds(f"{name}-roots", merge=merge)
     while maps:  # of a round's nodes the later rounds know the ends
         m = maps.pop()
         full = whole.put(m.join(full.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("node", F.coalesce("end", "root").alias("root")).unionByName(full))

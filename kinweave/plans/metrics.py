@@ -396,7 +396,7 @@ class Tree:
         median_year: the lower median of its members' birth and death years.
         """
         edges = self.partner_edges()
-        roots = written(graph.roots(edges), "roots")
+        roots = written(graph.roots(edges), "roots", merge=True)
         largest = roots.groupBy("root").agg((F.count("*") + 1).alias("size")).where("size >= 3").orderBy(F.col("size").desc(), "root").limit(1)
         largest = written(largest, "largest")  # one row
         of = roots.select(F.col("node").alias("u"), "root").unionByName(largest.select(F.col("root").alias("u"), "root"))
@@ -419,7 +419,7 @@ class Tree:
 
     def longest_partner_chain(self) -> DataFrame:
         edges = self.couples().where("f_husb <> f_wife").select(F.col("f_husb").alias("u"), F.col("f_wife").alias("v")).distinct()
-        roots = written(graph.roots(edges), "roots")
+        roots = written(graph.roots(edges), "roots", merge=True)
         largest = roots.groupBy("root").agg(F.count("*").alias("size")).where("size >= 3").orderBy(F.col("size").desc(), "root").limit(1).select("root")
         inside = edges.join(roots.withColumnRenamed("node", "u"), "u").join(F.broadcast(largest), "root")
         return graph.longest_chain(inside.select("root", "u", "v").unionByName(inside.select("root", F.col("v").alias("u"), F.col("u").alias("v"))))

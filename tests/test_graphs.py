@@ -297,3 +297,12 @@ def test_a_long_line_takes_few_tables(spark, monkeypatch):
     rows = spark.createDataFrame([("g", f"{a:05}", f"{b:05}") for u, v in line for a, b in ((u, v), (v, u))], "root string, u string, v string")
     (row,) = graph.longest_chain(rows).collect()
     assert (row.length, row.path) == (100, ",".join(f"{x:05}" for x in chain_of(line))) and puts["n"] <= 30
+
+
+def test_rounds_are_not_broadcast(spark):
+    """Tables of a few KB that a loop joins with each other in every round are merged, not sent through the driver."""
+    edges = frame(spark, [(k, k // 2) for k in range(1, 300)], "u int, v int")
+    plan = graph.roots(edges)._jdf.queryExecution().executedPlan().toString()
+    both = graph.Rounds("t", merge=True).put(edges)
+    joined = both.join(both.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan + joined and "SortMergeJoin" in joined
