@@ -307,7 +307,7 @@ def lines(both: DataFrame, keep: DataFrame, key: str) -> tuple[DataFrame, DataFr
     to_two = two.select(key, F.col("u").alias("v"), F.lit(True).alias("on"))
     arcs = both.join(from_two, [key, "u"], "left").join(to_two, [key, "v"], "left")
     before = F.when(F.col("inner"), F.when(F.col("a") == F.col("v"), F.col("b")).otherwise(F.col("a")))
-    rounds = Rounds("lines")
+    rounds = Rounds("lines", merge=True)
     now = rounds.put(arcs.select(key, "u", "v", F.coalesce("on", F.lit(False)).alias("on"), F.coalesce(before, "u").alias("hu"), F.when(F.col("inner"), F.col("u")).otherwise(F.col("v")).alias("hv"), F.when(F.col("inner"), 1).otherwise(0).cast("long").alias("off"), F.coalesce("inner", F.lit(False)).alias("moves")))
     while not now.where("moves").isEmpty():
         step = now
@@ -320,6 +320,21 @@ def lines(both: DataFrame, keep: DataFrame, key: str) -> tuple[DataFrame, DataFr
     return edges, named.where("on").select(key, "start", "first", "pos", "node")
 
 
+def cut(edges: DataFrame, inner: DataFrame, at: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes of `lines` with the lines on which a node of at (key, node; one a group) lies cut in two at it."""
+    line = [key, "start", "first"]
+    hit = written(inner.join(at, [key, "node"]).select(*line, F.col("pos").alias("cut"), F.col("node").alias("x")), "hit")  # both ways of a line
+    after = inner.join(hit, line).where(F.col("pos") == F.col("cut") + 1).select(*line, F.col("node").alias("second"))
+    hit = written(hit.join(after, line, "left"), "cut")
+    rest = F.struct(F.col("x").alias("start"), F.coalesce("second", "end").alias("first"), "end", (F.col("len") - F.col("cut")).alias("len"))
+    halves = F.array(F.struct("start", "first", F.col("x").alias("end"), F.col("cut").alias("len")), rest)
+    parts = F.when(F.col("cut").isNull(), F.array(F.struct("start", "first", "end", "len"))).otherwise(halves)
+    beyond = lambda c, own: F.when(F.col("pos") > F.col("cut"), c).otherwise(F.col(own)).alias(own)
+    nodes = inner.join(hit, line, "left").where(F.col("cut").isNull() | (F.col("pos") != F.col("cut")))
+    nodes = nodes.select(key, beyond(F.col("x"), "start"), beyond(F.col("second"), "first"), beyond(F.col("pos") - F.col("cut"), "pos"), "node")
+    return written(edges.join(hit, line, "left").select(key, F.inline(parts)), "cut-edges", merge=True), nodes
+
+
 def distances(edges: DataFrame, start: DataFrame, key: str, stride: int = 3) -> DataFrame:
     """key, node, dist, hops from start (key, node) along edges as `lines` gives them: the shortest way, of equals the one whose nodes
     come first in order. hops: (first, to, start, len) of each edge of that way. A job takes `stride` edges more."""
@@ -346,20 +361,21 @@ def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> Da
     cap nodes. Walks go along drawn-together lines, so a line of any length costs a logarithm of jobs, and only a way's turns are
     carried; its last nodes are looked up in the end.
     """
-    both = written(component.select(key, "u", "v").distinct(), "component")
-    start = both.groupBy(key).agg(F.min("u").alias("node"))
+    both = written(component.select(key, "u", "v").distinct(), "component", merge=True)
+    start = written(both.groupBy(key).agg(F.min("u").alias("node")), "start")
 
-    def walked(start):
-        start = written(start, "start")
-        edges, inner = lines(both, start, key)
+    def walked(edges, inner, start):
         ways = distances(edges, start, key)
         on = inner.join(ways.withColumnRenamed("node", "start"), [key, "start"])
-        return edges, inner, ways, on.select(key, "node", (F.col("dist") + F.col("pos")).alias("dist"), F.concat("hops", F.array(F.struct("first", F.col("node").alias("to"), "start", F.col("pos").alias("len")))).alias("hops"))
+        return ways, on.select(key, "node", (F.col("dist") + F.col("pos")).alias("dist"), F.concat("hops", F.array(F.struct("first", F.col("node").alias("to"), "start", F.col("pos").alias("len")))).alias("hops"))
 
-    _, _, ways, on = walked(start)
+    edges, inner = lines(both, start, key)
+    ways, on = walked(edges, inner, start)
     reached = ways.select(key, "node", "dist").unionByName(on.select(key, "node", "dist")).groupBy(key, "node").agg(F.min("dist").alias("dist"))
     far = reached.groupBy(key).agg(F.min_by("node", F.struct(-F.col("dist"), F.col("node"))).alias("node"))
-    _, inner, ways, on = walked(far)
+    far = written(far, "far")
+    edges, inner = cut(edges, inner, far, key)
+    ways, on = walked(edges, inner, far)
     each = ways.unionByName(on).groupBy(key, "node").agg(F.min(F.struct("dist", "hops")).alias("way"))
     each = written(each.select(key, "node", "way.*"), "ways")
     ends = each.join(each.groupBy(key).agg(F.max("dist").alias("dist")), [key, "dist"])

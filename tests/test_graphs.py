@@ -299,6 +299,18 @@ def test_a_long_line_takes_few_tables(spark, monkeypatch):
     assert (row.length, row.path) == (100, ",".join(f"{x:05}" for x in chain_of(line))) and puts["n"] <= 30
 
 
+def test_a_line_is_drawn_together_once(spark, monkeypatch):
+    """A line of 500 in mixed order: its two walks share one set of drawn-together lines."""
+    made = Counter()
+    lines = graph.lines
+    monkeypatch.setattr(graph, "lines", lambda *a: (made.update(["lines"]), lines(*a))[1])
+    order = list(range(500))
+    random.Random(5).shuffle(order)
+    rows = [("g", a, b) for a, b in zip(order, order[1:], strict=False)]
+    (row,) = graph.longest_chain(frame(spark, rows + [(g, b, a) for g, a, b in rows], "root string, u int, v int"), cap=600).collect()
+    assert [int(x) for x in row.path.split(",")] == min(order, order[::-1]) and made["lines"] == 1
+
+
 def test_rounds_are_not_broadcast(spark):
     """Tables of a few KB that a loop joins with each other in every round are merged, not sent through the driver."""
     edges = frame(spark, [(k, k // 2) for k in range(1, 300)], "u int, v int")
