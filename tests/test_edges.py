@@ -222,3 +222,15 @@ def test_folding_equals_the_unicode_library(spark):
     assert not wrong, (len(wrong), wrong[:20])
     got = frame(spark, list(enumerate(cases)), "k int, t string").select("k", text.composed(F.col("t")).alias("x")).orderBy("k").collect()
     assert [r.x for r in got] == [unicodedata.normalize("NFC", c) for c in cases]
+
+
+def test_many_paths_are_not_broadcast(spark, monkeypatch):
+    """A gazetteer with more than a few paths is merged; parts with a comma, blank ones and blank places find nothing."""
+    rows = [(1, None, "A", 1.0, 0.0), (2, 1, "B", 2.0, 0.0), (3, None, "A,B", 3.0, 0.0), (4, None, "", 4.0, 0.0), (5, 4, "B", 5.0, 0.0)]
+    flat = gazetteer.flattened(frame(spark, rows, "id long, parent_id long, place string, latitude double, longitude double"))
+    asked = frame(spark, [("B, A",), (" , A",), ("A,B",), ("",), ("B",), (None,)], "place string")
+    for few, way in ((100, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+        monkeypatch.setattr(gazetteer, "FEW", few)
+        found = gazetteer.located(asked, "place", flat)
+        assert {r.place: r.latitude for r in found.collect()} == {"B, A": 2.0, " , A": 1.0, "A,B": None, "": None, "B": None, None: None}
+        assert way in found._jdf.queryExecution().executedPlan().toString()
