@@ -353,13 +353,34 @@ def distances(edges: DataFrame, start: DataFrame, key: str, stride: int = 3) ->
     return rows.select(key, "node", "dist", "hops")
 
 
-def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> DataFrame:
+def smallest(ends: DataFrame, key: str) -> DataFrame:
+    """key, last, dist, hops, back: of a group's ways of one length from one node to different ones (key, last, dist, hops) the smallest
+    as nodes from either end; back: from the last one.
+
+    Read backwards, ways begin with different nodes; read forwards, all begin with one, and their hops are ordered as their nodes.
+    """
+    way = ["last", "dist", "hops"]
+    both = ends.groupBy(key).agg(F.min(F.struct(*way)).alias("b"), F.min(F.struct("hops", "last", "dist")).alias("f"))
+    start = F.coalesce(F.try_element_at("f.hops", F.lit(1))["start"], "f.last")  # a way without a hop is one node
+    back = F.col("b.last") < start
+    return both.select(key, *(F.when(back, F.col(f"b.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in way), back.alias("back"))
+
+
+def joined(nodes: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """key, length, path of the ways whose nodes are (key, pos, node): stretches of `size` nodes are joined first, so no task holds a long way's rows."""
+    text = lambda at, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, x))), lambda r: r[x]), ",")
+    named = nodes.select(key, F.floor(F.col("pos") / size).alias("part"), "pos", F.col("node").cast("string").alias("node"))
+    parts = named.groupBy(key, "part").agg(F.count("*").alias("n"), text("pos", "node").alias("text"))
+    return parts.groupBy(key).agg(F.sum("n").alias("length"), text("part", "text").alias("path"))
+
+
+def longest_chain(component: DataFrame, key: str = "root", cap: int | None = 100) -> DataFrame:
     """key, length, path: a longest shortest way of each component by two walks, the first from its smallest node.
 
     component: key, u, v, both directions. Of the nodes farthest in the first walk the smallest starts the second; of the ways to
-    the nodes farthest from it, each read from whichever end makes it smaller, the smallest is returned; of longer ones the last
-    cap nodes. Walks go along drawn-together lines, so a line of any length costs a logarithm of jobs, and only a way's turns are
-    carried; its last nodes are looked up in the end.
+    the nodes farthest from it, each read from whichever end makes it smaller, the smallest is returned: whole if cap is None, else
+    the last cap nodes of longer ones. Walks go along drawn-together lines, so a line of any length costs a logarithm of jobs, and
+    only a way's turns are carried; its nodes are looked up in the end, of whole ways those of the smallest alone.
     """
     both = written(component.select(key, "u", "v").distinct(), "component", merge=True)
     start = written(both.groupBy(key).agg(F.min("u").alias("node")), "start")
@@ -378,14 +399,22 @@ def longest_chain(component: DataFrame, key: str = "root", cap: int = 100) -> Da
     ways, on = walked(edges, inner, far)
     each = ways.unionByName(on).groupBy(key, "node").agg(F.min(F.struct("dist", "hops")).alias("way"))
     each = written(each.select(key, "node", "way.*"), "ways")
-    ends = each.join(each.groupBy(key).agg(F.max("dist").alias("dist")), [key, "dist"])
-    hops = ends.select(key, F.col("node").alias("last"), "dist", F.posexplode("hops").alias("k", "h"), "hops")
+    ends = each.join(each.groupBy(key).agg(F.max("dist").alias("dist")), [key, "dist"]).withColumnRenamed("node", "last")
+    way = [key, "last", "dist"]
+    if cap is None:
+        ends, way = written(smallest(ends, key), "smallest"), [*way, "back"]
+    hops = ends.select(*way, F.posexplode("hops").alias("k", "h"), "hops")
     at = F.aggregate(F.slice("hops", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda acc, h: acc + h["len"])
-    hops = hops.select(key, "last", "dist", "h.*", at.alias("at")).where(F.col("at") + F.col("len") > F.col("dist") - cap)
-    middle = hops.join(inner, [key, "start", "first"]).where("pos < len").select(key, "last", "dist", (F.col("at") + F.col("pos")).alias("pos"), "node")
-    turns = hops.select(key, "last", "dist", (F.col("at") + F.col("len")).alias("pos"), F.col("to").alias("node"))
-    first = ends.select(key, F.col("node").alias("last"), "dist", F.lit(0).cast("long").alias("pos"), F.coalesce(F.try_element_at("hops", F.lit(1))["start"], "node").alias("node"))
-    nodes = middle.unionByName(turns).unionByName(first).where(F.col("pos") > F.col("dist") - cap)
+    hops = hops.select(*way, "h.*", at.alias("at"))
+    if cap is not None:
+        hops = hops.where(F.col("at") + F.col("len") > F.col("dist") - cap)
+    middle = hops.join(inner, [key, "start", "first"]).where("pos < len").select(*way, (F.col("at") + F.col("pos")).alias("pos"), "node")
+    turns = hops.select(*way, (F.col("at") + F.col("len")).alias("pos"), F.col("to").alias("node"))
+    first = ends.select(*way, F.lit(0).cast("long").alias("pos"), F.coalesce(F.try_element_at("hops", F.lit(1))["start"], "last").alias("node"))
+    nodes = middle.unionByName(turns).unionByName(first)
+    if cap is None:
+        return joined(nodes.withColumn("pos", F.when(F.col("back"), F.col("dist") - F.col("pos")).otherwise(F.col("pos"))), key)
+    nodes = nodes.where(F.col("pos") > F.col("dist") - cap)
     paths = nodes.groupBy(key, "last").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("p"))
     best = paths.groupBy(key).agg(F.min(F.least("p", F.reverse("p"))).alias("p"))
     return best.select(key, F.size("p").cast("long").alias("length"), F.array_join(F.col("p").cast("array<string>"), ",").alias("path"))

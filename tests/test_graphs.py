@@ -288,6 +288,32 @@ def test_longest_chains(spark):
         assert got == {g: (len(p), ",".join(map(str, p))) for g, p in expected.items()}
 
 
+HANDLE = [(k, k + 1) for k in range(20, 50)]
+BROOMS = [HANDLE + [(20, x) for x in range(12)], HANDLE + [(50, x) for x in range(12)], HANDLE + [(50, 1), (20, 0), *((0, x) for x in range(60, 72))], HANDLE + [(50, 1), (20, 0), (0, 300), (0, 310), (300, 950), (310, 900)], HANDLE + [(20, 10), (20, 11), (10, 3), (11, 2)]]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_longest_chains_are_whole(spark, kind):
+    """Without a cap: trees and tangles, lines with many ends, read from the first node or from the last, and one of several stretches."""
+    graphs = [[(f"{u:04}", f"{v:04}") if kind == "string" else (u, v) for u, v in edges] for edges in [*CHAINS, *BROOMS, lines(2500, 6)]]
+    rows = [(g, *e) for g, edges in enumerate(graphs) for a, b in edges for e in ((a, b), (b, a))]
+    got = {r.g: (r.length, r.path) for r in graph.longest_chain(frame(spark, rows, f"g int, u {kind}, v {kind}"), "g", None).collect()}
+    expected = {g: chain_of(edges, len(rows)) for g, edges in enumerate(graphs)}
+    assert got == {g: (len(p), ",".join(map(str, p))) for g, p in expected.items()} and got[len(graphs) - 1][0] == 2500
+
+
+@pytest.mark.parametrize("ends, path", [(range(300), [0, *range(1000, 1500)]), (range(2000, 2300), [1, *range(1498, 999, -1), 0, 2000])])
+def test_of_whole_ways_one_is_looked_up(spark, monkeypatch, ends, path):
+    """300 equal ways of some 500 nodes, the smallest read from its last or from its first node: only its nodes are joined."""
+    looked = []
+    joined = graph.joined
+    monkeypatch.setattr(graph, "joined", lambda nodes, key: (looked.append(nodes.count()), joined(nodes, key))[1])
+    line = list(range(1000, 1500)) if 0 in ends else [0, *range(1000, 1499), 1]
+    edges = list(zip(line, line[1:], strict=False)) + [(line[0], x) for x in ends]
+    (row,) = graph.longest_chain(frame(spark, [("g", a, b) for e in edges for a, b in (e, e[::-1])], "root string, u int, v int"), cap=None).collect()
+    assert (row.length, row.path) == (len(path), ",".join(map(str, path))) and looked == [len(path)]
+
+
 def test_a_long_line_takes_few_tables(spark, monkeypatch):
     """A line of 5,000 persons in any order, and its last hundred: a walk by levels wrote 10,000 tables."""
     puts = Counter()

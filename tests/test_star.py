@@ -47,6 +47,13 @@ def test_partner_chain_is_a_longest_path(spark):
     assert all(a // 2 == b or b // 2 == a for a, b in zip(path, path[1:], strict=False))
 
 
+def test_line_chain_is_whole(spark, duck):
+    """All 150 customers, of which a cap left 100."""
+    (row,) = shapes.QUERIES["line_chain"](spark, SF).collect()
+    everyone = [k for (k,) in duck.execute("SELECT c_custkey FROM customer ORDER BY 1").fetchall()]
+    assert sorted(map(int, row.path.split(","))) == everyone and row.length == len(everyone) == 150
+
+
 def test_seconds_of_anchored_clusters_are_rounded_as_in_the_sql(spark, tmp_path):
     """Half seconds, after and before 1970, and fractions that rounding takes over or under the reach of an hour."""
     at = ["2024-01-01 00:00:00.5", "2024-01-01 01:00:00.6", "2024-01-01 04:00:00.4", "2024-01-01 05:00:00.7", "2024-01-01 08:00:01.5", "2024-01-01 09:00:02.499999", "1969-12-31 20:59:58.5", "1969-12-31 21:59:58.9", "1969-12-31 23:59:59.2", "1970-01-01 00:59:59.5"]
